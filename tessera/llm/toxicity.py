@@ -18,12 +18,19 @@ from .quality import labelled
 #: Hash buckets, embedding size, filter widths, filters of each width, labelled rows used at most, passes.
 BUCKETS, SIZE, WIDTHS, FILTERS, MOST_LABELLED, EPOCHS = 1 << 20, 4, (1, 2, 3), 4, 8000, 4
 PAD = max(WIDTHS) - 1
-STRIP = b".,;:!?\"'()[]{}*_-"
+STRIP = ".,;:!?\"'()[]{}*_-"
+#: Characters of a word's stem.
+PREFIX = 4
 
 
 def word_buckets(vocabulary: list[bytes]) -> np.ndarray:
-    """The bucket (from 1; 0 is the padding) of each word, lower-cased and without punctuation around it."""
-    return (word_hashes([w.decode("utf-8", "replace").lower().encode().strip(STRIP) for w in vocabulary]) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+    """Two buckets (from 1; 0 is the padding) for each word, lower-cased and without punctuation around it: the word's own
+    and that of its first PREFIX characters. A word's embedding is the sum of both rows, so that a rare form of a known
+    stem isn't unknown."""
+    strings = [w.decode("utf-8", "replace").lower().strip(STRIP) for w in vocabulary]
+    own = word_hashes([x.encode() for x in strings]) % np.uint64(BUCKETS - 1)
+    stem = word_hashes([x[:PREFIX].encode() for x in strings], seed=1) % np.uint64(BUCKETS - 1)
+    return np.stack([own, stem], axis=1).astype(np.int64).reshape(-1, 2) + 1
 
 
 def padded(codes: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +70,7 @@ class Network:
                 size += len(texts[stop])
                 stop += 1
             codes, offsets, vocabulary = word_codes(texts[at:stop])
-            rows = self.embedding[np.concatenate([word_buckets(vocabulary), [0]])]
+            rows = self.embedding[np.concatenate([word_buckets(vocabulary), [[0, 0]]])].sum(axis=1)
             top, _ = self.pooled(rows, *padded(codes, offsets, len(vocabulary)))
             raw = np.maximum(top + self.shift, 0) @ self.output + self.bias
             out[at:stop] = 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
@@ -88,28 +95,36 @@ def log_odds(codes: np.ndarray, offsets: np.ndarray, label: np.ndarray, n: int)
 
 def fit(texts: list[bytes], label: np.ndarray, seed: int = 11) -> Network:
     rng = np.random.default_rng(seed)
-    codes, offsets, vocabulary = word_codes(texts)
-    used, codes_used = np.unique(word_buckets(vocabulary), return_inverse=True)  # training keeps only buckets in use
-    codes = codes_used[codes].astype(np.int64)
+    held, counts, known = [np.zeros(0, np.int32)], [0], {}
+    for at in range(0, len(texts), 100):  # words are held for a few texts at a time
+        codes, offsets, vocabulary = word_codes(texts[at : at + 100])
+        held.append(np.array([known.setdefault(w, len(known)) for w in vocabulary], dtype=np.int32)[codes])
+        counts += np.diff(offsets).tolist()
+    codes, offsets = np.concatenate(held), np.cumsum(counts)
+    used, rows_of = np.unique(word_buckets(list(known)), return_inverse=True)  # training keeps only buckets in use
+    rows_of = np.concatenate([rows_of.reshape(-1, 2), [[len(used)] * 2]])
+    known.clear()
     share = float(np.clip(label.mean(), 1e-3, 1 - 1e-3))
     E = rng.normal(0, 0.02, (len(used) + 1, SIZE)).astype(np.float32)
-    E[:-1, 0] += log_odds(codes, offsets, label, len(used)) / 2
+    for column in (0, 1):
+        E[:-1, 0] += log_odds(rows_of[codes, column], offsets, label, len(used)) / 4
     E[-1] = 0
     net = Network(E, [rng.normal(0, 0.05, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS, 0.5, np.float32), float(np.log(share / (1 - share))))
     for tap in net.taps:
         tap[0, 0] += 1.0
     seen = [np.full_like(x, 1e-3) for x in (E, net.shift, net.output, *net.taps)]
     seen_b = 1e-3
-    weight = np.where(label > 0, 0.5 / share, 0.5 / (1 - share))
+    weight = np.sqrt(np.where(label > 0, 0.5 / share, 0.5 / (1 - share)))  # between rows alike and labels alike
     for _ in range(EPOCHS):
         order = rng.permutation(len(label))
         for at in range(0, len(order), 64):
             rows = order[at : at + 64]
             lengths = offsets[rows + 1] - offsets[rows]
             own = np.concatenate([[0], np.cumsum(lengths)])
-            batch, off = padded(codes[np.repeat(offsets[rows] - own[:-1], lengths) + np.arange(own[-1])], own, len(used))
+            batch, off = padded(codes[np.repeat(offsets[rows] - own[:-1], lengths) + np.arange(own[-1])].astype(np.int64), own, len(rows_of) - 1)
             local, inverse = np.unique(batch, return_inverse=True)
-            top, each = net.pooled(E[local], inverse, off)
+            embedded = E[rows_of[local]].sum(axis=1)
+            top, each = net.pooled(embedded, inverse, off)
             live = top + net.shift
             hidden = np.maximum(live, 0)
             raw = hidden @ net.output + net.bias
@@ -128,12 +143,15 @@ def fit(texts: list[bytes], label: np.ndarray, seed: int = 11) -> Network:
                     for j in range(width):
                         inside = places + j < len(batch)
                         c = inverse[np.minimum(places + j, len(batch) - 1)]
-                        g[j, :, f] += (E[local[c]] * (b * inside)[:, None]).sum(axis=0)
+                        g[j, :, f] += (embedded[c] * (b * inside)[:, None]).sum(axis=0)
                         np.add.at(gE, c, (b * inside)[:, None] * net.taps[k][j, :, f])
                 g_taps.append(g)
-            gE[local == len(used)] = 0  # the padding stays zero
-            seen[0][local] += gE**2
-            E[local] -= 0.05 * gE / np.sqrt(seen[0][local])
+            live = np.flatnonzero((gE != 0).any(axis=1) & (local < len(rows_of) - 1))  # the padding stays zero
+            touched, to = np.unique(rows_of[local[live]], return_inverse=True)
+            g_rows = np.zeros((len(touched), SIZE), np.float32)
+            np.add.at(g_rows, to.reshape(-1, 2), gE[live][:, None, :])
+            seen[0][touched] += g_rows**2
+            E[touched] -= 0.05 * g_rows / np.sqrt(seen[0][touched])
             for x, g, s in zip((net.shift, net.output, *net.taps), (g_shift, g_out, *g_taps), seen[1:]):
                 s += g**2
                 x -= 0.05 * g / np.sqrt(s)

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Steps of expectation-maximisation, what estimates start from, and bounds that keep them inside.
-STEPS, PRIOR, RIGHT_ON_GOOD, RIGHT_ON_BAD, LEAST = 20, 0.85, 0.95, 0.6, 0.001
+STEPS, PRIOR, RIGHT_ON_GOOD, RIGHT_ON_BAD, LEAST = 20, 0.85, 0.98, 0.4, 0.001
 #: (name, value, good if .., bad if ..): a rule abstains where neither holds, and on documents without words.
 RULES = (
     ("length", "n_words", "v >= 50", "v < 10"),
     ("mean_word", "word_chars / n_words", "v >= 3 and v <= 10", "v < 2 or v > 15"),
     ("symbols", "n_symbols / n_words", "v <= 0.02", "v > 0.1"),
+    ("symbol_share", "n_symbols / word_chars", "v <= 0.005", "v > 0.04"),
+    ("symbol_runs", "n_symbol_runs / n_words", "v <= 0.01", "v > 0.1"),
     ("dup_lines", "case when n_lines >= 3 then n_dup_lines / n_lines end", "v = 0", "v > 0.3"),
     ("repeats", "n_repeat_words / n_words", "v <= 0.05", "v > 0.2"),
     ("distinct", "case when n_words >= 30 then n_distinct / n_words end", "v >= 0.25", "v < 0.12"),
@@ -32,7 +34,7 @@ def _let(value: Column, then) -> Column:
 
 def statistics(text: Column) -> Column:
     """struct of word counts of one text (null: empty): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    n_lines (with a word), n_distinct, n_capitals, n_exclamations."""
+    n_symbol_runs, n_lines (with a word), n_distinct, n_capitals, n_exclamations."""
 
     def of(text: Column) -> Column:
         def of_words(words: Column) -> Column:
@@ -44,6 +46,7 @@ def statistics(text: Column) -> Column:
                     n.cast("long").alias("n_words"),
                     F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
                     F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+                    F.regexp_count(text, F.lit(r"[#*$%&|<>]+")).cast("long").alias("n_symbol_runs"),
                     (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
                     repeated_words(words, n).cast("long").alias("n_repeat_words"),
                     F.size(lines).cast("long").alias("n_lines"),
@@ -112,8 +115,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[f
         if good + bad == 0:
             break
         prior = inside(good / (good + bad))
-        on_good = [inside((s[0] + 1.9) / (s[1] + 2)) for s in sums]
-        on_bad = [inside((s[2] + 1.2) / (s[3] + 2)) for s in sums]
+        on_good = [inside((s[0] + 2 * RIGHT_ON_GOOD) / (s[1] + 2)) for s in sums]
+        on_bad = [inside((s[2] + 2 * RIGHT_ON_BAD) / (s[3] + 2)) for s in sums]
     return prior, on_good, on_bad
 
 
