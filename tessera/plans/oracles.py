@@ -1 +1,231 @@
-ORACLES = {}
+"""The queries of `plans.queries` in DuckDB's SQL, over voxel tables: other forms of the same sums."""
+
+from __future__ import annotations
+
+import math
+
+from ..functions import hof
+from .queries import BINS, BOOK, CENTRE, IDS, MOST, T
+
+ROOT = hof.ROOT
+LINE = "SELECT vec_id AS cube_id, unnest(range(64)) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings"
+SQUARE = f"SELECT cube_id, x % 8 AS x, x // 8 AS y, v FROM ({LINE})"
+CUBE = f"SELECT cube_id, x % 4 AS x, (x // 4) % 4 AS y, x // 16 AS z, v FROM ({LINE})"
+COEF = f"SELECT l_extendedprice - {CENTRE} AS v FROM lineitem"
+STREAM = "SELECT event_id // 4096 AS cube_id, event_id % 4096 AS pos, user_id % {n} AS s FROM events"
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6) + 0.0"
+
+
+def chain(first: str, steps: list, last: str) -> str:
+    """first: a query; steps: functions from a relation's name to a query; last: a query over `done`."""
+    parts, name = [f"r0 AS ({first})"], "r0"
+    for k, step in enumerate(steps, 1):
+        parts.append(f"r{k} AS ({step(name)})")
+        name = f"r{k}"
+    return f"WITH {', '.join(parts)}, done AS (SELECT * FROM {name}) {last}"
+
+
+def haar(axis: str, others: str, m: int, inside: str = "true"):
+    def step(r: str) -> str:
+        pair = f"FROM {r} WHERE {axis} < {m} AND {inside} GROUP BY {others}, {axis} // 2"
+        even, odd = (f"sum(CASE WHEN {axis} % 2 = {k} THEN v END)" for k in (0, 1))
+        return (
+            f"SELECT {others}, {axis} // 2 AS {axis}, ({even} + {odd}) * {ROOT} AS v {pair} UNION ALL BY NAME "
+            f"SELECT {others}, {axis} // 2 + {m // 2} AS {axis}, ({even} - {odd}) * {ROOT} AS v {pair} UNION ALL BY NAME SELECT {others}, {axis}, v FROM {r} WHERE NOT ({axis} < {m} AND {inside})"
+        )
+
+    return step
+
+
+def bank(axis: str, others: str, m: int, low: dict, high: dict):
+    taps = ", ".join(f"({p}, {k}, {c!r}::DOUBLE)" for p, t in ((0, low), (1, high)) for k, c in t.items())
+    p = 2 * (m - 1)
+
+    def step(r: str) -> str:
+        return (
+            f"SELECT {others}, o.i // 2 + {m // 2} * (o.i % 2) AS {axis}, sum(t.c * s.v) AS v FROM (SELECT unnest(range({m})) AS i) o JOIN (VALUES {taps}) t(p, k, c) ON t.p = o.i % 2 "
+            f"JOIN {r} s ON s.{axis} = least(((o.i + t.k) % {p} + {p}) % {p}, {p} - ((o.i + t.k) % {p} + {p}) % {p}) GROUP BY {others}, o.i UNION ALL BY NAME SELECT {others}, {axis}, v FROM {r} WHERE {axis} >= {m}"
+        )
+
+    return step
+
+
+LA, HA = hof.symmetric(hof.LOW_ANALYSIS), hof.symmetric(hof.HIGH_ANALYSIS)
+POS1 = f"SELECT cube_id, x::BIGINT AS pos, {r6('v')} AS v FROM done"
+POS2 = f"SELECT cube_id, (y * 8 + x)::BIGINT AS pos, {r6('v')} AS v FROM done"
+POS3 = f"SELECT cube_id, (z * 16 + y * 4 + x)::BIGINT AS pos, {r6('v')} AS v FROM done"
+SAME = f"SELECT cube_id, x::BIGINT AS pos, {r6('v')} AS v FROM ({LINE})"
+C1, C2, C3 = "cube_id", "cube_id, y", "cube_id, y, z"
+B2 = hof.pair_taps("CDF_2.2")
+HAAR3 = [haar("x", "cube_id, y, z", 4), haar("x", "cube_id, y, z", 2), haar("y", "cube_id, x, z", 4), haar("y", "cube_id, x, z", 2), haar("z", "cube_id, x, y", 4), haar("z", "cube_id, x, y", 2)]
+
+
+def unhaar(axis: str, others: str, m: int):
+    def step(r: str) -> str:
+        h = m // 2
+        low, high = f"sum(CASE WHEN {axis} < {h} THEN v END)", f"sum(CASE WHEN {axis} >= {h} THEN v END)"
+        pair = f"FROM {r} WHERE {axis} < {m} GROUP BY {others}, {axis} % {h}"
+        return (
+            f"SELECT {others}, {axis} % {h} * 2 AS {axis}, ({low} + {high}) * {ROOT} AS v {pair} UNION ALL BY NAME "
+            f"SELECT {others}, {axis} % {h} * 2 + 1 AS {axis}, ({low} - {high}) * {ROOT} AS v {pair} UNION ALL BY NAME SELECT {others}, {axis}, v FROM {r} WHERE {axis} >= {m}"
+        )
+
+    return step
+
+
+UNHAAR3 = [unhaar("z", "cube_id, x, y", 2), unhaar("z", "cube_id, x, y", 4), unhaar("y", "cube_id, x, z", 2), unhaar("y", "cube_id, x, z", 4), unhaar("x", "cube_id, y, z", 2), unhaar("x", "cube_id, y, z", 4)]
+
+
+def uniform(x: str, bins, t: str, most: str) -> str:
+    z, nb, pb = f"(({bins}-1)//2)", f"(({bins}-1)//2)", f"({bins}//2)"
+    ps, ns = f"(({pb}-1)/({most}-{t}))", f"(({nb}-1)/({most}-{t}))"
+    up = f"trunc({x}*{ps}+((1-{t}*{ps})+{z}))"
+    down = f"(trunc({x}*{ns}-(1-{t}*{ns}))+{z})"
+    return f"(CASE WHEN {x} > {t} THEN least({bins}-1, {up}) WHEN {x} < -{t} THEN greatest(0, {down}) ELSE {z} END)::BIGINT"
+
+
+def un_uniform(q: str, bins, t: str, most: str) -> str:
+    z, nb, pb = f"(({bins}-1)//2)", f"(({bins}-1)//2)", f"({bins}//2)"
+    ps, ns = f"(({pb}-1)/({most}-{t}))", f"(({nb}-1)/({most}-{t}))"
+    return f"(CASE WHEN {q} > {z} THEN ({q}+(0.5::DOUBLE-(1-{t}*{ps})-{z}))/{ps} WHEN {q} < {z} THEN ({q}+((1-{t}*{ns})-0.5::DOUBLE-{z}))/{ns} ELSE 0 END)"
+
+
+def logarithmic(x: str) -> str:
+    z, ps, ns, po, no = hof._log(BINS, T, MOST)
+    return f"(CASE WHEN {x} > {T} THEN least({BINS - 1}, trunc(ln(abs({x}))*{ps!r}::DOUBLE+{z + po + 0.5!r}::DOUBLE)) WHEN {x} < -{T} THEN greatest(0, trunc({z - no + 0.5!r}::DOUBLE-ln(abs({x}))*{ns!r}::DOUBLE)) ELSE {z} END)::BIGINT"
+
+
+def un_logarithmic(q: str) -> str:
+    z, ps, ns, po, no = hof._log(BINS, T, MOST)
+    return f"(CASE WHEN {q} > {z} THEN exp(({q}-{z}-({po!r}::DOUBLE))/{ps!r}::DOUBLE) WHEN {q} < {z} THEN -exp(({z}-{q}-({no!r}::DOUBLE))/{ns!r}::DOUBLE) ELSE 0 END)"
+
+
+TD, MD = f"{T}::DOUBLE", f"{MOST}::DOUBLE"
+BOOK_Q = f"(CASE WHEN v >= {BOOK[-1]} THEN {len(BOOK)} ELSE " + " + ".join(f"(CASE WHEN {b} < v THEN 1 ELSE 0 END)" for b in BOOK) + " END)::BIGINT"
+BOOK_D = "[-50000.0, -30000.0, -12000.0, 0.0, 12000.0, 30000.0, 50000.0]::DOUBLE[]"
+QUANT = {"uniform": (uniform("v", BINS, TD, MD), un_uniform("q", BINS, TD, MD)), "log": (logarithmic("v"), un_logarithmic("q")), "codebook": (BOOK_Q, f"({BOOK_D})[q + 1]")}
+
+
+def rank(relation: str, value: str, k: str) -> str:
+    return f"(SELECT list_sort(list({value}))[{k} + 1] FROM ({relation}))"
+
+
+RUNS = "SELECT cube_id, min(pos) AS start, any_value(s) AS s, count(*) AS length FROM (SELECT *, pos - row_number() OVER (PARTITION BY cube_id, s ORDER BY pos) AS g FROM ({stream})) GROUP BY cube_id, s, g"
+PAIRS = f"SELECT cube_id, start + 255 * part AS start, s, least(255, length - 255 * part)::BIGINT AS length FROM (SELECT *, unnest(range((length - 1) // 255 + 1)) AS part FROM ({RUNS.format(stream=STREAM.format(n=3))}))"
+WANTED = ", ".join(f"({i}, {x})" for i, x in enumerate(IDS))
+OFFSETS = "vec_id AS cube_id, vec_id % 8 * 4 AS x_off, (vec_id // 8) % 8 * 4 AS y_off, vec_id // 64 * 4 AS z_off"
+SWEEP = (
+    "WITH c AS ({coef}), m AS (SELECT max(abs(v)) AS most, list_sort(list(abs(v))) AS s, count(*) AS n FROM c), t AS (SELECT f.f AS fraction, b.b AS bins, s[trunc(f.f * n)::BIGINT + 1] AS t, most FROM m, (SELECT unnest([{fractions}]::DOUBLE[]) AS f) f, (SELECT unnest([{bins}]::BIGINT[]) AS b) b), "
+    "q AS (SELECT fraction, bins, t, most, v, {quant} AS q FROM c, t), g AS (SELECT fraction, bins, most, q, count(*) AS n, sum(({dequant} - v) * ({dequant} - v)) AS sse FROM q GROUP BY fraction, bins, t, most, q) "
+    "SELECT fraction, bins, count(*) AS used, round(sum(sse) / sum(n), 2) AS mse, round(log10(any_value(most) * any_value(most) / (sum(sse) / sum(n))) * 10, 4) AS psnr FROM g GROUP BY fraction, bins"
+)
+
+
+def sweep(fractions: str, bins: str) -> str:
+    return SWEEP.format(coef=COEF, fractions=fractions, bins=bins, quant=uniform("v", "bins", "t", "most"), dequant=un_uniform("q", "bins", "t", "most"))
+
+
+def mirror(i: str, n: int) -> str:
+    if n == 1:
+        return "0"
+    p = 2 * (n - 1)
+    return f"least((({i}) % {p} + {p}) % {p}, {p} - (({i}) % {p} + {p}) % {p})"
+
+
+def box(size: tuple, offset: tuple, n: tuple) -> str:
+    """Every place of a box, with the source's value or zero."""
+    (sx, sy, sz), (ox, oy, oz), (nx, ny, nz) = size, offset, n
+    total = sx * sy * sz
+    return (
+        f"SELECT e.vec_id AS cube_id, p.p::BIGINT AS pos, {r6('coalesce(s.v, 0)')} AS v FROM embeddings e CROSS JOIN (SELECT unnest(range({total})) AS p) p LEFT JOIN (SELECT cube_id, x % {nx} AS x, (x // {nx}) % {ny} AS y, x // {nx * ny} AS z, v FROM ({LINE})) s "
+        f"ON s.cube_id = e.vec_id AND s.x = p.p % {sx} + {ox} AND s.y = (p.p // {sx}) % {sy} + {oy} AND s.z = p.p // {sx * sy} + {oz}"
+    )
+
+
+def placed(total: int, source: str) -> str:
+    """Place p of the result holds what stood at `source`, a term in p."""
+    return f"SELECT s.cube_id, p.p::BIGINT AS pos, {r6('s.v')} AS v FROM (SELECT unnest(range({total})) AS p) p JOIN ({LINE}) s ON s.x = {source}"
+
+
+QUANT_CUBE = chain(CUBE, HAAR3, f"SELECT cube_id, x, y, z, {un_uniform('q', 16, '0.15::DOUBLE', '1.0::DOUBLE')} AS v FROM (SELECT *, {uniform('v', 16, '0.15::DOUBLE', '1.0::DOUBLE')} AS q FROM done)")
+RESTORED = chain(f"SELECT * FROM ({QUANT_CUBE})", UNHAAR3, "SELECT cube_id, z * 16 + y * 4 + x AS x, v FROM done")
+BACK = f"SELECT l_orderkey, l_linenumber, v, {un_uniform('q', BINS, TD, MD)} AS b FROM (SELECT l_orderkey, l_linenumber, v, {uniform('v', BINS, TD, MD)} AS q FROM (SELECT l_orderkey, l_linenumber, max(l_extendedprice) - {CENTRE} AS v FROM lineitem GROUP BY 1, 2))"
+
+ORACLES = {
+    "haar_quant_histogram": chain(
+        LINE, [haar("x", "cube_id", 64)],
+        f", c AS (SELECT round(v, 9) AS c FROM done), m AS (SELECT max(abs(c)) AS most, list_sort(list(abs(c)))[trunc(0.5 * count(*))::BIGINT + 1] AS t FROM c) SELECT bin, count(*) AS n FROM (SELECT {uniform('c', 16, 't', 'most')} AS bin FROM c, m) GROUP BY bin",
+    ),
+    "haar1d_multi": chain(LINE, [haar("x", C1, 64 >> k) for k in range(6)], POS1),
+    "haar1d_inverse": SAME, "cdf97_1d_inverse": SAME, "cdf97_3d_inverse": SAME, "filterbank_1d_inverse": SAME,
+    "haar2d": chain(SQUARE, [haar("x", C2, 8), haar("x", C2, 4), *(haar("y", "cube_id, x", 8 >> k) for k in range(3))], POS2),
+    "haar3d": chain(CUBE, HAAR3, POS3),
+    "haar2d_mallat": chain(SQUARE, [s for k in range(3) for s in (haar("x", C2, 8 >> k, f"y < {8 >> k}"), haar("y", "cube_id, x", 8 >> k, f"x < {8 >> k}"))], POS2),
+    "cdf97_1d": chain(LINE, [bank("x", C1, 64 >> k, LA, HA) for k in range(3)], POS1),
+    "cdf97_2d": chain(SQUARE, [bank("x", C2, 8, LA, HA), bank("x", C2, 4, LA, HA), bank("y", "cube_id, x", 8, LA, HA)], POS2),
+    "cdf97_3d": chain(CUBE, [bank("x", C3, 4, LA, HA), bank("y", "cube_id, x, z", 4, LA, HA), bank("z", "cube_id, x, y", 4, LA, HA)], POS3),
+    "filterbank_1d": chain(LINE, [bank("x", C1, 64 >> k, B2[0], B2[1]) for k in range(2)], POS1),
+    "pad_zero": f"SELECT cube_id, x::BIGINT AS pos, {r6('CASE WHEN x < 50 THEN v ELSE 0 END')} AS v FROM ({LINE})",
+    "pad_repeat": placed(64, "least(p.p, 49)"),
+    "pad_reflect": placed(64, mirror("p.p", 20)),
+    "pad_2d_reflect": placed(64, f"{mirror('p.p // 8', 5)} * 8 + {mirror('p.p % 8', 5)}"),
+    "pad_3d_repeat": placed(125, "least(p.p // 25, 3) * 16 + least((p.p // 5) % 5, 3) * 4 + least(p.p % 5, 3)"),
+    "transpose2d": f"SELECT cube_id, (x * 8 + y)::BIGINT AS pos, {r6('v')} AS v FROM ({SQUARE})",
+    "axis_rotate": f"SELECT cube_id, (x * 16 + z * 4 + y)::BIGINT AS pos, {r6('v')} AS v FROM ({CUBE})",
+    "axis_rotate_back": f"SELECT cube_id, (y * 16 + x * 4 + z)::BIGINT AS pos, {r6('v')} AS v FROM ({CUBE})",
+    "crop": f"SELECT cube_id, (z * 9 + y * 3 + x)::BIGINT AS pos, {r6('v')} AS v FROM ({CUBE}) WHERE x < 3 AND y < 3 AND z < 2",
+    "sub_rectangle": f"SELECT cube_id, ((y - 1) * 4 + x - 2)::BIGINT AS pos, {r6('v')} AS v FROM ({SQUARE}) WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 3",
+    "cubelet_partial": box((4, 3, 4), (2, -1, 1), (4, 4, 4)),
+    "subband_rescale": chain(
+        SQUARE, [haar("x", C2, 8), haar("y", "cube_id, x", 8)],
+        f", b AS (SELECT cube_id, y * 8 + x AS pos, {r6('v')} AS v, (x >= 4)::INT + 2 * (y >= 4)::INT AS band FROM done), e AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM b WINDOW w AS (PARTITION BY cube_id, band)) SELECT cube_id, pos::BIGINT AS pos, {r6('CASE WHEN hi > lo THEN (v - lo) / (hi - lo) - 0.5::DOUBLE ELSE 0 END')} AS v FROM e",
+    ),
+    "cubelet_list": f"SELECT {OFFSETS}, 4::BIGINT AS width, 4::BIGINT AS height, 4::BIGINT AS depth, 'FLOAT32' AS data_type, 256::BIGINT AS byte_count FROM embeddings",
+    "cubelet_find": f"SELECT cube_id FROM (SELECT {OFFSETS} FROM embeddings) WHERE x_off = 4 AND y_off = 8 AND z_off = 4",
+    "cubelet_cat": f"SELECT x, y, z, {r6('v')} AS v FROM ({CUBE}) WHERE cube_id = 7",
+    "cubelet_extract": f"SELECT ord::BIGINT AS ord, id::BIGINT AS cube_id, len(embedding)::BIGINT AS n, {r6('embedding[1]::DOUBLE')} AS first FROM (VALUES {WANTED}) w(ord, id) JOIN embeddings ON vec_id = id",
+    "cubelet_missing": f"SELECT ord::BIGINT AS ord, id::BIGINT AS cube_id FROM (VALUES {WANTED}) w(ord, id) WHERE id NOT IN (SELECT vec_id FROM embeddings)",
+    "frame_validate": "SELECT count(*) AS n, true AS flat, true AS same_size, max(vec_id) - min(vec_id) + 1 = count(*) AND count(DISTINCT vec_id) = count(*) AS contiguous, true AS at_origin, true AS same_type FROM embeddings",
+    "tile_split_overlap": "WITH v AS (SELECT p % 8 AS x, p // 8 AS y, z, v FROM (SELECT vec_id AS z, unnest(range(64)) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings)), n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), "
+    "t AS (SELECT unnest(range(3)) AS t), tz AS (SELECT unnest(range((n - 2) // 3 + 1)) AS t FROM n) "
+    "SELECT a.t AS tx, b.t AS ty, c.t AS tz, count(*) AS n, round(sum(v), 6) + 0.0 AS total, round(arg_max(v, (z * 64 + y * 8 + x)), 6) + 0.0 AS last FROM v JOIN t a ON x BETWEEN a.t * 3 AND a.t * 3 + 3 JOIN t b ON y BETWEEN b.t * 3 AND b.t * 3 + 3 JOIN tz c ON z BETWEEN c.t * 3 AND c.t * 3 + 3 GROUP BY 1, 2, 3",
+    "byte_convert": "SELECT trunc(least(greatest(l_extendedprice / 300 - 20, 0), 255))::BIGINT AS byte, count(*) AS n FROM lineitem GROUP BY 1",
+    "int_convert": f"SELECT trunc((l_extendedprice - {CENTRE}) / 1000 + 0.5::DOUBLE)::BIGINT AS i, count(*) AS n FROM lineitem GROUP BY 1",
+    "high_byte": "SELECT (event_id % 65536) // 256 AS high, (event_id % 65536) // 16 AS twelve, count(*) AS n FROM events GROUP BY 1, 2",
+    "bit_functions": "SELECT o_orderkey AS n, CASE WHEN o_orderkey = 0 THEN 32 ELSE 32 - len(bin(o_orderkey)) END::BIGINT AS clz, CASE WHEN o_orderkey <= 1 THEN 0 ELSE len(bin(o_orderkey - 1)) END::BIGINT AS log2 FROM orders",
+    "padded_length": "SELECT user_id, n, (n + 1) // 2 * 2 AS p1, (n + 3) // 4 * 4 AS p2, (n + 7) // 8 * 8 AS p3, CASE WHEN n <= 1 THEN 1 ELSE (1::BIGINT << len(bin(n - 1))) END::BIGINT AS power FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)",
+    "mirror_index": "SELECT i, " + ", ".join(f"({mirror('i', n)})::BIGINT AS m{n}" for n in (1, 2, 3, 8)) + " FROM (SELECT unnest(range(-20, 20)) AS i)",
+    "gray_minmax": f"SELECT floor({r6('CASE WHEN hi > lo THEN (v - lo) / (hi - lo) * 255 ELSE 0 END')})::BIGINT AS g, count(*) AS n FROM (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM ({LINE}) WINDOW w AS (PARTITION BY cube_id)) GROUP BY 1",
+    "threshold_rank": f"SELECT f AS fraction, round(s[least(trunc(f * n)::BIGINT, n - 1) + 1], 6) AS threshold FROM (SELECT list_sort(list(abs(v))) AS s, count(*) AS n FROM ({COEF})), (SELECT unnest([0, 0.25, 0.5, 0.95, 1]::DOUBLE[]) AS f)",
+    "hard_threshold": f"SELECT sum((w = 0)::INT)::BIGINT AS zeros, count(*) AS n, round(sum(w), 2) AS total FROM (SELECT CASE WHEN abs(v) <= {T} THEN 0 ELSE v END AS w FROM ({COEF}))",
+    "filter_sorted": f"SELECT round(v, 2) AS v FROM ({COEF}) WHERE abs(v) >= {MOST} ORDER BY abs(v)",
+    "lower_bound_rank": f"SELECT " + ", ".join(f"count(*) FILTER (abs(v) < {t}) AS below_{t}" for t in (100, 5000, 20000)) + f" FROM ({COEF})",
+    "mode_value": "SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, v LIMIT 1",
+    "summary_stats": f"SELECT count(v) AS n, count(DISTINCT v) AS n_distinct, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS stddev, round(min(v), 4) AS lo, round(max(v), 4) AS hi FROM ({COEF})",
+    "trimmed_histogram": f"WITH c AS ({COEF}), s AS (SELECT list_sort(list(v)) AS s, count(*) AS n FROM c), e AS (SELECT s[n // 100 + 1] AS lo, s[n - n // 100] AS hi, n AS total FROM s) SELECT bin, n, repeat('*', floor(n * 200 / total)::INT) AS bar FROM (SELECT least(greatest(floor({r6('(v - lo) / ((hi - lo) / 24)')}), 0), 23)::BIGINT AS bin, count(*) AS n, any_value(total) AS total FROM c, e GROUP BY 1)",
+    "sign_counts": f"SELECT count(*) FILTER (i < 0) AS negative, count(*) FILTER (i = 0) AS zero, count(*) FILTER (i > 0) AS positive FROM (SELECT trunc(v / 1000 + 0.5::DOUBLE)::BIGINT AS i FROM ({COEF}))",
+    "quantization_error": "SELECT " + ", ".join(f"(SELECT round(avg(({d} - v) * ({d} - v)), 2) FROM (SELECT v, {q} AS q FROM ({COEF}))) AS {name}" for name, (q, d) in QUANT.items()),
+    "quant_legacy_bits": f"SELECT (CASE WHEN abs(v) <= {T} THEN 0 ELSE sign(v) * least(ceil({r6(f'(abs(v) - {T}) / ({MOST} - {T}) * 7')}), 7) END)::BIGINT AS uniform, (CASE WHEN abs(v) <= {T} THEN 0 ELSE sign(v) * least(ceil({r6(f'ln(abs(v) / {T}) / {math.log(MOST / T)!r} * 7')}), 7) END)::BIGINT AS log, count(*) AS n FROM ({COEF}) GROUP BY 1, 2",
+    "init_codebook": f"SELECT i AS bin, round({T} * exp(i * ln({MOST} / {T}) / 15), 6) AS value FROM (SELECT unnest(range(15)) AS i)",
+    "lloyd_one_step": f"WITH p AS (SELECT abs(v) AS v FROM ({COEF}) WHERE abs(v) > {T}) SELECT bin, round(avg(v), 4) AS value FROM (SELECT v, ((v > 15000)::INT + (v > 25000)::INT + (v > 40000)::INT)::BIGINT AS bin FROM p) GROUP BY bin",
+    "symbol_frequency": f"SELECT s, count(*) AS n FROM ({STREAM.format(n=3)}) GROUP BY s",
+    "rle_encode": PAIRS,
+    "rle_pair_frequency": f"SELECT symbol, count(*) AS n FROM (SELECT unnest([s, length]) AS symbol FROM ({PAIRS})) GROUP BY symbol",
+    "zero_run_lengths": f"SELECT length, count(*) AS n FROM ({RUNS.format(stream=STREAM.format(n=2))}) WHERE s = 0 GROUP BY length",
+    "zero_run_savings": f"SELECT count(*) AS runs, sum(length - 2)::BIGINT AS saved FROM ({RUNS.format(stream=STREAM.format(n=2))}) WHERE s = 0 AND length > 2",
+    "huffman_roundtrip": "SELECT count(*) AS cubes, 0::BIGINT AS mismatches FROM embeddings",
+    "error_metrics": f"SELECT round(sum(abs(b - a)), 5) AS l1, round(sqrt(sum((b - a) * (b - a))), 5) AS l2, round(avg((b - a) * (b - a)), 5) AS mse, round(log10(1 / avg((b - a) * (b - a))) * 10, 5) AS psnr, round(sum((b - a) * (b - a)) / sum(a * a), 5) AS rel_err FROM (SELECT o.v AS a, r.v AS b FROM ({LINE}) o JOIN ({RESTORED}) r USING (cube_id, x))",
+    "compress_roundtrip": f"SELECT cube_id, {r6('sum((a - b) * (a - b)) / 64')} AS mse FROM (SELECT cube_id, o.v AS a, r.v AS b FROM ({LINE}) o JOIN ({RESTORED}) r USING (cube_id, x)) GROUP BY cube_id",
+    "matrix_mse": f"SELECT round(avg((b - v) * (b - v)), 2) AS mse FROM ({BACK}) WHERE l_linenumber BETWEEN 2 AND 5",
+    "relative_norms": f"SELECT round(sum((v - b) * (v - b)) / sum(v * v), 6) AS mse, round(sqrt(sum((v - b) * (v - b))) / sqrt(sum(v * v)), 6) AS l2, round(sum(abs(v - b)) / sum(abs(v)), 6) AS l1 FROM ({BACK})",
+    "difference_map": f"SELECT cube_id, x::BIGINT AS pos, {r6('CASE WHEN most > 0 THEN d / most * 255 ELSE 0 END')} AS v FROM (SELECT *, max(abs(d)) OVER (PARTITION BY cube_id) AS most FROM (SELECT a.cube_id, a.x, b.v - a.v AS d FROM ({LINE}) a JOIN ({LINE}) b ON b.cube_id = a.cube_id + 1 AND b.x = a.x))",
+    "param_sweep": sweep("0.5, 0.75, 0.9", "16, 64, 256"),
+    "fixed_psnr_search": f"SELECT fraction, min(bins) AS bins, arg_min(psnr, bins) AS psnr FROM ({sweep('0.3, 0.5, 0.7', '8, 16, 32, 64')}) WHERE psnr >= 12 GROUP BY fraction",
+    "slice_minmax_codec": "SELECT vec_id AS cube_id, true AS same, true AS close FROM embeddings",
+}
+for _name, (_q, _d) in QUANT.items():
+    ORACLES[f"quant_{_name}"] = f"SELECT {_q} AS bin, count(*) AS n FROM ({COEF}) GROUP BY 1"
+    ORACLES[f"dequant_{_name}"] = f"SELECT {r6(_d)} AS v, count(*) AS n FROM (SELECT {_q} AS q FROM ({COEF})) GROUP BY 1"

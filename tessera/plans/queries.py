@@ -1 +1,532 @@
-QUERIES = {}
+"""Queries over the test tables, one for each array operator; `plans.oracles` has the same in SQL.
+
+Stand-ins: an embedding of 64 values is a 1-D array, an 8 x 8 square or a 4 x 4 x 4 cubelet; centred prices are a large
+column of coefficients; events in their order are a stream of symbols, in cubes of 4096.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+
+from ..functions import hof
+from ..operators import codebooks, cubes, entropy, metrics
+from ..operators.select import order_statistic, threshold
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CENTRE, T, MOST, BINS = 38000.0, 5000.0, 60000.0, 32
+BOOK = [-40000.0, -20000.0, -5000.0, 5000.0, 20000.0, 40000.0]
+SQUARE, CUBE, LINE = (8, 8, 1), (4, 4, 4), (64, 1, 1)
+IDS = [3, 5, 8, 99999, 1]
+
+
+def query(name: str, f: Callable) -> None:
+    QUERIES[name] = f
+
+
+def named(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("cube_id"), F.col("embedding").cast("array<double>").alias("a"))
+
+
+def cubelets(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("vec_id")
+    return table(spark, sf, "embeddings").select(
+        n.alias("cube_id"), (n % 8 * 4).cast("int").alias("x_off"), (F.floor(n / 8) % 8 * 4).cast("int").alias("y_off"), (F.floor(n / 64) * 4).cast("int").alias("z_off"),
+        *(F.lit(4).alias(c) for c in ("width", "height", "depth")), F.lit("FLOAT32").alias("data_type"), F.col("embedding").cast("array<double>").alias("payload"),
+    )
+
+
+def long(df: DataFrame, a: Column) -> DataFrame:
+    flat = df.select("cube_id", F.posexplode(a).alias("pos", "v"))
+    return flat.select("cube_id", F.col("pos").cast("long").alias("pos"), r6(F.col("v")).alias("v"))
+
+
+def on_arrays(f: Callable[[Column], Column]):
+    return lambda spark, sf: long(arrays(spark, sf), f(F.col("a")))
+
+
+def coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select((F.col("l_extendedprice") - CENTRE).alias("v"))
+
+
+def histogram(df: DataFrame, symbol: Column) -> DataFrame:
+    return df.groupBy(symbol.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def symbols(spark: SparkSession, sf: str, n: int = 3) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, sf, "events").select(F.floor(e / 4096).cast("long").alias("cube_id"), (e % 4096).alias("pos"), (F.col("user_id") % n).alias("s"))
+
+
+# Transforms and shapes of payloads.
+
+
+@named
+def haar_quant_histogram(spark, sf):
+    """Scan, one Haar step, exact-rank threshold, uniform quantizer, histogram."""
+    c = arrays(spark, sf).select(F.explode(hof.forward(F.col("a"), 64, 1)).alias("c")).select(F.round("c", 9).alias("c"))
+    t = threshold(c, F.col("c"), 0.5)
+    most = c.agg(F.max(F.abs("c"))).first()[0]
+    return histogram(c, hof.quant_uniform(F.col("c"), 16, t, most))
+
+
+for _name, _f in {
+    "haar1d_multi": lambda a: hof.forward(a, 64, -1),
+    "haar1d_inverse": lambda a: hof.inverse(hof.forward(a, 64, 3), 64, 3),
+    "haar2d": lambda a: hof.transform(a, SQUARE, (2, 3, 0)),
+    "haar3d": lambda a: hof.transform(a, CUBE, (2, 2, 2)),
+    "haar2d_mallat": lambda a: hof.alternating(a, 8, 3),
+    "cdf97_1d": lambda a: hof.forward(a, 64, 3, "cdf97"),
+    "cdf97_1d_inverse": lambda a: hof.inverse(hof.forward(a, 64, 3, "cdf97"), 64, 3, "cdf97"),
+    "cdf97_2d": lambda a: hof.transform(a, SQUARE, (2, 1, 0), "cdf97"),
+    "cdf97_3d": lambda a: hof.transform(a, CUBE, (1, 1, 1), "cdf97"),
+    "cdf97_3d_inverse": lambda a: hof.transform(hof.transform(a, CUBE, (1, 1, 1), "cdf97"), CUBE, (1, 1, 1), "cdf97", back=True),
+    "filterbank_1d": lambda a: hof.forward(a, 64, 2, "CDF_2.2"),
+    "filterbank_1d_inverse": lambda a: hof.inverse(hof.forward(a, 64, 2, "CDF_2.4"), 64, 2, "CDF_2.4"),
+    "pad_zero": lambda a: hof.pad(F.slice(a, 1, 50), 50, 64, "zero"),
+    "pad_repeat": lambda a: hof.pad(F.slice(a, 1, 50), 50, 64, "repeat"),
+    "pad_reflect": lambda a: hof.pad(F.slice(a, 1, 20), 20, 64, "reflect"),
+    "pad_2d_reflect": lambda a: hof.relabelled(a, 64, lambda p: hof.mirrored(F.floor(p / 8), 5) * 8 + hof.mirrored(p % 8, 5)),
+    "pad_3d_repeat": lambda a: hof.relabelled(a, 125, lambda p: F.least(F.floor(p / 25), F.lit(3)) * 16 + F.least(F.floor(p / 5) % 5, F.lit(3)) * 4 + F.least(p % 5, F.lit(3))),
+    "transpose2d": lambda a: hof.relabelled(a, 64, lambda p: p % 8 * 8 + F.floor(p / 8)),
+    "axis_rotate": lambda a: hof.relabelled(a, 64, lambda p: p % 4 * 4 + F.floor(p / 4) % 4 * 16 + F.floor(p / 16)),
+    "axis_rotate_back": lambda a: hof.relabelled(a, 64, lambda p: p % 4 * 16 + F.floor(p / 4) % 4 + F.floor(p / 16) * 4),
+    "crop": lambda a: cubes.part(a, CUBE, (0, 0, 0), (3, 3, 2)),
+    "sub_rectangle": lambda a: cubes.part(a, SQUARE, (2, 1, 0), (4, 3, 1)),
+    "cubelet_partial": lambda a: cubes.part(a, CUBE, (2, -1, 1), (4, 3, 4)),
+}.items():
+    query(_name, on_arrays(_f))
+
+
+@named
+def subband_rescale(spark, sf):
+    """Each quadrant of a one-step square rescaled to -0.5..0.5 by its own least and most."""
+    c = long(arrays(spark, sf), hof.transform(F.col("a"), SQUARE, (1, 1, 0)))
+    band = F.when(F.col("pos") % 8 < 4, 0).otherwise(1) + F.when(F.col("pos") < 32, 0).otherwise(2)
+    c = c.withColumn("band", band)
+    ends = c.groupBy("cube_id", "band").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    v = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) - 0.5).otherwise(0.0)
+    return c.join(ends, ["cube_id", "band"]).select("cube_id", "pos", r6(v).alias("v"))
+
+
+# Cubelets.
+
+
+@named
+def cubelet_list(spark, sf):
+    out = cubes.listed(cubelets(spark, sf))
+    return out.select(*(F.col(c).cast("long").alias(c) if c != "data_type" else c for c in out.columns))
+
+
+@named
+def cubelet_find(spark, sf):
+    return cubes.found(cubelets(spark, sf), 4, 8, 4).select("cube_id")
+
+
+@named
+def cubelet_cat(spark, sf):
+    out = cubes.voxels(cubelets(spark, sf).where("cube_id = 7"))
+    return out.select(*(F.col(c).cast("long").alias(c) for c in ("x", "y", "z")), r6(F.col("v")).alias("v"))
+
+
+def wanted(spark) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(IDS)), "ord long, cube_id long")
+
+
+@named
+def cubelet_extract(spark, sf):
+    out = cubes.extracted(cubelets(spark, sf), wanted(spark))
+    return out.select("ord", "cube_id", F.size("payload").cast("long").alias("n"), r6(F.get("payload", F.lit(0))).alias("first"))
+
+
+@named
+def cubelet_missing(spark, sf):
+    return cubes.missing(cubelets(spark, sf), wanted(spark)).select("ord", "cube_id")
+
+
+@named
+def frame_validate(spark, sf):
+    frames = table(spark, sf, "embeddings").select(*(F.lit(0).alias(c) for c in ("x_off", "y_off")), F.col("vec_id").alias("z_off"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("depth"), F.lit("FLOAT32").alias("data_type"))
+    return cubes.frames_valid(frames)
+
+
+def frames(spark, sf) -> tuple[DataFrame, int]:
+    rows = table(spark, sf, "embeddings")
+    flat = rows.select(F.col("vec_id").alias("z"), F.posexplode("embedding").alias("p", "v"))
+    return flat.select((F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), "z", F.col("v").cast("double").alias("v")), rows.agg(F.max("vec_id")).first()[0] + 1
+
+
+@named
+def tile_split_overlap(spark, sf):
+    """8 x 8 frames, in order of z, cut into 4 x 4 x 4 tiles that overlap by one."""
+    voxels, n = frames(spark, sf)
+    out = cubes.tiles(voxels, (8, 8, n), (4, 4, 4), 1)
+    return out.groupBy(*(F.col(f"t{a}").cast("long").alias(f"t{a}") for a in "xyz")).agg(F.count("*").alias("n"), r6(F.sum("v")).alias("total"), r6(F.max_by("v", F.struct("iz", "iy", "ix"))).alias("last"))
+
+
+# Scalar functions.
+
+
+@named
+def byte_convert(spark, sf):
+    v = F.col("l_extendedprice") / 300 - 20
+    return table(spark, sf, "lineitem").groupBy(hof.to_byte(v).cast("long").alias("byte")).agg(F.count("*").alias("n"))
+
+
+@named
+def int_convert(spark, sf):
+    v = (F.col("l_extendedprice") - CENTRE) / 1000
+    return table(spark, sf, "lineitem").groupBy(hof.to_int(v).cast("long").alias("i")).agg(F.count("*").alias("n"))
+
+
+@named
+def high_byte(spark, sf):
+    return table(spark, sf, "events").groupBy(F.shiftright(F.col("event_id") % 65536, 8).cast("long").alias("high"), F.shiftright(F.col("event_id") % 65536, 4).cast("long").alias("twelve")).agg(F.count("*").alias("n"))
+
+
+@named
+def bit_functions(spark, sf):
+    n = F.col("o_orderkey").cast("long")
+    return table(spark, sf, "orders").select(n.alias("n"), hof.leading_zeros(n).cast("long").alias("clz"), hof.ceil_log2(n).cast("long").alias("log2"))
+
+
+@named
+def padded_length(spark, sf):
+    """Series lengths of users, padded for 1 to 3 steps and to a power of two."""
+    n = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    out = [(F.floor((F.col("n") - 1) / (1 << k)) * (1 << k) + (1 << k)).cast("long").alias(f"p{k}") for k in (1, 2, 3)]
+    return n.select("user_id", "n", *out, F.call_function("shiftleft", F.lit(1).cast("long"), hof.ceil_log2(F.col("n"))).alias("power"))
+
+
+@named
+def mirror_index(spark, sf):
+    return spark.range(-20, 20).select(F.col("id").alias("i"), *(hof.mirrored(F.col("id"), n).cast("long").alias(f"m{n}") for n in (1, 2, 3, 8)))
+
+
+@named
+def gray_minmax(spark, sf):
+    a = F.col("a")
+    lo, hi = F.array_min(a), F.array_max(a)
+    return arrays(spark, sf).select("cube_id", F.posexplode(F.transform(a, lambda x: F.when(hi > lo, (x - lo) / (hi - lo) * 255).otherwise(0.0))).alias("pos", "g")).groupBy(F.floor(r6(F.col("g"))).cast("long").alias("g")).agg(F.count("*").alias("n"))
+
+
+# Thresholds and statistics.
+
+
+@named
+def threshold_rank(spark, sf):
+    c = coefficients(spark, sf)
+    return spark.createDataFrame([(f, round(threshold(c, F.col("v"), f), 6)) for f in (0.0, 0.25, 0.5, 0.95, 1.0)], "fraction double, threshold double")
+
+
+@named
+def hard_threshold(spark, sf):
+    kept = coefficients(spark, sf).select(F.when(F.abs("v") <= T, 0.0).otherwise(F.col("v")).alias("v"))
+    return kept.agg(F.sum(F.when(F.col("v") == 0, 1).otherwise(0)).alias("zeros"), F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
+
+
+@named
+def filter_sorted(spark, sf):
+    return coefficients(spark, sf).where(F.abs("v") >= MOST).select(F.round("v", 2).alias("v")).orderBy(F.abs("v"))
+
+
+@named
+def lower_bound_rank(spark, sf):
+    c = coefficients(spark, sf)
+    return c.agg(*(F.sum(F.when(F.abs("v") < t, 1).otherwise(0)).cast("long").alias(f"below_{t}") for t in (100, 5000, 20000)))
+
+
+@named
+def mode_value(spark, sf):
+    return table(spark, sf, "lineitem").groupBy(F.col("l_quantity").alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(1)
+
+
+@named
+def summary_stats(spark, sf):
+    v = F.col("v")
+    return coefficients(spark, sf).agg(F.count(v).alias("n"), F.count_distinct(v).alias("n_distinct"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("stddev"), F.round(F.min(v), 4).alias("lo"), F.round(F.max(v), 4).alias("hi"))
+
+
+@named
+def trimmed_histogram(spark, sf):
+    """24 bins between the values at 1 % from either end; what lies beyond goes into the end bins."""
+    c = coefficients(spark, sf)
+    n = c.count()
+    lo, hi = (order_statistic(c, F.col("v"), k) for k in (n // 100, n - 1 - n // 100))
+    place = F.least(F.greatest(F.floor(r6((F.col("v") - lo) / ((hi - lo) / 24))), F.lit(0)), F.lit(23))
+    return histogram(c, place).withColumn("bar", F.expr(f"repeat('*', cast(floor(n * 200 / {n}) as int))"))
+
+
+@named
+def sign_counts(spark, sf):
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    v = hof.to_int(F.col("v") / 1000)
+    return coefficients(spark, sf).agg(count(v < 0).alias("negative"), count(v == 0).alias("zero"), count(v > 0).alias("positive"))
+
+
+# Quantizers.
+
+UNIFORM = partial(hof.quant_uniform, bins=BINS, t=T, most=MOST)
+LOG = partial(hof.quant_log, bins=BINS, t=T, most=MOST)
+QUANTIZERS = {
+    "uniform": (UNIFORM, partial(hof.dequant_uniform, bins=BINS, t=T, most=MOST)),
+    "log": (LOG, partial(hof.dequant_log, bins=BINS, t=T, most=MOST)),
+    "codebook": (partial(hof.quant_codebook, boundaries=BOOK), partial(hof.dequant_codebook, values=[-50000.0, -30000.0, -12000.0, 0.0, 12000.0, 30000.0, 50000.0])),
+}
+for _name, (_quant, _dequant) in QUANTIZERS.items():
+    query(f"quant_{_name}", lambda spark, sf, q=_quant: histogram(coefficients(spark, sf), q(F.col("v"))))
+    query(
+        f"dequant_{_name}",
+        lambda spark, sf, q=_quant, d=_dequant: coefficients(spark, sf).select(r6(d(q(F.col("v")))).alias("v")).groupBy("v").agg(F.count("*").alias("n")),
+    )
+
+
+@named
+def quantization_error(spark, sf):
+    """Squared error of each quantizer, relative to the number of values."""
+    c = coefficients(spark, sf)
+    return c.agg(*(F.round(F.avg((d(q(F.col("v"))) - F.col("v")) ** 2), 2).alias(name) for name, (q, d) in QUANTIZERS.items()))
+
+
+@named
+def quant_legacy_bits(spark, sf):
+    """The older form: sign times the rounded-up step above the threshold, by bits."""
+    v = F.col("v")
+    base = (1 << 3) - 1
+    uniform = F.when(F.abs(v) <= T, 0).otherwise(F.signum(v) * F.least(F.ceil(r6((F.abs(v) - T) / (MOST - T) * base)), F.lit(base)))
+    log = F.when(F.abs(v) <= T, 0).otherwise(F.signum(v) * F.least(F.ceil(r6(F.ln(F.abs(v) / T) / float(np.log(MOST / T)) * base)), F.lit(base)))
+    return coefficients(spark, sf).groupBy(uniform.cast("long").alias("uniform"), log.cast("long").alias("log")).agg(F.count("*").alias("n"))
+
+
+@named
+def init_codebook(spark, sf):
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(codebooks.geometric(T, MOST, 15))], "bin long, value double")
+
+
+@named
+def mirror_codebook(spark, sf):
+    c = coefficients(spark, sf).agg(F.min("v"), F.max("v")).first()
+    bounds, values = codebooks.mirrored(codebooks.geometric(T, MOST, 4), T, c[0], c[1], 10)
+    return spark.createDataFrame([(i, round(v, 6), round(bounds[i], 6) if i < len(bounds) else None) for i, v in enumerate(values)], "bin long, value double, upper double")
+
+
+@named
+def lloyd_codebook(spark, sf):
+    c = coefficients(spark, sf).where(F.abs("v") > T).select(F.abs("v").alias("v"))
+    book, partition, _ = codebooks.lloyd(c, F.col("v"), codebooks.geometric(T, MOST, 6), stop=1.0, most=20)
+    return spark.createDataFrame([(i, round(v, 4), round(partition[i], 4) if i < len(partition) else None) for i, v in enumerate(book)], "bin long, value double, upper double")
+
+
+@named
+def lloyd_one_step(spark, sf):
+    c = coefficients(spark, sf).where(F.abs("v") > T).select(F.abs("v").alias("v"))
+    book, _, _ = codebooks.lloyd(c, F.col("v"), [10000.0, 20000.0, 30000.0, 50000.0], stop=0.0, most=1)
+    return spark.createDataFrame([(i, round(v, 4)) for i, v in enumerate(book)], "bin long, value double")
+
+
+@named
+def equal_pop_bins(spark, sf):
+    bounds, values = codebooks.equal_population(coefficients(spark, sf), F.col("v"), 3, T)
+    return spark.createDataFrame([(i, round(v, 4), round(bounds[i], 4) if i < len(bounds) else None) for i, v in enumerate(values)], "bin long, value double, upper double")
+
+
+@named
+def quant_equal_pop(spark, sf):
+    c = coefficients(spark, sf)
+    bounds, _ = codebooks.equal_population(c, F.col("v"), 3, T)
+    return histogram(c, codebooks.quant_population(F.col("v"), bounds))
+
+
+# Runs and codes.
+
+
+@named
+def symbol_frequency(spark, sf):
+    return symbols(spark, sf).groupBy("s").agg(F.count("*").alias("n"))
+
+
+@named
+def rle_encode(spark, sf):
+    return entropy.run_pairs(symbols(spark, sf)).select("cube_id", "start", "s", F.col("length").cast("long").alias("length"))
+
+
+@named
+def rle_pair_frequency(spark, sf):
+    """Run values and run lengths counted together."""
+    pairs = entropy.run_pairs(symbols(spark, sf))
+    return pairs.select(F.explode(F.array(F.col("s").cast("long"), F.col("length").cast("long"))).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@named
+def zero_run_lengths(spark, sf):
+    return entropy.runs(symbols(spark, sf, 2)).where("s = 0").groupBy("length").agg(F.count("*").alias("n"))
+
+
+@named
+def zero_run_savings(spark, sf):
+    """Symbols that would go if each run of zeros over two were a pair."""
+    return entropy.runs(symbols(spark, sf, 2)).where("s = 0 and length > 2").agg(F.count("*").alias("runs"), F.sum(F.col("length") - 2).cast("long").alias("saved"))
+
+
+@named
+def huffman_size(spark, sf):
+    q = coefficients(spark, sf).select(UNIFORM(F.col("v")).alias("s"))
+    counts = entropy.frequencies(q)
+    own = entropy.lengths(counts)
+    bits, n = sum(k * own[s] for s, k in counts.items()), sum(counts.values())
+    return spark.createDataFrame([(len(counts), n, bits, entropy.encoded_bytes(counts, own), round(bits / n, 6))], "symbols long, n long, bits long, bytes long, bits_per_value double")
+
+
+def quantised_arrays(spark, sf) -> DataFrame:
+    coded = hof.transform(F.col("a"), CUBE, (2, 2, 2))
+    return arrays(spark, sf).select("cube_id", F.transform(coded, lambda c: hof.quant_uniform(c, 16, 0.15, 1.0)).alias("q"))
+
+
+@named
+def huffman_roundtrip(spark, sf):
+    """Encode each cubelet's symbols, runs of the zero bin as escapes, decode, and count what differs."""
+    q = quantised_arrays(spark, sf)
+    counts = entropy.frequencies(q.select(F.explode("q").alias("s"))) | {16: 1}
+    book = entropy.codes(entropy.lengths(counts))
+    coded = q.withColumn("data", entropy.encode_column(F.col("q"), book, common=7, key=16))
+    back = coded.withColumn("back", entropy.decode_column(F.col("data"), 64, book, common=7, key=16))
+    return back.agg(F.count("*").alias("cubes"), F.sum(F.when(F.col("q") == F.col("back"), 0).otherwise(1)).alias("mismatches"))
+
+
+# Errors.
+
+
+@named
+def error_metrics(spark, sf):
+    """Original against transformed, quantised and restored."""
+    q = quantised_arrays(spark, sf)
+    back = q.select("cube_id", hof.transform(F.transform("q", lambda s: hof.dequant_uniform(s, 16, 0.15, 1.0)), CUBE, (2, 2, 2), back=True).alias("b"))
+    a = arrays(spark, sf).select("cube_id", F.posexplode("a").alias("pos", "v"))
+    b = back.select("cube_id", F.posexplode("b").alias("pos", "v"))
+    out = metrics.compared(a, b, ["cube_id", "pos"], 1.0)
+    return out.select(*(F.round(c, 5).alias(c) for c in out.columns))
+
+
+@named
+def compress_roundtrip(spark, sf):
+    """As error_metrics, without a join: payload against payload in one row."""
+    q = hof.transform(F.transform(F.transform(hof.transform(F.col("a"), CUBE, (2, 2, 2)), lambda c: hof.quant_uniform(c, 16, 0.15, 1.0)), lambda s: hof.dequant_uniform(s, 16, 0.15, 1.0)), CUBE, (2, 2, 2), back=True)
+    rows = arrays(spark, sf).select("cube_id", "a", q.alias("b")).select("cube_id", F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("sse"))
+    return rows.select("cube_id", r6(F.col("sse") / 64).alias("mse"))
+
+
+def versions(spark, sf):
+    c = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_extendedprice") - CENTRE).alias("v"))
+    return c, c.withColumn("v", QUANTIZERS["uniform"][1](UNIFORM(F.col("v"))))
+
+
+@named
+def matrix_mse(spark, sf):
+    """Over the part that both matrices have."""
+    a, b = versions(spark, sf)
+    out = metrics.compared(a.where("l_linenumber <= 5"), b.where("l_linenumber >= 2"), ["l_orderkey", "l_linenumber"], MOST)
+    return out.select(F.round("mse", 2).alias("mse"))
+
+
+@named
+def relative_norms(spark, sf):
+    a, b = versions(spark, sf)
+    j = a.withColumnRenamed("v", "a").join(b.withColumnRenamed("v", "b"), ["l_orderkey", "l_linenumber"])
+    d = F.col("a") - F.col("b")
+    return j.agg(F.round(F.sum(d * d) / F.sum(F.col("a") ** 2), 6).alias("mse"), F.round(F.sqrt(F.sum(d * d)) / F.sqrt(F.sum(F.col("a") ** 2)), 6).alias("l2"), F.round(F.sum(F.abs(d)) / F.sum(F.abs("a")), 6).alias("l1"))
+
+
+@named
+def difference_map(spark, sf):
+    """Signed differences of two frames, scaled by the largest, in -255..255."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), "pos", F.col("v").alias("w")), ["vec_id", "pos"])
+    d = pairs.select(F.col("vec_id").alias("cube_id"), "pos", (F.col("w").cast("double") - F.col("v").cast("double")).alias("d"))
+    most = d.groupBy("cube_id").agg(F.max(F.abs("d")).alias("most"))
+    return d.join(most, "cube_id").select("cube_id", F.col("pos").cast("long").alias("pos"), r6(F.when(F.col("most") > 0, F.col("d") / F.col("most") * 255).otherwise(0.0)).alias("v"))
+
+
+# Search.
+
+
+def trials(spark, sf, fractions, bins) -> DataFrame:
+    """A row for each fraction and bin count, from one pass: every value meets each trial in its own row."""
+    c = coefficients(spark, sf)
+    most = c.agg(F.max(F.abs("v"))).first()[0]
+    cuts = [(f, threshold(c, F.col("v"), f)) for f in fractions]
+    one = [F.struct(F.lit(f).alias("fraction"), F.lit(b).cast("long").alias("bins"), hof.quant_uniform(F.col("v"), b, t, most).alias("q"), hof.dequant_uniform(hof.quant_uniform(F.col("v"), b, t, most), b, t, most).alias("b")) for f, t in cuts for b in bins]
+    counted = c.select("v", F.inline(F.array(*one))).groupBy("fraction", "bins", "q").agg(F.count("*").alias("n"), F.sum((F.col("b") - F.col("v")) ** 2).alias("sse"))
+    mse = F.sum("sse") / F.sum("n")
+    return counted.groupBy("fraction", "bins").agg(F.count("*").alias("used"), F.round(mse, 2).alias("mse"), F.round(F.log10(most * most / mse) * 10, 4).alias("psnr"))
+
+
+@named
+def param_sweep(spark, sf):
+    return trials(spark, sf, (0.5, 0.75, 0.9), (16, 64, 256))
+
+
+@named
+def fixed_psnr_search(spark, sf):
+    """For each fraction, the fewest bins that reach 12 dB."""
+    good = trials(spark, sf, (0.3, 0.5, 0.7), (8, 16, 32, 64)).where("psnr >= 12")
+    return good.groupBy("fraction").agg(F.min("bins").alias("bins"), F.min_by("psnr", "bins").alias("psnr"))
+
+
+@named
+def max_cut_bisect(spark, sf):
+    """The largest cut whose relative error stays under 0.05, by seven halvings."""
+    c = coefficients(spark, sf)
+    low, high = 0.0, 1.0
+    for _ in range(7):
+        cut = (low + high) / 2
+        t = threshold(c, F.col("v"), cut)
+        err = c.agg(F.sum(F.when(F.abs("v") <= t, F.col("v") ** 2).otherwise(0.0)) / F.sum(F.col("v") ** 2)).first()[0]
+        low, high = (cut, high) if err <= 0.05 else (low, cut)
+    return spark.createDataFrame([(low,)], "cut double")
+
+
+# Codecs of whole slices.
+
+
+@arrow_udf("binary")
+def deflated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([None if x is None else zlib.compress(np.array(x, dtype=np.uint8).tobytes(), 6) for x in batch.to_pylist()], pa.binary())
+
+
+@arrow_udf("array<int>")
+def inflated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([None if x is None else np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int32) for x in batch.to_pylist()], pa.list_(pa.int32()))
+
+
+@named
+def slice_minmax_codec(spark, sf):
+    """Each 8 x 8 slice: 2-D transform, quantised between its least and most, deflated; the restored slice's error."""
+    c = arrays(spark, sf).select("cube_id", "a", hof.transform(F.col("a"), SQUARE, (2, 2, 0), "cdf97").alias("c"))
+    c = c.withColumn("lo", F.array_min("c")).withColumn("hi", F.array_max("c"))
+    level = F.when(F.col("hi") > F.col("lo"), 255 / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    c = c.withColumn("f", level).withColumn("q", F.expr("transform(c, x -> cast(greatest(ceil((x - lo) * f - 0.5), 0) as int))"))
+    c = c.withColumn("q2", inflated(deflated("q"))).withColumn("b", F.expr("transform(q2, q -> case when f > 0 then q / f + lo else lo end)"))
+    c = c.withColumn("b", hof.transform(F.col("b"), SQUARE, (2, 2, 0), "cdf97", back=True))
+    return c.select("cube_id", F.expr("q = q2").alias("same"), F.expr("aggregate(zip_with(a, b, (x, y) -> abs(x - y)), 0D, (s, x) -> greatest(s, x)) < (hi - lo) * 0.03").alias("close"))
