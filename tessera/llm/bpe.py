@@ -22,11 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_bytes, blocks, brought_together, groups, pack, settle, shard_of, shuffle_partitions, unpack, word_hashes
+from .common import as_bytes, blocks, brought_together, deltas, groups, pack, settle, shard_of, shuffle_partitions, unpack, word_hashes
 
 #: Spaces at which a text may not be cut: a run of white space that holds more than its last space, or ends the text.
 UNSAFE = re.compile(r" \s* |\s\Z")
-_ENCODERS: dict[int, tiktoken.Encoding] = {}
+#: Bytes of text in a block: the larger, the fewer blocks ask for the same pre-token. Units put together at once.
+BLOCK, TOGETHER = 24_000_000, 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -69,7 +70,7 @@ def cut(texts: list[bytes], pattern) -> tuple[np.ndarray, np.ndarray, np.ndarray
             units.append([tokens.setdefault(token, len(tokens))])
         return alone[token]
 
-    codes, counts = [], []
+    codes, counts = [np.zeros(0, np.int32)], []
     for text in texts:
         string = text.decode("utf-8", "replace")
         if UNSAFE.search(string):
@@ -78,32 +79,36 @@ def cut(texts: list[bytes], pattern) -> tuple[np.ndarray, np.ndarray, np.ndarray
             first, *rest = string.split(" ")
             own = [single(x) for x in pattern.findall(first)]
             own += map(inner.__getitem__, rest)
-        codes += own
+        codes.append(np.array(own, dtype=np.int32))
         counts.append(len(own))
     flat = np.array([x for u in units for x in u], dtype=np.int32)
-    return np.array(codes, dtype=np.int32), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), flat, np.concatenate([[0], np.cumsum([len(u) for u in units])]).astype(np.int64), list(tokens)
+    return np.concatenate(codes), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), flat, np.concatenate([[0], np.cumsum([len(u) for u in units])]).astype(np.int64), list(tokens)
 
 
 def _positions(pattern: str, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, find = TaskContext.get().partitionId(), regex.compile(pattern)
-        for k, block in enumerate(blocks(batches)):
+        for k, block in enumerate(blocks(batches, BLOCK)):
             number = part << 32 | k
             codes, offsets, flat, unit_offsets, tokens = cut(block["text"], find)
             words = [t.encode("utf-8", "replace") for t in tokens]
-            shard = shard_of(word_hashes(words), shards)
-            order = np.argsort(shard, kind="stable")
+            del tokens
+            by_word = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int64)  # neighbours are alike, which packs well
+            shard = shard_of(word_hashes(words), shards)[by_word]
+            order = by_word[np.argsort(shard, kind="stable")]
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))  # a pre-token's code is its place among all that the block asks for
             often = np.argsort(-np.bincount(codes, minlength=len(unit_offsets) - 1), kind="stable")  # frequent units get small codes
             rank = np.empty(len(often), np.int32)
             rank[often] = np.arange(len(often))
-            flat, unit_offsets = ragged(flat, unit_offsets, often)
+            flat, unit_offsets = ragged(place[flat], unit_offsets, often)
             ids = np.array([x or 0 for x in block["doc_id"]], dtype=np.int64)
             none = np.array([x is None for x in block["doc_id"]])
-            rows = [(number, -1, pack(ids, none, np.diff(offsets), rank[codes], flat, np.diff(unit_offsets).astype(np.int32), order.astype(np.int32), level=3))]
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            rows = [(number, -1, pack(deltas(ids), none, np.diff(offsets), rank[codes], flat, np.diff(unit_offsets).astype(np.int32), level=3))]
+            edges = np.searchsorted(np.sort(shard, kind="stable"), np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(edges)):
                 own = [words[i] for i in order[edges[s] : edges[s + 1]]]
-                rows.append((number, int(s), pack(np.array([len(w) for w in own], dtype=np.uint32), np.frombuffer(b"".join(own), np.uint8))))
+                rows.append((number, int(s), pack(np.array([len(w) for w in own], dtype=np.uint32), np.frombuffer(b"".join(own), np.uint8), level=9)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["block", "shard", "payload"])
 
     return run
@@ -123,25 +128,36 @@ def _encode(ranks, pattern: str):
             flat, offsets = np.array([i for own in ids for i in own], dtype=np.int32), np.concatenate([[0], np.cumsum([len(own) for own in ids])])
             for row, own in zip(rows, asked):
                 values, cuts = ragged(flat, offsets, np.array(own))
-                payload = pack(values, np.diff(cuts).astype(np.int32))
+                payload = pack(values, np.diff(cuts).astype(np.int32), level=9)
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([shard], pa.int32()), pa.array([payload], pa.binary())], ["block", "shard", "payload"])
 
     return run
 
 
-def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in groups(batches, "block"):
-        ids, none, counts, codes, flat, unit_lengths, order = unpack(rows[0]["payload"])
-        answers = [unpack(row["payload"]) for row in rows[1:]]
+def _reassemble(kept: pa.Table, answered: pa.Table) -> pa.Table:
+    """A block's positions (one row) and the answers of the shards."""
+    out = [OUTPUT.empty_table()]
+    for payload in kept.column("payload").to_pylist():
+        ids, none, counts, codes, flat, unit_lengths = unpack(payload)
+        rows = answered.sort_by("shard").column("payload").to_pylist()
+        ids = np.cumsum(ids)
+        answers = [unpack(row) for row in rows]  # in the order of the shards, as the codes are
         values = np.concatenate([np.zeros(0, np.int32), *(a[0] for a in answers)])
         offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(a[1] for a in answers)]))]).astype(np.int64)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))  # answers come in the order of the shards
-        by_unit, by_unit_offsets = ragged(values, offsets, place[flat])
+        by_unit, by_unit_offsets = ragged(values, offsets, flat)
         unit_cuts = by_unit_offsets[np.concatenate([[0], np.cumsum(unit_lengths)])]
-        tokens, token_offsets = ragged(by_unit, unit_cuts, codes)
-        cuts = token_offsets[np.concatenate([[0], np.cumsum(counts)])]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=none), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(tokens.astype(np.int32)))], ["doc_id", "ids"])
+        text_cuts = np.concatenate([[0], np.cumsum(counts)])
+        at = 0
+        while at < len(ids):
+            stop = max(at + 1, int(np.searchsorted(text_cuts, text_cuts[at] + TOGETHER, side="right")) - 1)
+            tokens, token_offsets = ragged(by_unit, unit_cuts, codes[text_cuts[at] : text_cuts[stop]])
+            cuts = token_offsets[text_cuts[at : stop + 1] - text_cuts[at]]
+            out.append(pa.Table.from_arrays([pa.array(ids[at:stop], mask=none[at:stop]), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(tokens.astype(np.int32)))], schema=OUTPUT))
+            at = stop
+    return pa.concat_tables(out)
+
+
+OUTPUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -151,11 +167,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     spark = docs.sparkSession
     shards = 2 * shuffle_partitions(spark)
     shared = spark.sparkContext.broadcast(ranks)
-    kept = settle(as_bytes(docs).mapInArrow(_positions(pattern, shards), "block long, shard int, payload binary"), payload=True)
+    kept = settle(as_bytes(docs).mapInArrow(_positions(pattern, shards), "block long, shard int, payload binary"), payload=True, by="block")
     asked = brought_together(kept.where("shard >= 0"), "shard")
     answered = asked.mapInArrow(_encode(shared, pattern), "block long, shard int, payload binary")
-    met = brought_together(kept.where("shard < 0").union(answered), "block", "shard")
-    return met.mapInArrow(_reassemble, "doc_id long, ids array<int>")
+    # the positions stay where they were written: only the answers move
+    met = kept.where("shard < 0").groupBy("block").cogroup(answered.groupBy("block"))
+    return met.applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
 def decode_column(spark, ranks: dict[bytes, int], ids: Column) -> Column:

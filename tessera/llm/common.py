@@ -35,19 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def settle(df: DataFrame, payload: bool = False) -> DataFrame:
+def settle(df: DataFrame, payload: bool = False, by: str | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: its lineage ends there, so that a lost executor costs
-    no recomputation of what lies before. The files go when the application ends. payload: rows are large."""
+    no recomputation of what lies before. The files go when the application ends. payload: rows are large. by: the
+    files are bucketed by a column, so that meeting another table on it moves only that table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    name = f"tessera_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     out = df.write.option("compression", "none" if payload else "zstd")
     if payload:  # few rows to a row group, since a reader holds whole batches of rows
         out = out.option("parquet.block.size", 8 << 20).option("parquet.block.size.row.check.min", 1)
-    out.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        out.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    out.format("parquet").bucketBy(shuffle_partitions(spark), by).option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
