@@ -27,7 +27,7 @@ from .common import as_bytes, blocks, brought_together, deltas, groups, pack, se
 #: Spaces at which a text may not be cut: a run of white space that holds more than its last space, or ends the text.
 UNSAFE = re.compile(r" \s* |\s\Z")
 #: Bytes of text in a block: the larger, the fewer blocks ask for the same pre-token. Units put together at once.
-BLOCK, TOGETHER = 24_000_000, 500_000
+BLOCK, TOGETHER = 10_000_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
