@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 from pyspark.sql.functions import arrow_udf
 
 from ..functions import hof
@@ -508,13 +509,13 @@ def max_cut_bisect(spark, sf):
 # Codecs of whole slices.
 
 
-@arrow_udf("binary")
+@arrow_udf(ST.BinaryType())
 def deflated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([None if x is None else zlib.compress(np.array(x, dtype=np.uint8).tobytes(), 6) for x in batch.to_pylist()], pa.binary())
 
 
-@arrow_udf("array<int>")
+@arrow_udf(ST.ArrayType(ST.IntegerType()))
 def inflated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([None if x is None else np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int32) for x in batch.to_pylist()], pa.list_(pa.int32()))
