@@ -86,8 +86,12 @@ def mix(docs: DataFrame, levels: list[Column], tokens: Column, weights: dict[tup
     ranges = placed.groupBy("path", "r").agg(F.sum("tokens").alias("own"))
     before = Window.partitionBy("path").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("path", "r", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("path", "r").orderBy("h", "id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a range is ordered only if the budget ends in it or after it; what lies before the end is taken whole
-    cut = placed.join(ranges, ["path", "r"]).where("before <= rest").withColumn("sum", F.col("before") + F.sum("tokens").over(within))
-    part = cut.where("sum <= rest").select("id", "path", "tokens", F.col("whole").alias("epoch"))
+    # the range in which a leaf's budget ends: earlier ones are taken whole, later ones not at all, it alone is ordered
+    budget = planned.select("path", F.col("rest").alias("most"))
+    ends = ranges.join(F.broadcast(budget), "path").where("before <= most").groupBy("path").agg(F.max("r").alias("last"), F.max("before").alias("before"))
+    near = placed.join(F.broadcast(ends), "path")  # at most MOST_LEAVES rows
+    early = near.where("r < last").select("id", "path", "tokens", F.col("whole").alias("epoch"))
+    within = Window.partitionBy("path").orderBy("h", "id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = near.where("r = last").withColumn("sum", F.col("before") + F.sum("tokens").over(within)).where("sum <= rest")
+    part = early.union(cut.select("id", "path", "tokens", F.col("whole").alias("epoch")))
     return whole.union(part).withColumnRenamed("id", id)
