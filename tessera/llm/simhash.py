@@ -53,24 +53,26 @@ def fingerprints_of(texts: list[bytes], k: int, seed: int) -> np.ndarray:
         hashes.append(np.array(own, dtype=np.uint64))
         owners.append(d)
         counts.append(len(own))
-    if not owners:
-        return out
-    h = np.concatenate(hashes)
-    counts = np.array(counts)
+    if owners:
+        out[owners] = majority(np.concatenate(hashes), np.array(counts))
+    return out
+
+
+def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of counts[i] > 0 values of h, the bits that are set in over half of them."""
     first = np.cumsum(counts) - counts
     pieces = -(-counts // 255)  # eight one-byte counters hold at most 255
     piece_first = np.cumsum(pieces) - pieces
     within = np.arange(pieces.sum()) - np.repeat(piece_first, pieces)
     starts = np.repeat(first, pieces) + 255 * within
     lanes = h.view(np.uint8).reshape(-1, 8)
-    bits = np.zeros(len(owners), np.uint64)
+    bits = np.zeros(len(counts), np.uint64)
     for lane in range(8):
         sums = np.add.reduceat(SPREAD[lanes[:, lane]], starts).view(np.uint8).reshape(-1, 8).astype(np.int64)
         ones = np.add.reduceat(sums, piece_first, axis=0)
         for j in range(8):
             bits |= (2 * ones[:, j] > counts).astype(np.uint64) << np.uint64(8 * lane + j)
-    out[owners] = bits
-    return out
+    return bits
 
 
 def fingerprint_column(text, k: int = 4, seed: int = 42):
@@ -112,9 +114,9 @@ def partition_count(n: int, t: int) -> int:
 class Plan:
     """Bit groups, histograms of their parts, and the thresholds chosen from them."""
 
-    def __init__(self, n: int, t: int, together: np.ndarray):
-        """together[i, j]: fingerprints that have bits i and j set, n in all."""
-        self.n, self.t, self.m = n, t, partition_count(n, t)
+    def __init__(self, n: int, t: int, together: np.ndarray, tables: int = 1):
+        """together[i, j]: fingerprints that have bits i and j set, n in all, of `tables` kinds that never meet."""
+        self.n, self.t, self.m = n, t, partition_count(n // tables, t)
         p = together.diagonal() / max(n, 1)
         spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
         like = np.abs(together / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
@@ -207,20 +209,21 @@ class Plan:
         return (value | np.uint64(i << 40)).astype(np.int64)
 
     def index(self, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys, and the places in y that they are of."""
         for i in range(self.m):
-            yield self.key(i, self.cut(y, self.starts[i], self.sizes[i])), y
+            yield self.key(i, self.cut(y, self.starts[i], self.sizes[i])), np.arange(len(y))
 
     def probes(self, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         u = self.thresholds(y)
         for i in range(self.m):
             masks = balls(self.sizes[i], self.t)
             for most in range(1, self.t + 2):
-                own = y[u[i] == most]
+                own = np.flatnonzero(u[i] == most)
                 around = np.concatenate(masks[:most])
                 step = max(1, 200_000 // len(around))
                 for at in range(0, len(own), step):
                     part = own[at : at + step]
-                    yield self.key(i, (self.cut(part, self.starts[i], self.sizes[i])[:, None] ^ around[None, :]).reshape(-1)), np.repeat(part, len(around))
+                    yield self.key(i, (self.cut(y[part], self.starts[i], self.sizes[i])[:, None] ^ around[None, :]).reshape(-1)), np.repeat(part, len(around))
 
 
 def _each(batches) -> Iterator[np.ndarray]:
@@ -245,7 +248,7 @@ def _sums(distinct: DataFrame, of, schema: str = "k long, n long") -> dict[int,
     return {r["k"]: r["n"] for r in rows}
 
 
-def plan_for(distinct: DataFrame, t: int) -> Plan:
+def plan_for(distinct: DataFrame, t: int, tables: int = 1) -> Plan:
     """distinct(x): each fingerprint once. What comes to the driver are 64 x 64 counts and histograms of a few
     thousand places, whatever the number of fingerprints."""
 
@@ -254,7 +257,7 @@ def plan_for(distinct: DataFrame, t: int) -> Plan:
         return np.concatenate([[len(y)], (bits.T @ bits).astype(np.int64).reshape(-1)])
 
     sums = _sums(distinct, together)
-    plan = Plan(sums.get(0, 0), t, np.array([sums.get(k + 1, 0) for k in range(4096)], dtype=np.float64).reshape(64, 64))
+    plan = Plan(sums.get(0, 0), t, np.array([sums.get(k + 1, 0) for k in range(4096)], dtype=np.float64).reshape(64, 64), tables)
     offsets = np.concatenate([[0], np.cumsum([1 << w for _, _, w in plan.parts])])
 
     def histograms(x: np.ndarray) -> np.ndarray:
@@ -286,6 +289,15 @@ def forest(values: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+def in_tiles(members: DataFrame, who: str) -> DataFrame:
+    """members(key, ...), in tiles of about TILE rows for each pair of shares of a key, so that each two meet: column tile."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    placed = members.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64(who), F.col("tiles")).cast("int"))
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tile = F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("tile")
+    return dealt.select(tile, *(c for c in members.columns if c != "key"))
+
+
 def links(distinct: DataFrame, t: int) -> DataFrame:
     """distinct(x): each fingerprint once. Returns (a, b): links within t bits, enough to connect all that any such
     links connect. Partition values that few fingerprints share give every verified pair; a crowded value gives a
@@ -295,8 +307,9 @@ def links(distinct: DataFrame, t: int) -> DataFrame:
     def rows(of):
         def run(batches):
             for x in _each(batches):
-                for key, y in of(plan.arranged(x)):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(y.view(np.int64))], ["key", "y"])
+                y = plan.arranged(x)
+                for key, place in of(y):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(y[place].view(np.int64))], ["key", "y"])
 
         return run
 
@@ -309,11 +322,7 @@ def links(distinct: DataFrame, t: int) -> DataFrame:
     found = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= t)).select("a", "b")
     if crowded:
         members = index.union(probes).join(hot, "key", "left_semi").distinct()
-        members = settle(members)
-        sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-        placed = members.join(sizes, "key").select("key", "y", "tiles", F.pmod(F.xxhash64("y"), F.col("tiles")).cast("int").alias("c"))
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")
-        dealt = placed.select("key", "y", "c", other).select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("tile"), "y")
+        dealt = in_tiles(settle(members), "y")
 
         def connect(batches):
             held: list[np.ndarray] = []

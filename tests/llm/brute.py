@@ -58,6 +58,28 @@ def near_duplicates(rows, k=4, t=4):
     return [(doc_id, f"{p:016x}", least[find(p)]) for (doc_id, _), p in zip(rows, prints)]
 
 
+def similar_groups(rows, k=5, least=0.8):
+    """rows: (doc_id, text) with a word each -> doc_id: least id of its group"""
+    sets = []
+    for doc_id, text in rows:
+        words = WORD.findall(lower(text))
+        sets.append((doc_id, {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}))
+    group = {i: i for i, _ in rows}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, (a, s) in enumerate(sets):
+        for b, u in sets[:i]:
+            shared = len(s & u)
+            if shared >= least * (len(s) + len(u) - shared):
+                x, y = sorted((find(a), find(b)))
+                group[y] = x
+    return {i: find(i) for i in group}
+
+
 def bpe(rows, ranks, pattern):
     encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     out = []

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, langid, lm, mixing, quality, rlz, simhash, toxicity, weak_rules
+from tessera.llm import ann, bpe, langid, lm, mixing, quality, rlz, similar, simhash, toxicity, weak_rules
 from tessera.llm.eliasfano import EliasFano
 
 from . import brute
@@ -56,6 +56,26 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_similar_groups(spark, docs, rows, empty):
+    """Exact groups on the fixture; near copies with changed words, few and in a crowd that shares its keys; no id, no word: no row."""
+    want = brute.similar_groups([(i, t) for i, t in dict(rows).items() if i is not None and i != 7 and brute.WORD.search(t or "")])
+    assert {tuple(r) for r in similar.similar_groups(docs.where("doc_id <> 7")).collect()} == set(want.items())
+    assert similar.similar_groups(empty).count() == 0
+    base, few = prose(400).split(), [prose(150).split() for _ in range(20)]
+
+    def changed(words, n):
+        out = list(words)
+        for at in RANDOM.sample(range(len(out)), n):
+            out[at] = "changed" + str(RANDOM.random())
+        return " ".join(out)
+
+    crowd = [(i, changed(base, 2)) for i in range(200)]
+    pairs = [(1000 + 2 * i + j, changed(w, j)) for i, w in enumerate(few) for j in (0, 1)]
+    clean = [(2000 + i, prose(100)) for i in range(50)]
+    got = dict(map(tuple, similar.similar_groups(spark.createDataFrame(crowd + pairs + clean, "doc_id long, text string").repartition(4)).collect()))
+    assert got == {i: 0 for i, _ in crowd} | {i: i - i % 2 for i, _ in pairs} | {i: i for i, _ in clean}
+
+
 def test_links_of_dense_groups(spark):
     """A third of all fingerprints near one centre: components, not pairs, and none lost."""
     rng = np.random.default_rng(1)
@@ -255,7 +275,7 @@ def test_pipeline(spark, tmp_path):
         got = {r["doc_id"] for r in out.select("doc_id").collect()}
         if name == "near_duplicates":
             worded = [(i, t) for i, t in rows.items() if brute.WORD.search(t or "")]
-            gone = {i for i, _, c in brute.near_duplicates(worded, k=5) if i != c}
+            gone = {i for i, c in brute.similar_groups(worded).items() if i != c}
             assert got == set(rows) - gone and gone
         if name == "repeated_passages":
             want = {i: h for i, n, g, h in brute.substrings(list(rows.items())) if g < n or not n}
