@@ -289,9 +289,9 @@ def forest(values: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def in_tiles(members: DataFrame, who: str) -> DataFrame:
-    """members(key, ...), in tiles of about TILE rows for each pair of shares of a key, so that each two meet: column tile."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+def in_tiles(members: DataFrame, who: str, side: int = TILE) -> DataFrame:
+    """members(key, ...), in tiles for each pair of shares (of about `side` rows) of a key, so that each two meet: column tile."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / side).cast("int").alias("tiles"))
     placed = members.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64(who), F.col("tiles")).cast("int"))
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tile = F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("tile")
