@@ -315,3 +315,31 @@ def test_every_pair_at_the_threshold_is_met(spark):
         out += [base, varied(base, 7 + i % 2, f"t{i}")]
     assert all(0.8 <= jaccard(a, b) < 0.85 for a, b in zip(out[::2], out[1::2]))
     assert groups_of(spark, out) == {i: i - i % 2 for i in range(1200)}
+
+
+def scattered(rng, base, n, tag):
+    """The words of base, n of them (anywhere, at least six words apart) replaced."""
+    while True:
+        places = sorted(rng.sample(range(5, len(base) - 5), n))
+        if all(b - a > 5 for a, b in zip(places, places[1:])):
+            break
+    out = list(base)
+    for at in places:
+        out[at] = f"{tag}v{at}"
+    return out
+
+
+def test_texts_of_one_template_stay_apart(spark):
+    """300 variants whose similarities are all under 0.79, mostly 0.70 to 0.79: none is a near-duplicate."""
+    rng, base = random.Random(5), [f"w{i}" for i in range(400)]
+    out, sets, most = [], [], []
+    while len(out) < 300:
+        words = scattered(rng, base, 6, f"t{len(out)}x")
+        own = {hash(tuple(words[i : i + 5])) for i in range(len(words) - 4)}
+        near = [len(own & s) / len(own | s) for s in sets]
+        if max(near, default=0) < 0.79:
+            out.append(words)
+            sets.append(own)
+            most += near
+    assert 0.70 < sorted(most)[len(most) // 2] < 0.79
+    assert groups_of(spark, out) == {i: i for i in range(300)}
