@@ -343,3 +343,12 @@ def test_texts_of_one_template_stay_apart(spark):
             most += near
     assert 0.70 < sorted(most)[len(most) // 2] < 0.79
     assert groups_of(spark, out) == {i: i for i in range(300)}
+
+
+def test_crowded_copies_of_an_original_are_found(spark):
+    """300 copies of 0.80 to 0.84 to their original, further from each other."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+    out = [base, *(scattered(rng, base, 7 + i % 2, f"t{i}x") for i in range(300))]
+    assert all(0.8 <= jaccard(base, w) < 0.84 for w in out[1:])
+    assert groups_of(spark, out) == dict.fromkeys(range(301), 0)
