@@ -352,3 +352,13 @@ def test_crowded_copies_of_an_original_are_found(spark):
     out = [base, *(scattered(rng, base, 7 + i % 2, f"t{i}x") for i in range(300))]
     assert all(0.8 <= jaccard(base, w) < 0.84 for w in out[1:])
     assert groups_of(spark, out) == dict.fromkeys(range(301), 0)
+
+
+def test_short_texts_are_compared_by_shingles(spark):
+    """300 pairs of eight and nine words, four shingles of five shared: a similarity of exactly 0.8."""
+    out = []
+    for i in range(300):
+        base = [f"w{i}x{j}" for j in range(9)]
+        out += [base, base[:8]]
+    assert {jaccard(a, b) for a, b in zip(out[::2], out[1::2])} == {0.8}
+    assert groups_of(spark, out) == {i: i - i % 2 for i in range(600)}
