@@ -57,17 +57,18 @@ def budgets(leaves: dict[tuple, int], weights: dict[tuple, float], total: float,
     return out
 
 
-def mix(docs: DataFrame, levels: list[Column], tokens: Column, weights: dict[tuple, float], total: float | None = None, share: float | None = None, epochs: int = 1, seed: int = 0, id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, levels: list[Column], tokens: Column, weights: dict[tuple, float], total: float | None = None, share: float | None = None, epochs: int = 1, seed: int = 0, id: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
     """Which rows to take: id, path (array<string>), tokens, epoch (from 0), a row for each time a document is taken.
 
     levels: the names of a leaf from the root down (null counts as the name "(none)"). The budget is `total` tokens, or
     `share` of all. In each epoch a leaf's documents stand in the order of a hash seeded by (seed, epoch, id), ties by id
     and tokens; its budget takes whole epochs first, then the longest prefix of the next that doesn't exceed it. Null
     tokens count as 0. Rows of a null id take part. Rows of equal id are apart. No row of the input is left out of
-    the sums; a leaf, however large, is ordered in ranges of its hashes, not in one task."""
+    the sums; a leaf, however large, is ordered in ranges of its hashes, not in one task. carried: columns that come out
+    as well and decide ties that are left."""
     spark = docs.sparkSession
     path = F.array(*(F.coalesce(c.cast("string"), F.lit(NONE)) for c in levels))
-    slim = settle(docs.select(F.col(id).alias("id"), path.alias("path"), F.coalesce(tokens.cast("long"), F.lit(0)).alias("tokens")))
+    slim = settle(docs.select(F.col(id).alias("id"), path.alias("path"), F.coalesce(tokens.cast("long"), F.lit(0)).alias("tokens"), *carried))
     sums = slim.groupBy("path").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).limit(MOST_LEAVES + 1).collect()
     if len(sums) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves")
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, levels: list[Column], tokens: Column, weights: dict[tup
         rows.append((r["path"], int(whole if r["tokens"] else 0), int(budget - whole * r["tokens"]) if r["tokens"] else 0, max(1, -(-r["n"] // RANGE))))
     planned = spark.createDataFrame(rows, "path array<string>, whole int, rest long, ranges long")
     known = slim.join(F.broadcast(planned), "path")  # at most MOST_LEAVES rows
-    whole = known.where("whole > 0").select("id", "path", "tokens", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"))
+    whole = known.where("whole > 0").select("id", "path", "tokens", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), *carried)
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "whole", F.coalesce(F.col("id").cast("string"), F.lit(""))), 1)
     placed = known.where("rest > 0").select("*", order.alias("h")).withColumn("r", F.shiftright(F.shiftright("h", 32) * F.col("ranges"), 31))
     ranges = placed.groupBy("path", "r").agg(F.sum("tokens").alias("own"))
@@ -90,8 +91,8 @@ def mix(docs: DataFrame, levels: list[Column], tokens: Column, weights: dict[tup
     budget = planned.select("path", F.col("rest").alias("most"))
     ends = ranges.join(F.broadcast(budget), "path").where("before <= most").groupBy("path").agg(F.max("r").alias("last"), F.max("before").alias("before"))
     near = placed.join(F.broadcast(ends), "path")  # at most MOST_LEAVES rows
-    early = near.where("r < last").select("id", "path", "tokens", F.col("whole").alias("epoch"))
-    within = Window.partitionBy("path").orderBy("h", "id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    early = near.where("r < last").select("id", "path", "tokens", F.col("whole").alias("epoch"), *carried)
+    within = Window.partitionBy("path").orderBy("h", "id", "tokens", *carried).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = near.where("r = last").withColumn("sum", F.col("before") + F.sum("tokens").over(within)).where("sum <= rest")
-    part = early.union(cut.select("id", "path", "tokens", F.col("whole").alias("epoch")))
+    part = early.union(cut.select("id", "path", "tokens", F.col("whole").alias("epoch"), *carried))
     return whole.union(part).withColumnRenamed("id", id)

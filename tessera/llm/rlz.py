@@ -164,7 +164,7 @@ def without(text: bytes, words: list[bytes], gone: np.ndarray, layout: bool) ->
     return b"".join([*out, text[at:]]) if not gone.all() else b""
 
 
-def _remove(window: int, layout: bool):
+def _remove(window: int, layout: bool, row: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, spans = None, [], {}
 
@@ -186,6 +186,7 @@ def _remove(window: int, layout: bool):
         for batch in batches:
             bucket, kind = batch.column("bucket").to_pylist(), batch.column("kind").to_pylist()
             out: dict[str, list] = {"doc_id": [], "text": [], "n_words": [], "n_removed": [], "factors": []}
+            rows: list = []
             for k in range(batch.num_rows):
                 if bucket[k] != now:
                     now, spans = bucket[k], {}
@@ -215,8 +216,11 @@ def _remove(window: int, layout: bool):
                     found = [{"start": a, "length": b, "ref_doc": c, "ref_start": e} for a, b, c, e in zip(start.tolist(), length.tolist(), ref_doc.tolist(), ref_at.tolist())]
                 for name, x in zip(out, (doc_id, text.decode("utf-8", "replace"), len(words), gone, found)):
                     out[name].append(x)
+                if row:
+                    rows.append(batch.column(row)[k].as_py())
             if out["doc_id"]:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.string(), pa.int64(), pa.int64(), FACTORS))], list(out))
+                columns = [pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.string(), pa.int64(), pa.int64(), FACTORS))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(rows, pa.string())] * bool(row), [*out, row] if row else list(out))
 
     return run
 
@@ -225,19 +229,22 @@ FACTORS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("r
 SCHEMA = "doc_id long, text string, n_words long, n_removed long, factors array<struct<start: int, length: int, ref_doc: long, ref_start: int>>"
 
 
-def dedupe(docs: DataFrame, window: int = WINDOW, layout: bool = False) -> DataFrame:
+def dedupe(docs: DataFrame, window: int = WINDOW, layout: bool = False, row: str | None = None) -> DataFrame:
     """Every row of docs(doc_id, text, ...): doc_id, the text without its duplicate words, n_words (before), n_removed and
     the factors: places (in words) and lengths of the duplicate spans, with a reference document and place of each.
 
     A word goes if a window of `window` words that covers it also starts in a document with a smaller doc_id, as judged
     on the input. layout: keep the white space of the kept words (else they are joined by single spaces). Null
     text: no words. A null doc_id counts as larger than every other, and rows of equal doc_id aren't duplicates
-    of each other. Windows are compared by 64 bits of hashes. Other columns are ignored."""
+    of each other. Windows are compared by 64 bits of hashes. row: a string column to carry along; others are ignored."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    texts = as_bytes(docs)
-    sent = brought_together(texts.mapInArrow(_windows(4 * n, window), "shard int, payload binary"), "shard")
+    own = [row] if row else []
+    texts = as_bytes(docs, *own)
+    sent = brought_together(texts.select("doc_id", "text").mapInArrow(_windows(4 * n, window), "shard int, payload binary"), "shard")
     parsed = sent.mapInArrow(_parse(4 * n), "bucket int, kind int, doc_id long, text binary")
     bucket = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(4 * n)).cast("int").alias("bucket")
-    dealt = texts.select(bucket, F.lit(0).alias("kind"), "doc_id", "text")
-    return brought_together(parsed.union(dealt), "bucket", "kind").mapInArrow(_remove(window, layout), SCHEMA)
+    dealt = texts.select(bucket, F.lit(0).alias("kind"), "doc_id", "text", *own)
+    if row:
+        parsed = parsed.withColumn(row, F.lit(None).cast("string"))
+    return brought_together(parsed.union(dealt), "bucket", "kind").mapInArrow(_remove(window, layout, row), SCHEMA + (f", {row} string" if row else ""))

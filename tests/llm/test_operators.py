@@ -362,3 +362,27 @@ def test_short_texts_are_compared_by_shingles(spark):
         out += [base, base[:8]]
     assert {jaccard(a, b) for a, b in zip(out[::2], out[1::2])} == {0.8}
     assert groups_of(spark, out) == {i: i - i % 2 for i in range(600)}
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark):
+    """Stages that filter decide row by row: other texts under the same or no id stay, copies go whatever their id."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+
+    def kept(stage, rows):
+        df = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], schema).repartition(3)
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, df, "").collect()), key=repr)
+
+    clean = [(1, one), (1, two), (None, three), (None, four), (None, None), (None, None), (5, " "), (5, "")]
+    got = kept(corpus_pipeline.drop_near_duplicates, [*clean, (1, one), (2, two + " tail"), (None, one), (None, three)])
+    assert got == sorted(clean, key=repr)
+    tail = "some words of its own at the end"
+    got = kept(corpus_pipeline.drop_repeated_passages, [*clean, (1, one), (2, two + " " + tail), (None, one)])
+    bare = lambda rows: sorted(((i, (t or "").strip()) for i, t in rows), key=repr)
+    assert bare(got) == bare([*clean, (1, one), (2, tail)])
+    for doc_id in (None, 7):
+        rows = [(doc_id, f"row {i} of ten words that all differ by number {i}") for i in range(100)]
+        got = kept(corpus_pipeline.mix_sources, rows)
+        assert len(got) == len(set(got)) == 80 and set(got) < set(rows)
