@@ -55,6 +55,15 @@ def settle(df: DataFrame, payload: bool = False, by: str | None = None) -> DataF
     return spark.table(name)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of settled tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
