@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_bytes, blocks, brought_together, deltas, groups, pack, settle, shard_of, shuffle_partitions, unpack, word_hashes
+from .common import as_bytes, blocks, brought_together, deltas, groups, pack, ragged, settle, shard_of, shuffle_partitions, unpack, word_hashes
 
-#: Spaces at which a text may not be cut: a run of white space that holds more than its last space, or ends the text.
-UNSAFE = re.compile(r" \s* |\s\Z")
+#: Spaces at which a text may not be cut: those with white space before and after them, and white space at the end.
+UNSAFE = re.compile(r"\s \s| \s* |\s\Z")
+#: A pattern that takes a pre-token whole.
+WHOLE = r"(?s:.+)"
 #: Bytes of text in a block: the larger, the fewer blocks ask for the same pre-token. Units put together at once.
 BLOCK, TOGETHER = 10_000_000, 250_000
 
@@ -35,13 +37,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists offsets[r]..offsets[r + 1] of values, for each r of rows: all values, and the new offsets."""
-    lengths = (offsets[1:] - offsets[:-1])[rows]
-    out = np.concatenate([[0], np.cumsum(lengths)])
-    return values[np.repeat(offsets[rows] - out[:-1], lengths) + np.arange(out[-1])], out
-
-
 class _Units(dict):
     """Codes of the pieces between spaces; a new one is cut by the pattern, the space before it included."""
 
@@ -114,9 +109,9 @@ def _positions(pattern: str, shards: int):
     return run
 
 
-def _encode(ranks, pattern: str):
+def _encode(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+        encoder = tiktoken.Encoding("own", pat_str=WHOLE, mergeable_ranks=ranks.value, special_tokens={})
         for shard, rows in groups(batches, "shard"):
             known: dict[bytes, int] = {}
             asked = []
@@ -124,7 +119,7 @@ def _encode(ranks, pattern: str):
                 lengths, raw = unpack(row["payload"])
                 ends, raw = np.cumsum(lengths).tolist(), raw.tobytes()
                 asked.append([known.setdefault(raw[a:b], len(known)) for a, b in zip([0, *ends], ends)])
-            ids = [encoder._encode_single_piece(word) for word in known]
+            ids = [encoder.encode_ordinary(word.decode()) for word in known]
             flat, offsets = np.array([i for own in ids for i in own], dtype=np.int32), np.concatenate([[0], np.cumsum([len(own) for own in ids])])
             for row, own in zip(rows, asked):
                 values, cuts = ragged(flat, offsets, np.array(own))
@@ -169,37 +164,30 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(ranks)
     kept = settle(as_bytes(docs).mapInArrow(_positions(pattern, shards), "block long, shard int, payload binary"), payload=True, by="block")
     asked = brought_together(kept.where("shard >= 0"), "shard")
-    answered = asked.mapInArrow(_encode(shared, pattern), "block long, shard int, payload binary")
+    answered = asked.mapInArrow(_encode(shared), "block long, shard int, payload binary")
     # the positions stay where they were written: only the answers move
     met = kept.where("shard < 0").groupBy("block").cogroup(answered.groupBy("block"))
     return met.applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
 def decode_column(spark, ranks: dict[bytes, int], ids: Column) -> Column:
-    """The bytes (binary) of a column of ids, by look-ups in the table of token bytes; null: null. An id without a
-    token raises."""
-    size = max(ranks.values(), default=-1) + 1
-    table = [b""] * size
-    for token, rank in ranks.items():
-        table[rank] = token
-    shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(table), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in table])]).astype(np.int64)))
+    """The bytes (binary) of a column of ids: the distinct ids of a batch of rows are joined with the table (id, token
+    bytes), a vocabulary of fixed size that every task holds, and each place takes its id's bytes; null: null. An id
+    without a token raises."""
+    shared = spark.sparkContext.broadcast(ranks)
 
     @arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        raw, offsets = shared.value
+        table = pa.table({"id": pa.array(list(shared.value.values()), pa.int32()), "token": pa.array(list(shared.value), pa.binary())})
         for batch in batches:
             lengths = np.array(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            out = []
-            flat = batch.flatten().to_numpy()
             at = np.concatenate([[0], np.cumsum(lengths)])
-            for i, ok in enumerate(batch.is_valid().to_pylist()):
-                if not ok:
-                    out.append(None)
-                    continue
-                own = flat[at[i] : at[i + 1]]
-                if len(own) and not 0 <= own.min() <= own.max() < len(offsets) - 1:
-                    raise ValueError("an id is not in the vocabulary")
-                out.append(ragged(raw, offsets, own)[0].tobytes())
-            yield pa.array(out, pa.binary())
+            distinct, place = np.unique(batch.flatten().to_numpy(), return_inverse=True)
+            joined = pa.table({"id": pa.array(distinct, pa.int32())}).join(table, "id", join_type="inner").sort_by("id")
+            if len(joined) != len(distinct):
+                raise ValueError("an id is not in the vocabulary, or is there twice")
+            tokens = joined["token"].to_pylist()
+            raw, offsets = np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
+            yield pa.array([ragged(raw, offsets, place[at[i] : at[i + 1]])[0].tobytes() if ok else None for i, ok in enumerate(batch.is_valid().to_pylist())], pa.binary())
 
     return decoded(ids)

@@ -6,6 +6,8 @@ input other than those named are ignored (or carried through untouched), an empt
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import tempfile
 import uuid
@@ -15,6 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +30,57 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, else (tests) a folder of our own."""
+    """The folder that driver and executors share: the cluster's, else, where all run in one process, one of our own."""
     there = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not there:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
 
 
+def _gone_at_exit(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, for files that tasks write and map; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/tessera_{uuid.uuid4().hex}"
+    _gone_at_exit(spark, path)
+    return path
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    if re.match(r"(?!file:)\w+:", path):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
+
+
+def put_file(folder: str, name: str, *arrays: np.ndarray) -> None:
+    """Write arrays, one after another, as a file of a shared folder. It shows up whole or not at all, and a task that
+    runs again puts the same in its place."""
+    fs, base = _file_system(folder)
+    fs.create_dir(base, recursive=True)
+    part = f"{base}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as out:
+        for a in arrays:
+            out.write(np.ascontiguousarray(a).tobytes())
+    fs.move(part, f"{base}/{name}")
+
+
+def mapped_file(folder: str, name: str, kind) -> np.ndarray:
+    """A file of a shared folder as an array: mapped into memory where the folder is mounted, else read."""
+    fs, base = _file_system(folder)
+    if isinstance(fs, pafs.LocalFileSystem):
+        path = os.path.join(base, name)
+        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+    with fs.open_input_file(f"{base}/{name}") as f:
+        return np.frombuffer(f.read(), kind)
+
+
 def settle(df: DataFrame, payload: bool = False, by: str | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: its lineage ends there, so that a lost executor costs
     no recomputation of what lies before. The files go when the application ends. payload: rows are large. by: the
@@ -45,9 +91,7 @@ def settle(df: DataFrame, payload: bool = False, by: str | None = None) -> DataF
     out = df.write.option("compression", "none" if payload else "zstd")
     if payload:  # few rows to a row group, since a reader holds whole batches of rows
         out = out.option("parquet.block.size", 8 << 20).option("parquet.block.size.row.check.min", 1)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _gone_at_exit(spark, path)
     if by is None:
         out.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
@@ -68,6 +112,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shards_for(docs: DataFrame, size: int) -> int:
+    """Shards of about `size` bytes of text each, and at least two for each shuffle partition."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * shuffle_partitions(docs.sparkSession), -(-total // size))
+
+
 def brought_together(df: DataFrame, key: str, *then: str) -> DataFrame:
     """Rows of a key in one partition, in order of the key and of what follows it."""
     return df.repartition(shuffle_partitions(df.sparkSession), key).sortWithinPartitions(key, *then)
@@ -166,6 +216,13 @@ def deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
+def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists offsets[r]..offsets[r + 1] of values, for each r of rows: all values, and the new offsets."""
+    lengths = (offsets[1:] - offsets[:-1])[rows]
+    out = np.concatenate([[0], np.cumsum(lengths)])
+    return values[np.repeat(offsets[rows] - out[:-1], lengths) + np.arange(out[-1])], out
+
+
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value; the bytes of a wide element are stored plane by plane, which packs better."""
     parts = [struct.pack("<B", len(arrays))]

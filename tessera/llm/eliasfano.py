@@ -1,11 +1,12 @@
-"""Elias-Fano sequences over numpy arrays, with vectorised look-ups, and a two-level trie of them in mapped files."""
+"""Elias-Fano sequences over numpy arrays, with vectorised look-ups, and a trie of n-grams in levels of them, one mapped
+file for each trie."""
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 
+from .common import mapped_file, put_file
+
 _BYTE = np.arange(256, dtype=np.uint8)
 _COUNT = np.bitwise_count(_BYTE).astype(np.int64)
 #: The place of the k-th set bit of each byte.
@@ -87,11 +88,12 @@ class EliasFano:
         out[some] = np.minimum(self._select(self.zeros, lambda w: ~self.high[w], k) - k, self.n)
         return out
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first number that is at least x (n if there is none)."""
+    def successor(self, x: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None) -> np.ndarray:
+        """The place of the first number of begin..end that is at least x (end if there is none)."""
+        end = self.n if end is None else end
         high = (x >> np.uint64(self.width)).astype(np.int64)
         low = x & np.uint64((1 << self.width) - 1)
-        lo, hi = self.below(high), self.below(high + 1)
+        lo, hi = np.clip(self.below(high), begin, end), np.clip(self.below(high + 1), begin, end)
         live = np.flatnonzero(lo < hi)
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
@@ -103,48 +105,79 @@ class EliasFano:
 
 
 class Trie:
-    """Contexts, and under each the words that follow it, with a quantised value. The files of a folder hold the
-    levels, mapped into memory: `vocabulary` (the keys of following words), `pointers` (where each context's words
-    begin), `words` (each as its place in the vocabulary, plus the vocabulary's size times the place of its context,
-    so that the sequence never falls) and `values` (a byte each)."""
+    """Contexts v, under each its contexts u (the word before v) and under these the words w that follow u v; beside them
+    the words that follow v. Each level is a sequence that never falls: a child is its number plus the place of its
+    parent times the level's span; pointers say where each parent's children begin. Leaves are bytes: codes of
+    probabilities, and of the weight that a context gives to the shorter one."""
 
-    LEVELS = ("vocabulary", "pointers", "words")
+    SEQUENCES = ("contexts", "nodes_begin", "nodes", "words_begin", "words", "pairs_begin", "pairs")
+    CODES = ("backoff", "word_codes", "pair_codes")
 
     @classmethod
-    def write(cls, folder: str, contexts: int, vocabulary: np.ndarray, context: np.ndarray, word: np.ndarray, value: np.ndarray) -> Trie:
-        """Rows (place of the context, place of the word in the vocabulary, value) in ascending order, without repeats."""
-        size = max(len(vocabulary), 1)
-        begins = np.searchsorted(context, np.arange(contexts + 1))
-        sequences = (vocabulary, 1 << 48), (begins, len(context) + 1), (context.astype(np.uint64) * np.uint64(size) + word.astype(np.uint64), max(contexts, 1) * size)
-        heads = []
-        for name, (values, universe) in zip(cls.LEVELS, sequences):
-            n, width, low, high = EliasFano.parts(np.asarray(values), universe)
-            np.concatenate([low, high]).tofile(os.path.join(folder, name))
-            heads.append((n, width, len(low)))
-        np.concatenate([value.astype(np.uint8), [0]]).astype(np.uint8).tofile(os.path.join(folder, "values"))
-        return cls(folder, size, heads)
-
-    def __init__(self, folder: str, size: int, heads: list[tuple[int, int, int]]):
-        self.size = size
-        levels = []
-        for name, (n, width, cut) in zip(self.LEVELS, heads):
-            mapped = np.memmap(os.path.join(folder, name), np.uint64, "r")
-            levels.append(EliasFano(n, width, mapped[:cut], mapped[cut:]))
-        self.vocabulary, self.pointers, self.words = levels
-        self.values = np.memmap(os.path.join(folder, "values"), np.uint8, "r")
-
-    def find(self, context: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The values of words (by key) after contexts (by place); 0 where the trie has none: the successor, within the
-        context's range, of the word's place."""
-        word = self.vocabulary.successor(key)
-        known = word < self.vocabulary.n
-        known[known] = self.vocabulary.get(word[known]) == key[known]
-        out = np.zeros(len(key), np.uint8)
-        rows = np.flatnonzero(known)
-        x = context[rows].astype(np.uint64) * np.uint64(self.size) + word[rows].astype(np.uint64)
-        at = self.words.successor(x)
-        ends = self.pointers.get(context[rows] + 1).astype(np.int64)
-        there = at < ends
-        there[there] = self.words.get(at[there]) == x[there]
-        out[rows[there]] = self.values[at[there]]
+    def write(cls, folder: str, name: str, contexts, nodes, words, pairs, backoff, word_codes, pair_codes) -> list[int]:
+        """contexts: ascending; nodes, words, pairs: (place of the parent, number), ascending by both; the codes of each.
+        Returns what `Trie` needs beside the file: of each sequence its length, width and sizes, then the spans and
+        the numbers of codes."""
+
+        def spread(parents, numbers, n):
+            span = int(numbers.max()) + 1 if len(numbers) else 1
+            return parents.astype(np.uint64) * np.uint64(span) + numbers.astype(np.uint64), max(n, 1) * span, span
+
+        sequences, spans = [(contexts, int(contexts[-1]) + 1 if len(contexts) else 1)], []
+        for (parents, numbers), n in ((nodes, len(contexts)), (words, len(nodes[0])), (pairs, len(contexts))):
+            sequences.append((np.searchsorted(parents, np.arange(n + 1)), len(numbers) + 1))
+            values, universe, span = spread(parents, numbers, n)
+            sequences.append((values, universe))
+            spans.append(span)
+        head, data = [], []
+        for values, universe in sequences:
+            n, width, low, high = EliasFano.parts(values, universe)
+            head += [n, width, len(low), len(high)]
+            data += [low, high]
+        codes = [np.concatenate([c.astype(np.uint8), np.zeros(-len(c) % 8, np.uint8)]).view(np.uint64) for c in (backoff, word_codes, pair_codes)]
+        put_file(folder, name, *data, *codes)
+        return [*head, *spans, *map(len, (backoff, word_codes, pair_codes))]
+
+    def __init__(self, folder: str, name: str, head: list[int]):
+        raw, at = mapped_file(folder, name, np.uint64), 0
+        k = 4 * len(self.SEQUENCES)
+        for level, (n, width, low, high) in zip(self.SEQUENCES, np.array(head[:k]).reshape(-1, 4).tolist()):
+            setattr(self, level, EliasFano(n, width, raw[at : at + low], raw[at + low : at + low + high]))
+            at += low + high
+        self.spans = head[k : k + 3]
+        for level, n in zip(self.CODES, head[k + 3 :]):
+            setattr(self, level, raw[at : at + -(-n // 8)].view(np.uint8)[:n])
+            at += -(-n // 8)
+
+    def context(self, number: np.ndarray) -> np.ndarray:
+        """Places of contexts (-1: none)."""
+        at = self.contexts.successor(number.astype(np.uint64))
+        return self._if_equal(self.contexts, at, np.full(len(at), self.contexts.n), number.astype(np.uint64))
+
+    def child(self, level: str, parent: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Places, in a level, of numbers under parents (-1: none, or the parent is -1): the successor within the range
+        that the parent's pointers give."""
+        out = np.full(len(parent), -1, np.int64)
+        sequence, begins = getattr(self, level), getattr(self, f"{level}_begin")
+        span = self.spans[("nodes", "words", "pairs").index(level)]
+        rows = np.flatnonzero((parent >= 0) & (number < span))
+        if len(rows):
+            p = parent[rows]
+            x = p.astype(np.uint64) * np.uint64(span) + number[rows].astype(np.uint64)
+            begin, end = begins.get(p).astype(np.int64), begins.get(p + 1).astype(np.int64)
+            out[rows] = self._if_equal(sequence, sequence.successor(x, begin, end), end, x)
+        return out
+
+    @staticmethod
+    def _if_equal(sequence: EliasFano, at: np.ndarray, end: np.ndarray, x: np.ndarray) -> np.ndarray:
+        there = at < end
+        there[there] = sequence.get(at[there]) == x[there]
+        return np.where(there, at, -1)
+
+    @staticmethod
+    def code(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Codes at places; 0 for none."""
+        out = np.zeros(len(at), np.uint8)
+        there = at >= 0
+        out[there] = codes[at[there]]
         return out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_bytes, blocks
+from .common import blocks, brought_together, pack, unpack
 
 #: Hash buckets of n-grams, orders of n-grams, the smoothing count, and characters worked on at once.
 BUCKETS, ORDERS, ALPHA, CHARS = 1 << 15, (1, 2, 3), 0.5, 1_000_000
@@ -24,17 +24,21 @@ def characters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts, a line end after each, and the offsets."""
     strings = [t.decode("utf-8", "replace").lower() + "\n" for t in texts]
     points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return points, np.concatenate([[0], np.cumsum([len(s) for s in strings])])
+    return points, np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
 
 
-def ngrams(points: np.ndarray, order: int) -> np.ndarray:
-    """The bucket of the n-gram that starts at each place (those over the end wrap into zeros)."""
-    h = np.full(len(points), 0x9E3779B1 * order & 0xFFFFFFFF, np.uint32)
+def ngrams(points: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+    """The bucket of the n-gram that starts at each place; BUCKETS (none) where it would run past the end of its text."""
+    n = max(len(points) - order + 1, 0)
+    h = np.full(n, 0x9E3779B1 * order & 0xFFFFFFFF, np.uint32)
     for j in range(order):
-        shifted = points if not j else np.concatenate([points[j:], np.zeros(min(j, len(points)), np.uint32)])
-        h = (h ^ shifted) * np.uint32(0x85EBCA6B)
+        h = (h ^ points[j : j + n]) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(15)
-    return h & np.uint32(BUCKETS - 1)
+    out = np.full(len(points), BUCKETS, np.int64)
+    out[:n] = h & np.uint32(BUCKETS - 1)
+    for j in range(1, order):
+        out[np.maximum(offsets[1:] - j, offsets[:-1])] = BUCKETS
+    return out
 
 
 def has_letter(text: bytes) -> bool:
@@ -45,14 +49,14 @@ def has_letter(text: bytes) -> bool:
 class Model:
     languages: list[str]
     prior: np.ndarray  #: log-probabilities of the languages
-    logs: np.ndarray  #: log-probabilities by language and bucket
+    logs: np.ndarray  #: log-probabilities by language and bucket; zero in the last place, which stands for no n-gram
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The log-posterior (without its constant) of each text and language, from sparse bucket look-ups."""
         points, offsets = characters(texts)
         out = np.tile(self.prior, (len(texts), 1))
         for order in ORDERS:
-            buckets = ngrams(points, order)
+            buckets = ngrams(points, offsets, order)
             for k in range(len(self.languages)):
                 out[:, k] += np.add.reduceat(self.logs[k][buckets], offsets[:-1], dtype=np.float64)
         return out
@@ -79,42 +83,52 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
-    """docs(text, lang): every row with a text and a language counts, whole. Counts are summed by bucket and language
-    in the executors; the driver gets one row for each language and bucket in use. Raises ValueError if the
-    languages are too many for the matrix to be broadcast (MOST_VALUES)."""
+    """docs(text, lang): every row with a text and a language counts, whole. Counts are summed by language in the
+    executors; the driver gets one packed array for each language. Raises ValueError if the languages are too many for
+    the matrix to be broadcast (MOST_VALUES)."""
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
+        sums: dict[str, np.ndarray] = {}  # by bucket; the last place counts texts
         for block in blocks(batches, CHARS):
             by: dict[str, list[bytes]] = {}
             for text, lang in zip(block["text"], block["lang"]):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                points, _ = characters(texts)
-                own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                seen[lang] = seen.get(lang, 0) + len(texts)
+                points, offsets = characters(texts)
+                own = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                 for order in ORDERS:
-                    own += np.bincount(ngrams(points, order), minlength=BUCKETS)
+                    own[:BUCKETS] += np.bincount(ngrams(points, offsets, order), minlength=BUCKETS + 1)[:BUCKETS]
+                own[BUCKETS] += len(texts)
         for lang, own in sums.items():
-            there = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(there) + 1)), pa.array(np.append(there, -1)), pa.array(np.append(own[there], seen[lang]))], ["lang", "bucket", "n"])
-
-    given = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("doc_id", F.lit(0))
-    counts = as_bytes(given, "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = counts.limit(MOST_VALUES + 1).collect()
-    languages = sorted({r["lang"] for r in rows})
-    if len(languages) * BUCKETS > MOST_VALUES or len(rows) > MOST_VALUES:
-        raise ValueError(f"{len(languages)} languages need a larger matrix than MOST_VALUES allows")
-    place = {lang: k for k, lang in enumerate(languages)}
-    table, prior = np.full((len(languages), BUCKETS), ALPHA), np.zeros(len(languages))
-    for r in rows:
-        if r["bucket"] < 0:
-            prior[place[r["lang"]]] = r["n"]
-        else:
-            table[place[r["lang"]], r["bucket"]] += r["n"]
-    logs = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32) if languages else table
-    return Model(languages, np.log(prior / max(prior.sum(), 1)) if languages else prior, logs)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([pack(own)], pa.binary())], ["lang", "counts"])
+
+    def summed(batches):
+        now, total = None, None
+        for batch in batches:
+            for lang, value in zip(batch.column("lang").to_pylist(), batch.column("counts").to_pylist()):
+                if lang != now and total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([pack(total)], pa.binary())], ["lang", "counts"])
+                    total = None
+                own = unpack(value)[0]
+                now, total = lang, own.copy() if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([pack(total)], pa.binary())], ["lang", "counts"])
+
+    given = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    given = given.select(F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"))
+    counted = brought_together(given.mapInArrow(count, "lang string, counts binary"), "lang")
+    most = MOST_VALUES // BUCKETS
+    rows = counted.mapInArrow(summed, "lang string, counts binary").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} languages need a larger matrix than MOST_VALUES allows")
+    if not rows:
+        return Model([], np.zeros(0), np.zeros((0, BUCKETS + 1), np.float32))
+    rows = sorted(rows, key=lambda r: r["lang"])
+    table = np.stack([unpack(r["counts"])[0] for r in rows])
+    seen, table = table[:, BUCKETS], table[:, :BUCKETS] + ALPHA
+    logs = np.zeros((len(rows), BUCKETS + 1), np.float32)
+    logs[:, :BUCKETS] = np.log(table / table.sum(axis=1, keepdims=True))
+    return Model([r["lang"] for r in rows], np.log(seen / seen.sum()), logs)
 
 
 def language_column(spark, model: Model, text: Column) -> Column:

@@ -1,15 +1,20 @@
-"""Language-model scores from a bigram trie in Elias-Fano levels.
+"""Language-model scores from a trigram trie in Elias-Fano levels.
 
-p(w | v) = c(vw) / (c(v) + K) + K / (c(v) + K) * p(w), with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)): counts of the training
-texts, smoothed towards the unigrams (a Dirichlet prior of weight K). The first part is quantised to a byte and kept in
-the trie. The trie is cut into shards by a hash of the context; a context with more than its share of all tokens is
-spread over several shards by its following word. A block of texts asks each shard once for each distinct bigram.
+p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), p2(w | v) = (c(vw) + K2 p1(w)) / (c(v) + K2), p3(w | uv) = (c(uvw) + K3 p2(w | v))
+/ (c(uv) + K3): counts of the training texts, each order smoothed towards the shorter one (Dirichlet priors of weight K2
+and K3). The trie holds p3 of the trigrams seen, p2 of the bigrams seen, and for each context uv the weight K3 / (c(uv) +
+K3) that it leaves to p2, each quantised to a byte in even steps of its logarithm.
+
+Training counts words by shards of their hash, which gives each word a number (small for frequent words), and trigrams by
+shards of their middle word v. A word with more than its share of all tokens is spread over several shards by the
+following word. A shard's trie is one file of the shared folder; the model stays there and scores any texts. Scoring asks
+the shards once for each distinct trigram of a block of texts.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +22,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, brought_together, groups, mixed, pack, settle, shard_of, shuffle_partitions, unpack, word_codes, word_hashes
+from .common import as_bytes, blocks, brought_together, discard, groups, mixed, pack, settle, shard_of, shards_for, shared_folder, unpack, word_codes, word_hashes
 from .eliasfano import Trie
 
-#: Bytes of text in a block; the weight of the unigrams; the least probability that has a code of its own.
-BLOCK, WEIGHT, LEAST = 8_000_000, 8.0, 1e-10
-#: The key of a text's start, as a context.
-START = np.uint64(0x5354415254)
+#: Bytes of text in a block and for each shard; the weights of shorter contexts; the least probability with a code.
+BLOCK, SHARD, WEIGHTS, LEAST = 8_000_000, 24_000_000, (8.0, 4.0), 1e-10
+#: Numbers of a text's start (as a context) and of words that training texts lack; others begin at 1. The end's hash.
+START, UNKNOWN, END = 0, (1 << 40) - 1, word_hashes([b""])[0]
 #: Code 0: none; codes 1..255: probabilities in even steps of their logarithm.
 CODEBOOK = np.concatenate([[0.0], np.exp(np.log(LEAST) * (1 - np.arange(255) / 254))])
+#: Trigrams that are looked up at once.
+TOGETHER = 200_000
+SENT = "block long, shard int, payload binary"
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -33,180 +41,372 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.clip(code, 1, 255), 0).astype(np.uint8)
 
 
+def _sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["block", "shard", "payload"])
+
+
 def _tokens(shards: int):
+    """For each block of texts: its tokens (shard -1), and for each shard of hashes its distinct words with their counts
+    in all texts and in training texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for k, block in enumerate(blocks(batches, BLOCK)):
             codes, offsets, vocabulary = word_codes([t.lower() for t in block["text"]], end=b"")
-            counts = np.bincount(codes, minlength=len(vocabulary))
-            often = np.argsort(-counts, kind="stable")
-            rank = np.empty(len(often), np.int32)
-            rank[often] = np.arange(len(often))
-            hashes = word_hashes(vocabulary)[often]
+            size, lengths = len(vocabulary), np.diff(offsets)
             train = np.array(block["train"], dtype=bool)
-            lengths = np.diff(offsets)
-            seen = np.bincount(rank[codes], np.repeat(train, lengths), len(often)).astype(np.int64)
-            common = np.flatnonzero(seen * 8 * shards > len(codes))
+            counts = np.bincount(codes, minlength=size)
+            learned = np.bincount(codes, np.repeat(train, lengths), size).astype(np.int64)
+            often = np.argsort(-counts, kind="stable")  # frequent words get small codes
+            rank = np.empty(size, np.int32)
+            rank[often] = np.arange(size)
+            hashes = word_hashes(vocabulary)
+            shard = shard_of(hashes, shards)
+            order = np.lexsort((hashes, shard))
             ids = np.array([x or 0 for x in block["doc_id"]], dtype=np.int64)
             none = np.array([x is None for x in block["doc_id"]])
-            payload = pack(ids, none, train, lengths, rank[codes], hashes, level=3)
-            keys = [{"h": h, "n": n} for h, n in zip(hashes[common].view(np.int64).tolist(), seen[common].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | k]), pa.array([int(seen.sum())]), pa.array([payload], pa.binary()), pa.array([keys], pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))],
-                ["block", "tokens", "payload", "common"],
-            )
+            number = part << 32 | k
+            rows = [(number, -1, pack(ids, none, train, lengths.astype(np.int32), rank[codes], rank[order], rank[codes[-1:]], level=3))]
+            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(edges)):
+                own = order[edges[s] : edges[s + 1]]
+                rows.append((number, int(s), pack(hashes[own], counts[own].astype(np.uint32), learned[own].astype(np.uint32))))
+            yield _sent(rows)
+
+    return run
+
+
+def tokenised(docs: DataFrame, train: Column, shards: int) -> DataFrame:
+    texts = as_bytes(docs, F.coalesce(train, F.lit(False)).alias("train"))
+    return settle(texts.mapInArrow(_tokens(shards), SENT), payload=True, by="block")
+
+
+def _vocabulary(shards: int):
+    """For each shard of hashes: the words of training texts in the order of their hashes, with numbers and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in groups(batches, "shard"):
+            hashes, all_, learned = (np.concatenate(x) for x in zip(*(unpack(row["payload"]) for row in rows)))
+            known, place = np.unique(hashes, return_inverse=True)
+            all_, learned = (np.bincount(place, x, len(known)).astype(np.int64) for x in (all_, learned))
+            keep = learned > 0
+            known, all_, learned = known[keep], all_[keep], learned[keep]
+            rank = np.empty(len(known), np.int64)
+            rank[np.argsort(-learned, kind="stable")] = np.arange(len(known))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pack(known, rank * shards + shard + 1, learned, all_)], pa.binary()), pa.array([len(known)]), pa.array([int(learned.sum())])], ["shard", "payload", "words", "tokens"])
 
     return run
 
 
-class Asked:
-    """What a block asks: its distinct bigrams and the nodes (contexts and words), in the order of the shards."""
+@dataclass
+class Vocabulary:
+    table: DataFrame  #: (shard, payload, words, tokens)
+    shards: int
+    words: int
+    tokens: int  #: of the training texts
+
+    @classmethod
+    def of(cls, tokens: DataFrame, shards: int) -> Vocabulary:
+        asked = brought_together(tokens.where("shard >= 0").select("shard", "payload"), "shard")
+        table = settle(asked.mapInArrow(_vocabulary(shards), "shard int, payload binary, words long, tokens long"), payload=True)
+        words, total = table.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        return cls(table, shards, words, total)
+
+
+def _numbers(shards: int, total: int):
+    """A shard's words, and each block's question: numbers, counts and how many shards a word is spread over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, None
+        for batch in batches:
+            out = []
+            for block, shard, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "shard", "payload"))):
+                if shard != now:
+                    now, known = shard, [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
+                if block < 0:  # the vocabulary's row comes first
+                    known = unpack(payload)
+                    continue
+                hashes = unpack(payload)[0]
+                at = np.minimum(np.searchsorted(known[0], hashes), max(len(known[0]) - 1, 0))
+                there = known[0][at] == hashes if len(known[0]) else np.zeros(len(hashes), bool)
+                number, count, spread = np.full(len(hashes), UNKNOWN, np.int64), np.zeros(len(hashes), np.int64), np.ones(len(hashes), np.int64)
+                number[there], count[there] = known[1][at[there]], known[2][at[there]]
+                spread[there] = np.clip(np.ceil(2 * shards * known[3][at[there]] / max(total, 1)), 1, shards)
+                out.append((block, shard, pack(number, count, spread.astype(np.int32))))
+            if out:
+                yield _sent(out)
+
+    return run
+
+
+def _numbered(kept: pa.Table, answered: pa.Table) -> pa.Table:
+    rows = []
+    for block, payload in zip(kept.column("block").to_pylist(), kept.column("payload").to_pylist()):
+        ids, none, train, lengths, codes, order, end = unpack(payload)
+        answers = [unpack(x) for x in answered.sort_by("shard").column("payload").to_pylist()]
+        number, count, spread = (np.empty(len(order), np.int64) for _ in range(3))
+        for to, i in ((number, 0), (count, 1), (spread, 2)):
+            to[order] = np.concatenate([a[i] for a in answers])
+        rows.append((block, -1, pack(ids, none, train, lengths, codes, end, number, count, spread.astype(np.int32), level=3)))
+    return pa.Table.from_batches([_sent(rows)] if rows else [], schema=pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary())]))
+
+
+def numbered(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The texts of `tokenised` with the vocabulary's numbers, counts and spreads of their words."""
+    words = vocabulary.table.select(F.lit(-1).cast("long").alias("block"), "shard", "payload")
+    met = brought_together(tokens.where("shard >= 0").union(words), "shard", "block")
+    answers = met.mapInArrow(_numbers(vocabulary.shards, vocabulary.tokens), SENT)
+    return settle(tokens.where("shard < 0").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_numbered, SENT), payload=True, by="block")
+
+
+class Grams:
+    """The distinct trigrams (u, v, w) of some tokens of a block, in the order of the shards and, within, of their
+    numbers; and the contexts (v, u): each in all shards over which v is spread."""
 
-    def __init__(self, payload: bytes, shards: int, hot: tuple[np.ndarray, np.ndarray]):
-        self.ids, self.none, self.train, self.lengths, codes, hashes = unpack(payload)
-        self.codes = codes.astype(np.int64)
-        size = len(hashes)
-        self.hashes = np.append(hashes, START)
+    def __init__(self, payload: bytes, shards: int, learn: bool):
+        self.ids, self.none, self.train, lengths, codes, end, number, self.count, spread = unpack(payload)
+        self.lengths = lengths.astype(np.int64)
+        self.codes, end = codes.astype(np.int64), int(end[0])
+        size = len(number)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.before = np.concatenate([[size], self.codes[:-1]])
         self.before[self.offsets[:-1]] = size
-        seen = np.repeat(self.train, self.lengths)
-        node_count = np.append(np.bincount(self.codes, seen, size), self.train.sum()).astype(np.int64)
-        home = shard_of(self.hashes, shards)
-        spread = np.ones(size + 1, np.int64)
-        if len(hot[0]):
-            at = np.minimum(np.searchsorted(hot[0], self.hashes), len(hot[0]) - 1)
-            is_hot = hot[0][at] == self.hashes
-            spread[is_hot] = hot[1][at[is_hot]]
-        # nodes: each in its home shard and in those over which it is spread
-        node = np.repeat(np.arange(size + 1), spread)
-        step = np.arange(len(node)) - np.repeat(np.cumsum(spread) - spread, spread)
-        shard = (home[node] + step) % shards
-        order = np.lexsort((self.hashes[node], shard))
-        self.node, self.node_shard, self.node_main = node[order], shard[order], (step[order] == 0)
-        self.node_count = node_count[self.node]
-        # bigrams
-        pair, self.inverse = np.unique(self.before * (size + 1) + self.codes, return_inverse=True)
-        context, word = pair // (size + 1), pair % (size + 1)
-        count = np.bincount(self.inverse, seen, len(pair)).astype(np.int64)
-        shard = (home[context] + np.where(spread[context] > 1, (mixed(self.hashes[word]) % spread[context].astype(np.uint64)).astype(np.int64), 0)) % shards
-        by_hash = np.empty(size + 1, np.int64)
-        by_hash[np.argsort(self.hashes)] = np.arange(size + 1)
-        self.pair_order = np.argsort(shard * (size + 1) + by_hash[context], kind="stable")
-        self.pair_shard = shard[self.pair_order]
-        self.context, self.word, self.pair_count = context[self.pair_order], word[self.pair_order], count[self.pair_order]
-
-    def payloads(self, shards: int) -> Iterator[tuple[int, bytes]]:
-        """For each shard: the nodes' hashes, training counts, whether this is their home, their bigrams' number; the
-        bigrams' words (48 bits of the hash) and training counts."""
+        earlier = np.concatenate([[size], self.before[:-1]])
+        earlier[self.offsets[:-1]] = size
+        self.count = np.append(self.count, self.count[end])  # a text's start is as frequent as its end
+        number, spread = np.append(number, START), np.append(spread, spread[end]).astype(np.int64)
+        # words by ascending number; those unknown are one
+        self.numbers, first, own = np.unique(number, return_index=True, return_inverse=True)
+        self.counts, self.spread = self.count[first], spread[first]
+        u, v, w = own[earlier], own[self.before], own[self.codes]
+        asked = self.counts[v] > 0  # nothing follows a word that training texts lack
+        if learn:
+            asked &= np.repeat(self.train, self.lengths)
+        self.asked = np.flatnonzero(asked)
+        u, v, w = u[self.asked], v[self.asked], w[self.asked]
+        n = len(self.numbers)
+        node, at = np.unique(v * n + u, return_inverse=True)
+        gram, self.inverse, self.gram_count = np.unique(at * n + w, return_inverse=True, return_counts=True)
+        self.node_v, self.node_u, node_count = node // n, node % n, np.bincount(at, minlength=len(node))
+        gram_node, gram_w = gram // n, gram % n
+        home = shard_of(self.numbers.astype(np.uint64), shards)
+        # contexts go to all shards of v; trigrams to one of them
+        copies = self.spread[self.node_v]
+        which = np.repeat(np.arange(len(node)), copies)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
+        shard = (home[self.node_v[which]] + step) % shards
+        order = np.argsort(shard, kind="stable")
+        self.node, self.node_shard, self.node_count = which[order], shard[order], node_count[which[order]]
+        gv = self.node_v[gram_node]
+        shard = (home[gv] + (mixed(self.numbers[gram_w].astype(np.uint64)) % self.spread[gv].astype(np.uint64)).astype(np.int64)) % shards
+        self.order = np.argsort(shard, kind="stable")
+        self.gram_shard, self.gram_node, self.gram_w, self.gram_count = shard[self.order], gram_node[self.order], gram_w[self.order], self.gram_count[self.order]
+
+    def payloads(self, shards: int, learn: bool) -> Iterator[tuple[int, bytes]]:
         node_edges = np.searchsorted(self.node_shard, np.arange(shards + 1))
-        pair_edges = np.searchsorted(self.pair_shard, np.arange(shards + 1))
-        keys = np.ascontiguousarray((self.hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+        gram_edges = np.searchsorted(self.gram_shard, np.arange(shards + 1))
+        place = np.empty(max(len(self.node_v), 1), np.int64)
         for s in np.flatnonzero(np.diff(node_edges)):
-            a, b = node_edges[s], node_edges[s + 1]
-            c, d = pair_edges[s], pair_edges[s + 1]
-            own = self.node[a:b]
-            place = np.empty(len(self.hashes), np.int64)
-            place[own] = np.arange(len(own))
-            children = np.bincount(place[self.context[c:d]], minlength=len(own))
-            yield int(s), pack(self.hashes[own], self.node_count[a:b].astype(np.uint32), self.node_main[a:b] & (own < len(self.hashes) - 1), children.astype(np.uint32), keys[self.word[c:d]].reshape(-1), self.pair_count[c:d].astype(np.uint32))
+            nodes = self.node[node_edges[s] : node_edges[s + 1]]
+            grams = slice(gram_edges[s], gram_edges[s + 1])
+            place[nodes] = np.arange(len(nodes))
+            children = np.bincount(place[self.gram_node[grams]], minlength=len(nodes))
+            v, under = np.unique(self.node_v[nodes], return_counts=True)
+            words, word = np.unique(self.gram_w[grams], return_inverse=True)
+            parts = [np.diff(self.numbers[v], prepend=0), under.astype(np.uint32), self.numbers[self.node_u[nodes]], children.astype(np.uint32), np.diff(self.numbers[words], prepend=0), word.astype(np.uint16 if len(words) < 65536 else np.uint32)]
+            if learn:
+                parts += [self.counts[v], self.node_count[node_edges[s] : node_edges[s + 1]].astype(np.uint32), self.counts[words], self.gram_count[grams].astype(np.uint32)]
+            yield int(s), pack(*parts)
 
 
-def _ask(shards: int, hot):
+def _ask(shards: int, learn: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                rows = list(Asked(payload.as_py(), shards, hot).payloads(shards))
-                for at in range(0, len(rows), 64):
-                    part = rows[at : at + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int64()), pa.array([s for s, _ in part], pa.int32()), pa.array([p for _, p in part], pa.binary())], ["block", "shard", "payload"])
+                own, rows = Grams(payload.as_py(), shards, learn), []
+                for s, p in own.payloads(shards, learn):
+                    rows.append((number, s, p))
+                    if len(rows) == 64:
+                        yield _sent(rows)
+                        rows = []
+                if rows:
+                    yield _sent(rows)
 
     return run
 
 
-def _answer(weight: float):
+def _opened(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Payloads as one: numbers v and u of each context, the context and number w of each trigram."""
+    v = np.concatenate([np.repeat(np.cumsum(p[0]), p[1]) for p in parts])
+    u = np.concatenate([p[2] for p in parts])
+    node = np.repeat(np.arange(len(u)), np.concatenate([p[3] for p in parts]))
+    w = np.concatenate([np.cumsum(p[4])[p[5]] for p in parts]).astype(np.int64)
+    return v, u, node, w
+
+
+def _learn(folder: str, words: int, tokens: int, weights: tuple[float, float]):
+    """For each shard: its trie, as a file of the folder; (shard, head)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in groups(batches, "shard"):
-            numbers = [row["block"] for row in rows]
             parts = [unpack(row["payload"]) for row in rows]
             del rows
-            hashes, counts, main, children = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            nodes, of_node = np.unique(hashes, return_inverse=True)
-            total = np.bincount(of_node, counts, len(nodes)).astype(np.int64)
-            is_main = np.zeros(len(nodes), bool)
-            is_main[of_node[main]] = True
-            distinct = int((is_main & (total > 0)).sum())
-            context = np.repeat(of_node, children)
-            raw = np.concatenate([p[4] for p in parts]).reshape(-1, 6)
-            key = np.zeros((len(raw), 8), np.uint8)
-            key[:, :6] = raw
-            key = key.view(np.uint64).reshape(-1)
-            vocabulary, word = np.unique(key, return_inverse=True)
-            pair, of_pair = np.unique(context.astype(np.int64) * max(len(vocabulary), 1) + word, return_inverse=True)
-            pair_count = np.bincount(of_pair, np.concatenate([p[5] for p in parts]), len(pair))
-            pair_context, pair_word = pair // max(len(vocabulary), 1), pair % max(len(vocabulary), 1)
-            there = np.flatnonzero(pair_count > 0)
-            value = quantised(pair_count[there] / (total[pair_context[there]] + weight))
-            with tempfile.TemporaryDirectory() as folder:
-                trie = Trie.write(folder, len(nodes), vocabulary, pair_context[there], pair_word[there], value)
-                found = np.concatenate([np.zeros(0, np.uint8), *(trie.find(pair_context[at : at + 500_000], vocabulary[pair_word[at : at + 500_000]]) for at in range(0, len(pair), 500_000))])
-                del trie
-            answer = found[of_pair]
-            node_cuts = np.cumsum([len(p[0]) for p in parts])
-            pair_cuts = np.cumsum([len(p[5]) for p in parts])
-            out = [pack(n.astype(np.uint32), v) for n, v in zip(np.split(total[of_node], node_cuts[:-1]), np.split(answer, pair_cuts[:-1]))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers, pa.int64()), pa.array([shard] * len(out), pa.int32()), pa.array(out, pa.binary()), pa.array([distinct] + [0] * (len(out) - 1), pa.int64())], ["block", "shard", "payload", "words"]
-            )
+            v, u, node, w = _opened(parts)
+            contexts, vi = np.unique(v, return_inverse=True)
+            of_context = np.zeros(len(contexts))
+            of_context[vi] = np.concatenate([np.repeat(p[6], p[1]) for p in parts])
+            us, ui = np.unique(u, return_inverse=True)
+            key, place = np.unique(vi * len(us) + ui, return_inverse=True)
+            node_v, node_u = key // max(len(us), 1), us[key % max(len(us), 1)]
+            of_node = np.bincount(place, np.concatenate([p[7] for p in parts]), len(key))
+            ws, wi = np.unique(w, return_inverse=True)
+            of_word = np.zeros(len(ws))
+            of_word[wi] = np.concatenate([p[8][p[5]] for p in parts])
+            count = np.concatenate([p[9] for p in parts])
+            del parts
+            n = max(len(ws), 1)
+            gram, at = np.unique(place[node] * n + wi, return_inverse=True)
+            of_gram = np.bincount(at, count, len(gram))
+            gram_node, gram_w = gram // n, gram % n
+            pair, pair_of = np.unique(node_v[gram_node] * n + gram_w, return_inverse=True)
+            of_pair = np.bincount(pair_of, of_gram, len(pair))
+            pair_v, pair_w = pair // n, pair % n
+            p1 = (of_word + 0.5) / (tokens + 0.5 * (words + 1))
+            p2 = (of_pair + weights[0] * p1[pair_w]) / (of_context[pair_v] + weights[0])
+            p3 = (of_gram + weights[1] * p2[pair_of]) / (of_node[gram_node] + weights[1])
+            head = Trie.write(
+                folder, f"{shard}.trie", contexts, (node_v, node_u), (gram_node, ws[gram_w]), (pair_v, ws[pair_w]),
+                quantised(weights[1] / (of_node + weights[1])), quantised(p3), quantised(p2),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([head], pa.list_(pa.int64()))], ["shard", "head"])
 
     return run
 
 
-def _score(shards: int, hot, tokens: int, words: int, weight: float):
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    folder: str  #: of the tries' files
+    tries: DataFrame  #: (shard, head)
+    weights: tuple[float, float]
+
+
+def fit(texts: DataFrame, vocabulary: Vocabulary, weights: tuple[float, float] = WEIGHTS) -> Model:
+    """texts: as `numbered` gives them; their training texts are learned from."""
+    folder = shared_folder(texts.sparkSession)
+    asked = texts.select("block", "payload").mapInArrow(_ask(vocabulary.shards, True), SENT)
+    tries = brought_together(asked.select("shard", "payload"), "shard").mapInArrow(_learn(folder, vocabulary.words, vocabulary.tokens, weights), "shard int, head array<long>")
+    return Model(vocabulary, folder, settle(tries), weights)
+
+
+def _answer(folder: str):
+    """A shard's trie, and each block's question: a code for each context's weight, each trigram and its bigram."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groups(batches, "block"):
-            own = Asked(rows[0]["payload"], shards, hot)
-            answers = [unpack(row["payload"]) for row in rows[1:]]
-            count = np.zeros(len(own.hashes), np.float64)
-            count[own.node] = np.concatenate([a[0] for a in answers])
-            quant = np.empty(len(own.pair_order), np.uint8)
-            quant[own.pair_order] = np.concatenate([a[1] for a in answers])
-            base = (count + 0.5) / (tokens + 0.5 * (words + 1))
-            before = count[own.before]
-            p = CODEBOOK[quant[own.inverse]] + weight / (before + weight) * base[own.codes]
+        now, trie, held, size = None, None, [], 0
+
+        def done() -> pa.RecordBatch:
+            parts = [p for _, _, p in held]
+            v, u, node, w = _opened(parts)
+            context = trie.context(v) if trie else np.full(len(v), -1)
+            at = trie.child("nodes", context, u) if trie else context
+            if trie:
+                backoff = trie.code(trie.backoff, at)
+                words = trie.code(trie.word_codes, trie.child("words", at[node], w))
+                pairs = trie.code(trie.pair_codes, trie.child("pairs", context[node], w))
+            else:
+                backoff, words, pairs = np.zeros(len(u), np.uint8), np.zeros(len(w), np.uint8), np.zeros(len(w), np.uint8)
+            cuts, gram_cuts = np.cumsum([len(p[2]) for p in parts])[:-1], np.cumsum([len(p[5]) for p in parts])[:-1]
+            return _sent([(block, shard, pack(a, b, c)) for (block, shard, _), a, b, c in zip(held, np.split(backoff, cuts), np.split(words, gram_cuts), np.split(pairs, gram_cuts))])
+
+        for batch in batches:
+            for block, shard, payload, head in zip(*(batch.column(c).to_pylist() for c in ("block", "shard", "payload", "head"))):
+                if held and (shard != now or size > TOGETHER):
+                    yield done()
+                    held, size = [], 0
+                if shard != now:
+                    now, trie = shard, None
+                if head is not None:  # the trie's row comes first
+                    trie = Trie(folder, f"{shard}.trie", head)
+                    continue
+                held.append((block, shard, unpack(payload)))
+                size += len(held[-1][2][5])
+        if held:
+            yield done()
+
+    return run
+
+
+def _score(shards: int, words: int, tokens: int, weights: tuple[float, float]):
+    def run(kept: pa.Table, answered: pa.Table) -> pa.Table:
+        out = [SCORED.empty_table()]
+        for payload in kept.column("payload").to_pylist():
+            own = Grams(payload, shards, False)
+            answers = [unpack(x) for x in answered.sort_by("shard").column("payload").to_pylist()]
+            backoff, word, pair = np.zeros(max(len(own.node_v), 1), np.uint8), np.zeros(len(own.order), np.uint8), np.zeros(len(own.order), np.uint8)
+            if answers:
+                backoff[own.node] = np.concatenate([a[0] for a in answers])  # a spread context's shards all know its whole count
+                word[own.order], pair[own.order] = (np.concatenate([a[i] for a in answers]) for i in (1, 2))
+            node = np.empty(len(own.order), np.int64)
+            node[own.order] = own.gram_node
+            base = (own.count + 0.5) / (tokens + 0.5 * (words + 1))
+            before = own.count[own.before]
+            p = weights[0] / (before + weights[0]) * base[own.codes]
+            shorter = np.where(pair[own.inverse] > 0, CODEBOOK[pair[own.inverse]], p[own.asked])
+            weight = np.where(backoff[node[own.inverse]] > 0, CODEBOOK[backoff[node[own.inverse]]], 1.0)
+            p[own.asked] = np.where(word[own.inverse] > 0, CODEBOOK[word[own.inverse]], weight * shorter)
             at = own.offsets[:-1]
-            columns = (
+            columns = [
                 pa.array(own.ids, mask=own.none), pa.array(own.train), pa.array(own.lengths),
-                pa.array(np.add.reduceat((count[own.codes] > 0).astype(np.int64), at)),
+                pa.array(np.add.reduceat((own.count[own.codes] > 0).astype(np.int64), at)),
                 pa.array(np.add.reduceat(np.log10(base)[own.codes], at)), pa.array(np.add.reduceat(np.log10(p), at)),
-            )
-            yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+            ]
+            out.append(pa.Table.from_arrays(columns, schema=SCORED))
+        return pa.concat_tables(out)
 
     return run
 
 
-def score(docs: DataFrame, train: Column, weight: float = WEIGHT) -> DataFrame:
+SCORED = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def scored(texts: DataFrame, model: Model) -> DataFrame:
+    """texts: as `numbered` gives them for the model's vocabulary."""
+    known = model.vocabulary
+    asked = texts.select("block", "payload").mapInArrow(_ask(known.shards, False), SENT).withColumn("head", F.lit(None).cast("array<long>"))
+    tries = model.tries.select(F.lit(-1).cast("long").alias("block"), "shard", F.lit(None).cast("binary").alias("payload"), "head")
+    answers = brought_together(tries.union(asked), "shard", "block").mapInArrow(_answer(model.folder), SENT)
+    met = texts.groupBy("block").cogroup(answers.groupBy("block"))
+    out = met.applyInArrow(_score(known.shards, known.words, known.tokens, model.weights), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumn("train_tokens", F.lit(known.tokens).cast("long"))
+
+
+def train(docs: DataFrame, weights: tuple[float, float] = WEIGHTS) -> Model:
+    """A model of docs(text, ...), kept in the shared folder until the application ends."""
+    shards = shards_for(docs, SHARD)
+    tokens = tokenised(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), F.lit(True), shards)
+    vocabulary = Vocabulary.of(tokens, shards)
+    texts = numbered(tokens, vocabulary)
+    model = fit(texts, vocabulary, weights)
+    discard(tokens, texts)
+    return model
+
+
+def score_texts(docs: DataFrame, model: Model) -> DataFrame:
+    """Every row of docs(doc_id, text, ...), which need not be what the model learned from: as `score`, train false."""
+    return scored(numbered(tokenised(docs, F.lit(False), model.vocabulary.shards), model.vocabulary), model)
+
+
+def score(docs: DataFrame, train: Column, weights: tuple[float, float] = WEIGHTS) -> DataFrame:
     """Every row of docs(doc_id, text, ...): doc_id, train, n_tokens, n_known (tokens that the training texts hold),
     train_tokens, base_score (of the unigrams) and score (of the model): log10 probabilities.
 
     Tokens: words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end. train: which rows are learned from (null: not).
     A null or empty text is one end. Rows with equal or null doc_id each count and come out. Without training texts
-    every probability is that of an unseen word. Words and bigrams are known by 64-bit hashes, a bigram's second
-    word by 48 bits."""
-    spark = docs.sparkSession
-    shards = 2 * shuffle_partitions(spark)
-    texts = as_bytes(docs, F.coalesce(train, F.lit(False)).alias("train"))
-    kept = settle(texts.mapInArrow(_tokens(shards), "block long, tokens long, payload binary, common array<struct<h: long, n: long>>"), payload=True)
-    tokens = kept.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    # words with over half a shard's share of all tokens: at most two for each shard, whatever the input
-    often = kept.select(F.inline("common")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * shards > tokens).collect()
-    keys = np.array([r["h"] for r in often], dtype=np.int64).view(np.uint64)
-    spread = np.array([min(shards, int(np.ceil(2 * shards * r["n"] / tokens))) for r in often], dtype=np.int64)
-    order = np.argsort(keys)
-    hot = keys[order], spread[order]
-    asked = kept.select("block", "payload").mapInArrow(_ask(shards, hot), "block long, shard int, payload binary")
-    answers = settle(brought_together(asked, "shard").mapInArrow(_answer(weight), "block long, shard int, payload binary, words long"))
-    words = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    met = kept.select("block", F.lit(-1).alias("shard"), "payload").union(answers.select("block", "shard", "payload"))
-    scored = brought_together(met, "block", "shard").mapInArrow(_score(shards, hot, tokens, words, weight), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
+    every probability is that of an unseen word. Words are known by 64-bit hashes."""
+    shards = shards_for(docs, SHARD)
+    tokens = tokenised(docs, train, shards)
+    vocabulary = Vocabulary.of(tokens, shards)
+    texts = numbered(tokens, vocabulary)
+    discard(tokens)
+    return scored(texts, fit(texts, vocabulary, weights))

@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_bytes, blocks, word_codes, word_hashes
+from .common import as_bytes, blocks, settle, word_codes, word_hashes
 from .features import NAMES, odd_words, structure
 
-#: Buckets of hashed words; factors; labelled rows used at most (those with the least hash of their id); passes.
-BUCKETS, FACTORS, MOST_LABELLED, EPOCHS = 1 << 16, 8, 8000, 6
+#: Buckets of hashed words; factors; passes.
+BUCKETS, FACTORS, EPOCHS = 1 << 16, 8, 6
+#: Labelled documents used at most, and bytes of their texts at most: those with the least hash of their id.
+MOST_LABELLED, MOST_BYTES = 8000, 32_000_000
 DENSE = len(NAMES)
 
 
@@ -97,14 +99,23 @@ def fit(place: np.ndarray, value: np.ndarray, offsets: np.ndarray, label: np.nda
     return m
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id, text (bytes) and y of at most `most` labelled documents: those whose id has the least hash. Labels are
-    0 or 1 (others and nulls are left out); of repeated labels of an id, and of repeated rows, one counts."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """doc_id, text (bytes, whole) and y of at most `most` labelled documents with at most `most_bytes` of text in all:
+    in the order of a hash of the id, as many as fit (a document that doesn't is passed over). Labels are 0 or 1 (others
+    and nulls are left out). Of repeated labels of an id the largest counts, of several rows of an id the one whose
+    text has the largest hash, so that repeats change nothing."""
     spark = docs.sparkSession
     ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()  # bounded by `most`
-    small = spark.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "doc_id long, y int")
-    return as_bytes(docs).join(F.broadcast(small), "doc_id")
+    small = spark.createDataFrame([(r["doc_id"], r["y"], k) for k, r in enumerate(chosen)], "doc_id long, y int, place int")
+    there = as_bytes(docs).join(F.broadcast(small), "doc_id")
+    one = settle(there.groupBy("doc_id", "y", "place").agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "y", "place", "t.text"))
+    fits, total = [], 0
+    for r in one.select("doc_id", "place", F.octet_length("text").alias("n")).orderBy("place").collect():  # as many rows
+        if total + r["n"] <= most_bytes:
+            total += r["n"]
+            fits.append((r["doc_id"],))
+    return one.join(F.broadcast(spark.createDataFrame(fits, "doc_id long")), "doc_id", "left_semi").select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> Machine:

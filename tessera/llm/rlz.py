@@ -1,141 +1,219 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-The reference is the corpus itself, indexed in blocks: each window of W words belongs to the block that the least hash of
-its K-word sequences (its minimiser) decides. Equal windows have equal minimisers, so that a window is found in that one
-block or in none, and successive windows of a text mostly stay in one block. Each block parses the runs of windows sent to
-it: greedily, a factor begins at a window that starts in a document with a smaller id, and goes on while the text and
-the reference go on alike. Factors that meet at a border of runs are joined where they continue in the reference;
-windows across a border were looked up in their own block, so no duplicate is missed there. The words that factors cover
-are duplicate spans.
+"""Substring dedup by relative Lempel-Ziv parsing against a reference that is indexed in blocks.
+
+The reference is the corpus itself. Its index is cut into reference blocks by minimisers: a text is cut into *segments*,
+runs of windows (W consecutive words) whose least K-word hash is the same, and a segment, with all its words, belongs to
+the block that this hash decides. Equal windows have equal minimisers, so that a window of the corpus stands in that one
+block or nowhere, and asking this block is asking all.
+
+1. A batch of texts sends each distinct segment once, with the least document that holds it and its place there. What
+   a third of all documents share comes once from each batch, however often it stands there; places stay at home.
+2. A reference block indexes its windows by hash, and compares words wherever hashes are equal. It parses every segment
+   greedily: a factor begins at the first window that a document with a smaller id holds too (of several the least),
+   and is as long as the text and the reference go on alike. At the border of a factor the parse goes on with the window
+   after its last one, not with the word after its last word, so that windows across the border are looked up as well.
+3. At home, factors go to all places of their segment, are joined where they continue each other across segments, and
+   their words are the duplicate spans. A factor is at least one window long: shorter ones are never made.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, as_bytes, blocks, brought_together, crc_of_id, gram_hashes, groups, mixed, pack, shard_of, shuffle_partitions, unpack, word_codes, word_hashes
+from .common import as_bytes, blocks, brought_together, gram_hashes, groups, mixed, pack, ragged, settle, shard_of, shards_for, unpack, word_codes, word_hashes
 
-#: Words of a window, and of the sequences among which its minimiser is the least.
-WINDOW, GRAM = 13, 4
+#: Words of a window, and of the sequences among which its minimiser is the least; windows of a segment at most.
+WINDOW, GRAM, MOST = 13, 4, 64
+#: Bytes of text in a batch, and bytes of text for each reference block.
+BATCH, SHARD = 6_000_000, 16_000_000
 #: Stands for a null id in comparisons: larger than every other.
 LAST = np.iinfo(np.int64).max
 
 
-def _windows(shards: int, window: int):
-    """For each block of texts and each reference block (shard): the runs of windows that belong there. A window's
-    key is 48 bits of its hash and 16 of its minimiser."""
+def segments(codes: np.ndarray, offsets: np.ndarray, h: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """First word (in codes), number of windows, document (place) and a hash for the block, of each segment.
+    h: the words' hashes."""
+    gram = min(GRAM, window)
+    lengths = np.diff(offsets)
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    n = max(0, len(codes) - window + 1)
+    at = np.flatnonzero(doc[:n] == doc[window - 1 : window - 1 + n])
+    if not len(at):
+        return at, at, at, at.astype(np.uint64)
+    least = mixed(gram_hashes(h, gram))
+    low = least[:n].copy()
+    for j in range(1, window - gram + 1):
+        np.minimum(low, least[j : j + n], out=low)
+    low, owner = low[at], doc[at]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])])
+    first = np.flatnonzero(new)
+    within = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    first = np.flatnonzero(new | (within % MOST == 0))
+    return at[first], np.diff(np.append(first, len(at))), owner[first].astype(np.int64), low[first]
+
+
+def _batch(shards: int, window: int, row: str | None):
+    """For each batch of texts: what stays at home (shard -1) and what each reference block is asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        part = TaskContext.get().partitionId()
+        for k, block in enumerate(blocks(batches, BATCH)):
+            number = part << 32 | k
             codes, offsets, vocabulary = word_codes(block["text"])
-            h = word_hashes(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64)
-            if len(h) < window:
-                continue
-            whole = gram_hashes(h, window)
-            least = mixed(gram_hashes(h, GRAM))
-            n = len(whole)
-            low = least[:n].copy()
-            for j in range(1, window - GRAM + 1):
-                np.minimum(low, least[j : j + n], out=low)
-            lengths = np.diff(offsets)
-            doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-            at = np.flatnonzero(doc[:n] == doc[window - 1 : window - 1 + n])
-            if not len(at):
-                continue
-            own, low, doc = whole[at], low[at], doc[at]
-            starts = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]))
-            run_lengths = np.diff(np.append(starts, len(at)))
-            tag = mixed(low[starts])
-            shard = shard_of(tag, shards)
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            h = word_hashes(vocabulary)
+            first, count, owner, low = segments(codes, offsets, h[codes] if len(codes) else h, window)
             ids = np.array([LAST if x is None else x for x in block["doc_id"]], dtype=np.int64)
-            sums = np.array([zlib.crc32(t) for t in block["text"]], dtype=np.uint32)
-            place = (at[starts] - offsets[doc[starts]]).astype(np.int32)
-            key = np.ascontiguousarray((own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-            numbers, payloads = [], []
+            place = first - offsets[owner] if len(first) else first
+            shard = shard_of(mixed(low), shards)
+            own = distinct(codes, first, count + window - 1)
+            by = np.lexsort((place, ids[owner], own, shard))
+            new = np.concatenate([[True], np.diff(own[by]) != 0]) if len(by) else np.zeros(0, bool)
+            lead = by[new]  # of each distinct segment, in the order of the shards, the least document and place
+            which = np.empty(len(by), np.int32)
+            which[by] = np.cumsum(new) - 1
+            home = pack(ids, np.diff(offsets).astype(np.int32), np.bincount(owner, minlength=len(ids)).astype(np.int32), place.astype(np.int32), which, ids[owner[lead]], place[lead].astype(np.int32), count[lead].astype(np.uint8))
+            text = pack(np.array([len(t) for t in block["text"]], dtype=np.int64), np.frombuffer(b"".join(block["text"]), np.uint8), level=3)
+            rows = "\0".join(block[row]).encode() if row else b""
+            yield _rows([(number, -1, home, text, rows)])
+            edges = np.searchsorted(shard[lead], np.arange(shards + 1))
+            out = []
             for s in np.flatnonzero(np.diff(edges)):
-                r = order[edges[s] : edges[s + 1]]  # ascending within a shard, and so by document and place
-                k = run_lengths[r]
-                cut = np.concatenate([[0], np.cumsum(k)])
-                take = np.repeat(starts[r] - cut[:-1], k) + np.arange(cut[-1])
-                docs_here, inside = np.unique(doc[starts[r]], return_inverse=True)
-                numbers.append(int(s))
-                payloads.append(
-                    pack(np.diff(ids[docs_here], prepend=0), sums[docs_here], np.diff(inside, prepend=0).astype(np.int32), np.diff(place[r], prepend=0).astype(np.int32), k.astype(np.int32), (tag[r] & np.uint64(0xFFFF)).astype(np.uint16))
-                    + key[take].tobytes()
-                    + int(6 * cut[-1]).to_bytes(8, "little")
-                )
-                if len(numbers) >= 64 or sum(map(len, payloads[-1:])) > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], ["shard", "payload"])
-                    numbers, payloads = [], []
-            if numbers:
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], ["shard", "payload"])
+                some = lead[edges[s] : edges[s + 1]]
+                length = count[some] + window - 1
+                words = codes[np.repeat(first[some] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+                used, inverse = np.unique(words, return_inverse=True)
+                named = b" ".join([vocabulary[w] for w in used.tolist()])
+                out.append((number, int(s), pack(ids[owner[some]], place[some].astype(np.int32), count[some].astype(np.uint8), inverse.astype(np.uint16 if len(used) < 65536 else np.uint32), np.frombuffer(named, np.uint8), level=3), None, None))
+                if len(out) >= 64:
+                    yield _rows(out)
+                    out = []
+            if out:
+                yield _rows(out)
 
     return run
 
 
-def _opened(payload: bytes) -> tuple[np.ndarray, ...]:
-    """doc, sum, place and length of each run, and the keys of its windows."""
-    size = int.from_bytes(payload[-8:], "little")
-    ids, sums, inside, place, lengths, tag = unpack(payload[: len(payload) - 8 - size])
-    ids, inside, place = np.cumsum(ids), np.cumsum(inside), np.cumsum(place)
-    key = np.zeros((size // 6, 8), np.uint8)
-    key[:, 2:] = np.frombuffer(payload, np.uint8, size, len(payload) - 8 - size).reshape(-1, 6)
-    return ids[inside], sums[inside], place, lengths, key.view(np.uint64).reshape(-1) | np.repeat(tag.astype(np.uint64), lengths)
+def distinct(codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A number for each distinct sequence of words codes[first : first + length], by the words themselves: sequences of
+    one length are rows of a matrix."""
+    out, n = np.zeros(len(first), np.int64), 0
+    for k in np.unique(length):
+        at = np.flatnonzero(length == k)
+        matrix = np.ascontiguousarray(codes[first[at][:, None] + np.arange(k)])
+        _, inverse = np.unique(matrix.view(np.dtype((np.void, matrix.itemsize * int(k)))).reshape(-1), return_inverse=True)
+        out[at] = inverse + n
+        n += inverse.max() + 1
+    return out
+
+
+SENT = "block long, shard int, payload binary, text binary, rows binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["block", "shard", "payload", "text", "rows"])
+
 
+def reference(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """The segments of all batches as one text: words (numbers, equal for equal words), their hashes, and of each
+    segment the document, place, number of windows."""
+    numbers: dict[bytes, int] = {}
+    words = [np.zeros(0, np.int32)]
+    for *_, inverse, named in parts:
+        own = np.array([numbers.setdefault(w, len(numbers)) for w in named.tobytes().split(b" ")], dtype=np.int32)
+        words.append(own[inverse])
+    doc, place, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    text = np.concatenate(words)
+    return text, word_hashes(list(numbers))[text], doc, place, count.astype(np.int64)
 
-def _parse(buckets: int):
-    """For each reference block: the factors of all runs sent to it, dealt out by a hash of the document's id."""
+
+def alike(text: np.ndarray, at: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
+    """A number for each window text[at : at + window], equal only for equal words: by its hash, words compared."""
+    _, head, out = np.unique(key, return_index=True, return_inverse=True)
+    same = np.ones(len(at), bool)
+    for j in range(window):
+        same &= text[at + j] == text[at[head[out]] + j]
+    other: dict[tuple, int] = {}
+    for i in np.flatnonzero(~same).tolist():  # equal hashes of different words
+        out[i] = other.setdefault(tuple(text[at[i] : at[i] + window].tolist()), len(head) + len(other))
+    return out
+
+
+def parse(text: np.ndarray, h: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """The factors of each segment: segment, first window in it, number of windows, and document and place of the
+    reference. A factor begins at a window that also starts in a document with a smaller id."""
+    length = count + window - 1
+    first = np.cumsum(length) - length
+    segment = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    at = np.arange(len(segment)) + np.repeat(first - (np.cumsum(count) - count), count)
+    key = gram_hashes(h, window)[at]
+    order = np.argsort(key)
+    again = key[order][1:] == key[order][:-1]
+    some = np.sort(order[np.concatenate([again, [False]]) | np.concatenate([[False], again])])  # in the order of the text
+    none = np.zeros(0, np.int64)
+    if not len(some):
+        return none, none, none, none, none
+    owner, begin = segment[some].astype(np.int64), at[some]
+    inside = begin - first[owner]
+    kind = alike(text, begin, key[some], window)
+    by = np.lexsort((place[owner] + inside, doc[owner], kind))
+    head = np.concatenate([[True], np.diff(kind[by]) != 0])
+    source = np.empty(len(some), np.int64)
+    source[by] = by[np.flatnonzero(head)[np.cumsum(head) - 1]]  # the window's first place in the least document
+    older = doc[owner[source]] < doc[owner]
+    # windows some[i] and some[i] + 1 stand side by side if they do in the text
+    beside = np.concatenate([(np.diff(begin) == 1) & (np.diff(owner) == 0), [False]])
+    out: list[tuple[np.ndarray, ...]] = []
+    start = np.flatnonzero(older & ~np.concatenate([[False], (beside & older)[:-1]]))  # where chains of such windows begin
+    last = np.flatnonzero(older & ~(beside & np.append(older[1:], False)))
+    end = last + 1  # of each chain
+    now = start.copy()
+    while len(now):
+        src, size, live = source[now], np.ones(len(now), np.int64), np.arange(len(now))
+        while len(live):
+            a, b = now[live] + size[live] - 1, src[live] + size[live] - 1
+            inside_chain = a + 1 < end[live]
+            live, a, b = live[inside_chain], a[inside_chain], b[inside_chain]
+            on = beside[b]
+            on &= kind[a + 1] == kind[np.minimum(b + 1, len(kind) - 1)]
+            live = live[on]
+            size[live] += 1
+        out.append((owner[now], inside[now], size, doc[owner[src]], place[owner[src]] + inside[src]))
+        now = now + size
+        more = now < end
+        now, end = now[more], end[more]
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out)) if out else (none,) * 5
+
+
+def _parse(window: int):
+    """For each reference block: the factors of the segments that each batch sent to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groups(batches, "shard"):
-            parts = [_opened(row["payload"]) for row in rows]
-            doc, total, place, lengths, key = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            del parts, rows
-            run_of = np.repeat(np.arange(len(doc), dtype=np.int32), lengths)
-            first = np.cumsum(lengths) - lengths
-            order = np.argsort(key)
-            ordered = key[order]
-            same = ordered[1:] == ordered[:-1]
-            order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # windows that occur again
-            if not len(order):
-                continue
-            del ordered, same
-            owner = run_of[order]
-            at = place[owner] + order - first[owner]
-            sort = np.lexsort((at, doc[owner], key[order]))
-            order, owner, at = order[sort], owner[sort], at[sort]
-            k = key[order]
-            head = np.concatenate([[True], k[1:] != k[:-1]])
-            source = np.flatnonzero(head)[np.cumsum(head) - 1]
-            ref_doc, ref_at = doc[owner][source], at[source]
-            again = doc[owner] > ref_doc
-            order, owner, at, ref_doc, ref_at = (x[again] for x in (order, owner, at, ref_doc, ref_at))
-            if not len(order):
-                continue
-            sort = np.argsort(order, kind="stable")  # as in the texts
-            order, owner, at, ref_doc, ref_at = (x[sort] for x in (order, owner, at, ref_doc, ref_at))
-            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (np.diff(at) != 1) | (ref_doc[1:] != ref_doc[:-1]) | (np.diff(ref_at) != 1)])
-            start = np.flatnonzero(new)
-            count = np.diff(np.append(start, len(order)))
-            d, t, p, rd, ra = doc[owner[start]], total[owner[start]], at[start], ref_doc[start], ref_at[start]
-            ids, inverse = np.unique(d, return_inverse=True)
-            bucket = np.array([crc_of_id(None if i == LAST else int(i)) % buckets for i in ids], dtype=np.int64)[inverse]
-            sort = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[sort], prepend=-1, append=-1))
-            numbers, payloads = [], []
-            for a, b in zip(edges[:-1], edges[1:]):
-                own = sort[a:b]
-                numbers.append(int(bucket[own[0]]))
-                payloads.append(pack(np.diff(d[own], prepend=0), t[own], p[own].astype(np.int32), count[own].astype(np.int32), rd[own], ra[own].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([-1] * len(numbers), pa.int32()), pa.nulls(len(numbers), pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "kind", "doc_id", "text"])
+        for shard, rows in groups(batches, "shard"):
+            numbers = [row["block"] for row in rows]
+            parts = [unpack(row["payload"]) for row in rows]
+            del rows
+            starts = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+            text, h, doc, place, count = reference(parts)
+            del parts
+            found = parse(text, h, doc, place, count, window)
+            by = np.lexsort((found[1], found[0]))
+            found = [x[by] for x in found]
+            cuts = np.searchsorted(found[0], starts)
+            out = []
+            for k, number in enumerate(numbers):
+                a, b = cuts[k], cuts[k + 1]
+                if a < b:
+                    own = [x[a:b] for x in found]
+                    out.append((number, shard, pack(np.diff(own[0] - starts[k], prepend=0).astype(np.int32), own[1].astype(np.uint8), own[2].astype(np.uint8), own[3], own[4].astype(np.int32)), starts[k + 1] - starts[k]))
+                else:
+                    out.append((number, shard, b"", starts[k + 1] - starts[k]))
+            for a in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 256]), (pa.int64(), pa.int32(), pa.binary(), pa.int64()))], ["block", "shard", "payload", "n"])
 
     return run
 
@@ -165,63 +243,65 @@ def without(text: bytes, words: list[bytes], gone: np.ndarray, layout: bool) ->
 
 
 def _remove(window: int, layout: bool, row: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, spans = None, [], {}
-
-        def collected() -> dict:
-            parts = [unpack(x) for x in held]
-            held.clear()
-            if not parts:
-                return {}
-            d, t, p, c, rd, ra = (np.concatenate([np.cumsum(q[0]) if not i else q[i] for q in parts]) for i in range(6))
-            sort = np.lexsort((p, t, d))
-            d, t, p, c, rd, ra = (x[sort] for x in (d, t, p, c, rd, ra))
-            edges = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]), [True]]))
-            out = {}
-            for a, b in zip(edges[:-1], edges[1:]):
-                keep = np.concatenate([[True], p[a + 1 : b] != p[a : b - 1]])  # a repeated row sends its factors again
-                out[int(d[a]), int(t[a])] = tuple(x[a:b][keep] for x in (p, c, rd, ra))
-            return out
-
-        for batch in batches:
-            bucket, kind = batch.column("bucket").to_pylist(), batch.column("kind").to_pylist()
-            out: dict[str, list] = {"doc_id": [], "text": [], "n_words": [], "n_removed": [], "factors": []}
-            rows: list = []
-            for k in range(batch.num_rows):
-                if bucket[k] != now:
-                    now, spans = bucket[k], {}
-                    held.clear()
-                value = batch.column("text")[k].as_py()
-                if kind[k] < 0:
-                    held.append(value)
-                    continue
-                if held:
-                    spans = collected()
-                doc_id = batch.column("doc_id")[k].as_py()
-                words = value.split()
-                own = spans.get((LAST if doc_id is None else doc_id, zlib.crc32(value))) if spans else None
+    """A batch's texts and the factors of its segments: the texts without duplicate words."""
+
+    def run(kept: pa.Table, answered: pa.Table) -> pa.Table:
+        out = [schema.empty_table()]
+        for payload, packed, names in zip(*(kept.column(c).to_pylist() for c in ("payload", "text", "rows"))):
+            ids, n_words, n_segments, place, which, lead_doc, lead_place, lead_count = unpack(payload)
+            sizes, raw = unpack(packed)
+            raw, ends = raw.tobytes(), np.cumsum(sizes).tolist()
+            carried = names.decode().split("\0") if row else []
+            # factors by distinct segment
+            parts, at = [], 0
+            for value, n in zip(*(answered.sort_by("shard").column(c).to_pylist() for c in ("payload", "n"))):
+                if value:
+                    k, first, size, doc, ref = unpack(value)
+                    parts.append((np.cumsum(k) + at, first.astype(np.int64), size.astype(np.int64), doc, ref.astype(np.int64)))
+                at += n
+            seg, first, size, doc, ref = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(5))
+            cuts = np.searchsorted(seg, np.arange(len(lead_doc) + 1))
+            # all places of all segments: those of a document after the segment's least are duplicates of that one, whole
+            owner = np.repeat(np.arange(len(ids)), n_segments)
+            whole = np.flatnonzero(lead_doc[which] < ids[owner])
+            asked = np.flatnonzero((lead_doc[which] == ids[owner]) & (cuts[which + 1] > cuts[which]))
+            rows_of, lists = ragged(np.arange(len(seg)), cuts, which[asked])
+            by = np.repeat(asked, np.diff(lists))
+            spans = [
+                np.concatenate([owner[whole], owner[by]]),
+                np.concatenate([place[whole], place[by] + first[rows_of]]).astype(np.int64),
+                np.concatenate([lead_count[which[whole]].astype(np.int64), size[rows_of]]),
+                np.concatenate([lead_doc[which[whole]], doc[rows_of]]),
+                np.concatenate([lead_place[which[whole]].astype(np.int64), ref[rows_of]]),
+            ]
+            sort = np.lexsort((spans[1], spans[0]))
+            spans = [x[sort] for x in spans]
+            edges = np.searchsorted(spans[0], np.arange(len(ids) + 1))
+            columns: list[list] = [[], [], [], [], []]
+            for d, (a, b) in enumerate(zip([0, *ends], ends)):
+                text, n = raw[a:b], int(n_words[d])
+                own = [x[edges[d] : edges[d + 1]] for x in spans[1:]]
                 found: list = []
                 gone = 0
-                if own is None:
-                    text = value if layout else b" ".join(words)
-                else:
+                if len(own[0]):
                     start, count, ref_doc, ref_at = factors(*own)
                     length = count + window - 1
-                    edge = np.zeros(len(words) + 1, np.int32)
+                    edge = np.zeros(n + 1, np.int32)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + length, -1)
                     covered = np.cumsum(edge[:-1]) > 0
                     gone = int(covered.sum())
-                    text = without(value, words, covered, layout)
+                    text = without(text, text.split(), covered, layout)
                     found = [{"start": a, "length": b, "ref_doc": c, "ref_start": e} for a, b, c, e in zip(start.tolist(), length.tolist(), ref_doc.tolist(), ref_at.tolist())]
-                for name, x in zip(out, (doc_id, text.decode("utf-8", "replace"), len(words), gone, found)):
-                    out[name].append(x)
-                if row:
-                    rows.append(batch.column(row)[k].as_py())
-            if out["doc_id"]:
-                columns = [pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.string(), pa.int64(), pa.int64(), FACTORS))]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(rows, pa.string())] * bool(row), [*out, row] if row else list(out))
+                elif not layout:
+                    text = b" ".join(text.split())
+                for column, x in zip(columns, (None if ids[d] == LAST else int(ids[d]), text.decode("utf-8", "replace"), n, gone, found)):
+                    column.append(x)
+            if len(ids):
+                out.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, *([carried] if row else [])], schema)], schema=schema))
+        return pa.concat_tables(out)
 
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("factors", FACTORS), *([(row, pa.string())] if row else [])])
     return run
 
 
@@ -236,15 +316,12 @@ def dedupe(docs: DataFrame, window: int = WINDOW, layout: bool = False, row: str
     A word goes if a window of `window` words that covers it also starts in a document with a smaller doc_id, as judged
     on the input. layout: keep the white space of the kept words (else they are joined by single spaces). Null
     text: no words. A null doc_id counts as larger than every other, and rows of equal doc_id aren't duplicates
-    of each other. Windows are compared by 64 bits of hashes. row: a string column to carry along; others are ignored."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    of each other. Windows are compared by their words. row: a string column (without null characters and nulls) to
+    carry along; other columns are ignored."""
     own = [row] if row else []
-    texts = as_bytes(docs, *own)
-    sent = brought_together(texts.select("doc_id", "text").mapInArrow(_windows(4 * n, window), "shard int, payload binary"), "shard")
-    parsed = sent.mapInArrow(_parse(4 * n), "bucket int, kind int, doc_id long, text binary")
-    bucket = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(4 * n)).cast("int").alias("bucket")
-    dealt = texts.select(bucket, F.lit(0).alias("kind"), "doc_id", "text", *own)
-    if row:
-        parsed = parsed.withColumn(row, F.lit(None).cast("string"))
-    return brought_together(parsed.union(dealt), "bucket", "kind").mapInArrow(_remove(window, layout, row), SCHEMA + (f", {row} string" if row else ""))
+    sent = settle(as_bytes(docs, *own).mapInArrow(_batch(shards_for(docs, SHARD), window, row), SENT), payload=True, by="block")
+    asked = brought_together(sent.where("shard >= 0").select("block", "shard", "payload"), "shard")
+    found = asked.mapInArrow(_parse(window), "block long, shard int, payload binary, n long")
+    # the texts stay where they were written: only segments and factors move
+    met = sent.where("shard < 0").groupBy("block").cogroup(found.groupBy("block"))
+    return met.applyInArrow(_remove(window, layout, row), SCHEMA + (f", {row} string" if row else ""))

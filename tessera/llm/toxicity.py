@@ -182,12 +182,13 @@ def calibrate(net: Network, score: np.ndarray, label: np.ndarray, lang: list[str
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> Network:
-    """Fitted on the whole texts of at most `most` labelled documents; every fifth calibrates and isn't fitted on.
-    docs needs doc_id and text; a column lang, if there, is used for calibration only."""
+    """Fitted on the whole texts of at most `most` labelled documents, of at most quality.MOST_BYTES in all; every fifth
+    calibrates and isn't fitted on. docs needs doc_id and text; a column lang, if there, is used for calibration only
+    (of several rows of an id the largest name counts)."""
     rows = labelled(docs, labels, label, most)
     if "lang" in docs.columns:
-        langs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(rows.select("doc_id")), "doc_id", "left_semi").distinct()
-    table = rows.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+        langs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(rows.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("lang").alias("lang"))
+    table = rows.toArrow().sort_by("doc_id")
     texts, y = table["text"].to_pylist(), table["y"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 1e-3

@@ -123,24 +123,34 @@ def statistics(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
-def lm(rows, held_out, weight=8.0):
+def lm(rows, held_out, weights=(8.0, 4.0)):
     """rows -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score without quantising)"""
     tokens = [WORD.findall(lower(text)) + [None] for _, text in rows]
-    one, two, starts = Counter(), Counter(), 0
+    one, two, three, starts = Counter(), Counter(), Counter(), 0
+    context = Counter()
+
+    def grams(ts):
+        padded = ["<start>", "<start>", *ts]
+        return list(zip(padded, padded[1:], ts))
+
     for (doc_id, _), ts in zip(rows, tokens):
         if not held_out(doc_id):
             one.update(ts)
-            two.update(zip(["<start>"] + ts, ts))
             starts += 1
+            for u, v, w in grams(ts):
+                two[v, w] += 1
+                three[u, v, w] += 1
+                context[u, v] += 1
     total, distinct = sum(one.values()), len(one)
     out = []
     for (doc_id, _), ts in zip(rows, tokens):
         base = score = 0.0
-        for before, w in zip(["<start>"] + ts, ts):
+        for u, v, w in grams(ts):
             p = (one[w] + 0.5) / (total + 0.5 * (distinct + 1))
             base += math.log10(p)
-            c = starts if before == "<start>" else one[before]
-            score += math.log10(two[before, w] / (c + weight) + weight / (c + weight) * p)
+            c = starts if v == "<start>" else one[v]
+            p = (two[v, w] + weights[0] * p) / (c + weights[0])
+            score += math.log10((three[u, v, w] + weights[1] * p) / (context[u, v] + weights[1]))
         out.append((doc_id, held_out(doc_id), len(ts), sum(one[w] > 0 for w in ts), total, base, score))
     return out
 
@@ -166,6 +176,115 @@ def nearest(rows, k=5, every=50):
     return out
 
 
+def bucket(gram, buckets):
+    """The hash bucket of an n-gram (a string), with 32-bit arithmetic written out."""
+    h = 0x9E3779B1 * len(gram) % 2**32
+    for c in gram:
+        h = (h ^ ord(c)) * 0x85EBCA6B % 2**32
+        h ^= h >> 15
+    return h % buckets
+
+
+def grams(text, orders=(1, 2, 3)):
+    text = text.lower() + "\n"
+    return [text[i : i + n] for n in orders for i in range(len(text) - n + 1)]
+
+
+def bayes(train, asked, buckets, alpha=0.5):
+    """train: (text, lang); asked: texts -> (lang, posterior) by multinomial naive Bayes."""
+    counts, seen = {}, Counter()
+    for text, lang in train:
+        if text is not None and lang is not None:
+            seen[lang] += 1
+            counts.setdefault(lang, Counter()).update(bucket(g, buckets) for g in grams(text))
+    out = []
+    for text in asked:
+        if not any(map(str.isalpha, text or "")):
+            out.append(("und", 0.0))
+            continue
+        logs = {}
+        for lang in sorted(counts):
+            total = sum(counts[lang].values()) + alpha * buckets
+            logs[lang] = math.log(seen[lang] / sum(seen.values())) + sum(math.log((counts[lang][bucket(g, buckets)] + alpha) / total) for g in grams(text))
+        best = max(sorted(logs), key=logs.get)
+        out.append((best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())))
+    return out
+
+
+def sigmoid(x):
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
+
+
+def machine_score(bias, linear, factors, features):
+    """A factorisation machine pair by pair. features: place -> value"""
+    y = bias + sum(linear[p] * x for p, x in features.items())
+    items = list(features.items())
+    for i, (p, x) in enumerate(items):
+        for q, z in items[i + 1 :]:
+            y += float(factors[p] @ factors[q]) * x * z
+    return sigmoid(y)
+
+
+def network_score(net, rows, widths, pad):
+    """A convolutional classifier place by place. rows: the embedding of each word of the text."""
+    rows = [*rows, *[np.zeros(rows[0].shape if rows else net.taps[0].shape[1])] * pad]
+    top = []
+    for width, tap in zip(widths, net.taps):
+        for f in range(tap.shape[2]):
+            top.append(max(sum(float(rows[i + j] @ tap[j, :, f]) for j in range(width) if i + j < len(rows)) for i in range(len(rows))))
+    hidden = [max(t + s, 0.0) for t, s in zip(top, net.shift)]
+    return sigmoid(sum(h * w for h, w in zip(hidden, net.output)) + net.bias)
+
+
+def judged(texts, steps=20, prior=0.85, right_on_good=0.98, right_on_bad=0.4, least=0.001):
+    """The verdict (posterior of being good at least a half) on each text: rules vote, expectation-maximisation weighs them."""
+
+    def votes(text):
+        text = text or ""
+        n, chars, symbols, dup, repeats = statistics(text)
+        if not n:
+            return (0,) * 10
+        words = WORD.findall(text)
+        lines = len([x for x in text.split("\n") if WORD.search(x)])
+        runs, capitals, exclamations = (len(re.findall(p, text)) for p in (r"[#*$%&|<>]+", "[A-Z]", "!"))
+
+        def vote(v, good, bad):
+            return 0 if v is None else 1 if good(v) else -1 if bad(v) else 0
+
+        return (
+            vote(n, lambda v: v >= 50, lambda v: v < 10),
+            vote(chars / n, lambda v: 3 <= v <= 10, lambda v: v < 2 or v > 15),
+            vote(symbols / n, lambda v: v <= 0.02, lambda v: v > 0.1),
+            vote(symbols / chars, lambda v: v <= 0.005, lambda v: v > 0.04),
+            vote(runs / n, lambda v: v <= 0.01, lambda v: v > 0.1),
+            vote(dup / lines if lines >= 3 else None, lambda v: v == 0, lambda v: v > 0.3),
+            vote(repeats / n, lambda v: v <= 0.05, lambda v: v > 0.2),
+            vote(len(set(words)) / n if n >= 30 else None, lambda v: v >= 0.25, lambda v: v < 0.12),
+            vote(capitals / chars, lambda v: v <= 0.15, lambda v: v > 0.4),
+            vote(exclamations / n, lambda v: v <= 0.05, lambda v: v > 0.3),
+        )
+
+    all_ = [votes(t) for t in texts]
+    a, b = [right_on_good] * 10, [right_on_bad] * 10
+
+    def good(v):
+        g, h = prior, 1 - prior
+        for x, p, q in zip(v, a, b):
+            if x:
+                g, h = g * (p if x > 0 else 1 - p), h * (1 - q if x > 0 else q)
+        return g / (g + h)
+
+    inside = lambda x: min(max(x, least), 1 - least)
+    for _ in range(steps):
+        p = [good(v) for v in all_]
+        if not p:
+            break
+        sums = [[sum(w for w, v in zip(ws, all_) if keep(v[r])) for ws, keep in ((p, lambda x: x > 0), (p, bool), ([1 - x for x in p], lambda x: x < 0), ([1 - x for x in p], bool))] for r in range(10)]
+        prior = inside(sum(p) / len(p))
+        a, b = [inside((s[0] + 2 * right_on_good) / (s[1] + 2)) for s in sums], [inside((s[2] + 2 * right_on_bad) / (s[3] + 2)) for s in sums]
+    return [good(v) for v in all_]
+
+
 def auc(score, label):
     order = np.argsort(score, kind="stable")
     ranks = np.empty(len(score))

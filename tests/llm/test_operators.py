@@ -147,7 +147,7 @@ def test_lm(docs, rows, empty):
     want = sorted(brute.lm(rows, held), key=repr)
     by = lambda x: sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6)))
     for a, b in zip(by(got), by(want), strict=True):
-        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) <= 0.03 * b[2]
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) <= 0.04 * b[2]
     assert lm.score(empty, train).count() == 0
 
 
