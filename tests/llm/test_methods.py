@@ -262,3 +262,19 @@ def test_a_shared_folder_must_be_set_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_pipeline_stages_with_clashing_names_and_empty_tables(spark):
+    import corpus_pipeline
+
+    names = ["tessera_text", "tessera_score", "TESSERA_KEY", "tessera_content", "k", "component_id", "with space", "row", "path"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    wide = docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        plain, out = stage(spark, docs, SF), stage(spark, wide, SF)
+        keys = ["doc_id", *(["text"] if "text" in plain.columns else [])]
+        assert sorted(map(tuple, plain.select(*keys).collect())) == sorted(map(tuple, out.select(*keys).collect()))
+        if name != "encoding":
+            assert out.columns == wide.columns
+            assert all(out.select(*(F.col(f"`{n}`") for n in names)).distinct().first()[i] == f"own {n}" for i, n in enumerate(names))
+        assert stage(spark, docs.limit(0), SF).count() == 0
