@@ -1,46 +1,52 @@
 """Substring dedup by relative Lempel-Ziv parsing against a reference that is indexed in blocks.
 
 The reference is the corpus itself. Its index is cut into reference blocks by minimisers: a text is cut into *segments*,
-runs of windows (W consecutive words) whose least K-word hash is the same, and a segment, with all its words, belongs to
-the block that this hash decides. Equal windows have equal minimisers, so that a window of the corpus stands in that one
-block or nowhere, and asking this block is asking all.
-
-1. A batch of texts sends each distinct segment once, with the least document that holds it and its place there. What
-   a third of all documents share comes once from each batch, however often it stands there; places stay at home.
-2. A reference block indexes its windows by hash, and compares words wherever hashes are equal. It parses every segment
+runs of windows (W consecutive words) with the same minimiser, the least hash of a window's K-word sequences; a segment
+belongs to the block that this hash decides. Equal windows have equal minimisers, so that a window of the corpus stands in
+that one block or nowhere, and asking this block is asking all.
+
+1. A batch of texts sends each distinct minimiser once and learns which of them other batches hold too: what has none in
+   common with another document can't repeat, and its words needn't travel.
+2. Of the other segments, each distinct one is sent once with all its words, the least document that holds it and its place
+   there. What a third of all documents share comes once from each batch, however often it stands there; all places stay
+   at home.
+3. A reference block indexes its windows by hash, and compares words wherever hashes are equal. It parses every segment
    greedily: a factor begins at the first window that a document with a smaller id holds too (of several the least),
    and is as long as the text and the reference go on alike. At the border of a factor the parse goes on with the window
    after its last one, not with the word after its last word, so that windows across the border are looked up as well.
-3. At home, factors go to all places of their segment, are joined where they continue each other across segments, and
+4. At home, factors go to all places of their segment, are joined where they continue each other across segments, and
    their words are the duplicate spans. A factor is at least one window long: shorter ones are never made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, brought_together, gram_hashes, groups, mixed, pack, ragged, settle, shard_of, shards_for, unpack, word_codes, word_hashes
+from .common import as_bytes, blocks, brought_together, gram_hashes, groups, mixed, pack, ragged, settle, shards_for, unpack, word_codes, word_hashes
 
 #: Words of a window, and of the sequences among which its minimiser is the least; windows of a segment at most.
-WINDOW, GRAM, MOST = 13, 4, 64
+WINDOW, GRAM, MOST = 13, 8, 64
 #: Bytes of text in a batch, and bytes of text for each reference block.
 BATCH, SHARD = 6_000_000, 16_000_000
 #: Stands for a null id in comparisons: larger than every other.
 LAST = np.iinfo(np.int64).max
+SENT = "block long, shard int, payload binary, text binary, rows binary"
 
 
-def segments(codes: np.ndarray, offsets: np.ndarray, h: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """First word (in codes), number of windows, document (place) and a hash for the block, of each segment.
-    h: the words' hashes."""
+def segments(h: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """First word (of all texts' words), number of windows, text and minimiser of each segment. h: the words' hashes."""
     gram = min(GRAM, window)
     lengths = np.diff(offsets)
     doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    n = max(0, len(codes) - window + 1)
+    n = max(0, len(h) - window + 1)
     at = np.flatnonzero(doc[:n] == doc[window - 1 : window - 1 + n])
     if not len(at):
         return at, at, at, at.astype(np.uint64)
@@ -53,46 +59,110 @@ def segments(codes: np.ndarray, offsets: np.ndarray, h: np.ndarray, window: int)
     first = np.flatnonzero(new)
     within = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
     first = np.flatnonzero(new | (within % MOST == 0))
-    return at[first], np.diff(np.append(first, len(at))), owner[first].astype(np.int64), low[first]
+    return at[first], np.diff(np.append(first, len(at))), owner[first].astype(np.int64), mixed(low[first])
+
+
+def _shards(x: np.ndarray, shards: int) -> np.ndarray:
+    """Of ascending minimisers: ascending shards."""
+    return ((x >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _batch(shards: int, window: int, row: str | None):
-    """For each batch of texts: what stays at home (shard -1) and what each reference block is asked."""
+    """For each batch of texts: what stays at home (shard -1), and for each reference block 48 bits of the distinct
+    minimisers that belong there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for k, block in enumerate(blocks(batches, BATCH)):
             number = part << 32 | k
-            codes, offsets, vocabulary = word_codes(block["text"])
-            h = word_hashes(vocabulary)
-            first, count, owner, low = segments(codes, offsets, h[codes] if len(codes) else h, window)
+            words = [text.split() for text in block["text"]]
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(offsets[-1]))
+            del words
+            first, count, owner, low = segments(h, offsets, window)
             ids = np.array([LAST if x is None else x for x in block["doc_id"]], dtype=np.int64)
-            place = first - offsets[owner] if len(first) else first
-            shard = shard_of(mixed(low), shards)
-            own = distinct(codes, first, count + window - 1)
-            by = np.lexsort((place, ids[owner], own, shard))
-            new = np.concatenate([[True], np.diff(own[by]) != 0]) if len(by) else np.zeros(0, bool)
-            lead = by[new]  # of each distinct segment, in the order of the shards, the least document and place
-            which = np.empty(len(by), np.int32)
-            which[by] = np.cumsum(new) - 1
-            home = pack(ids, np.diff(offsets).astype(np.int32), np.bincount(owner, minlength=len(ids)).astype(np.int32), place.astype(np.int32), which, ids[owner[lead]], place[lead].astype(np.int32), count[lead].astype(np.uint8))
+            asked, which = np.unique(low, return_inverse=True)
+            # minimisers that two documents of this batch hold repeat, whatever others hold
+            pairs = np.unique(which.astype(np.int64) * len(ids) + np.unique(ids, return_inverse=True)[1][owner])
+            here = np.bincount(pairs // max(len(ids), 1), minlength=len(asked)) > 1
+            home = pack(ids, lengths.astype(np.int32), np.bincount(owner, minlength=len(ids)).astype(np.int32), np.diff(first, prepend=0).astype(np.int32), count.astype(np.uint8), which.astype(np.int32), here)
             text = pack(np.array([len(t) for t in block["text"]], dtype=np.int64), np.frombuffer(b"".join(block["text"]), np.uint8), level=3)
-            rows = "\0".join(block[row]).encode() if row else b""
-            yield _rows([(number, -1, home, text, rows)])
-            edges = np.searchsorted(shard[lead], np.arange(shards + 1))
-            out = []
+            rows = [(number, -1, home, text, "\0".join(block[row]).encode() if row else b"")]
+            edges = np.searchsorted(_shards(asked, shards), np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(edges)):
-                some = lead[edges[s] : edges[s + 1]]
-                length = count[some] + window - 1
-                words = codes[np.repeat(first[some] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
-                used, inverse = np.unique(words, return_inverse=True)
-                named = b" ".join([vocabulary[w] for w in used.tolist()])
-                out.append((number, int(s), pack(ids[owner[some]], place[some].astype(np.int32), count[some].astype(np.uint8), inverse.astype(np.uint16 if len(used) < 65536 else np.uint32), np.frombuffer(named, np.uint8), level=3), None, None))
-                if len(out) >= 64:
-                    yield _rows(out)
-                    out = []
-            if out:
-                yield _rows(out)
+                rows.append((number, int(s), pack(np.diff(asked[edges[s] : edges[s + 1]] >> np.uint64(16), prepend=np.uint64(0))), None, None))
+            yield _rows(rows)
+
+    return run
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each reference block: which of the minimisers that a batch asks for come from another batch too, as bits."""
+    for shard, rows in groups(batches, "shard"):
+        own = [np.cumsum(unpack(row["payload"])[0]) for row in rows]
+        every = np.sort(np.concatenate(own))
+        repeated = np.unique(every[1:][every[1:] == every[:-1]])
+        out = []
+        for row, x in zip(rows, own):
+            at = np.minimum(np.searchsorted(repeated, x), max(len(repeated) - 1, 0))
+            bits = repeated[at] == x if len(repeated) else np.zeros(len(x), bool)
+            out.append((row["block"], shard, pack(np.packbits(bits), np.array([len(x)])), None, None))
+        for a in range(0, len(out), 256):
+            yield _rows(out[a : a + 256])
+
+
+class Home:
+    """A batch's segments, as it keeps them."""
+
+    def __init__(self, payload: bytes):
+        self.ids, n_words, n_segments, first, count, self.which, self.here = unpack(payload)
+        self.n_words, self.count = n_words.astype(np.int64), count.astype(np.int64)
+        self.first, self.owner = np.cumsum(first.astype(np.int64)), np.repeat(np.arange(len(self.ids)), n_segments)
+        self.offsets = np.concatenate([[0], np.cumsum(self.n_words)])
+
+
+def _ask(shards: int, window: int):
+    """For each batch: its segments whose minimiser repeats (shard -1: which segments these are, and the distinct ones'
+    least documents and places), and for each reference block the distinct ones with their words."""
+
+    def run(kept: pa.Table, answered: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        for block, payload, packed in zip(*(kept.column(c).to_pylist() for c in ("block", "payload", "text"))):
+            home = Home(payload)
+            bits = [unpack(x) for x in answered.sort_by("shard").column("payload").to_pylist()]
+            repeats = home.here | (np.concatenate([np.unpackbits(b, count=int(n[0])) for b, n in bits]).astype(bool) if bits else False)
+            some = np.flatnonzero(repeats[home.which]) if len(home.which) else np.zeros(0, np.int64)
+            if not len(some):
+                continue
+            sizes, raw = unpack(packed)
+            raw, ends = raw.tobytes(), np.cumsum(sizes)
+            docs = np.unique(home.owner[some])
+            codes, offsets, vocabulary = word_codes([raw[ends[d] - sizes[d] : ends[d]] for d in docs.tolist()])
+            start = np.zeros(len(home.ids), np.int64)
+            start[docs] = offsets[:-1]
+            owner, count, which = home.owner[some], home.count[some], home.which[some]
+            place = home.first[some] - home.offsets[owner]
+            first = start[owner] + place
+            own = distinct(codes, first, count + window - 1)
+            by = np.lexsort((place, home.ids[owner], own, which))  # equal segments have equal minimisers
+            new = np.concatenate([[True], np.diff(own[by]) != 0])
+            lead = by[new]  # of each distinct segment, in the order of the shards, the least document and place
+            to = np.empty(len(by), np.int32)
+            to[by] = np.cumsum(new) - 1
+            rows.append((block, -1, pack(np.diff(some, prepend=0).astype(np.int32), to, home.ids[owner[lead]], place[lead].astype(np.int32), count[lead].astype(np.uint8)), None, None))
+            # the shards' borders among the batch's minimisers are where its questions were cut
+            cuts = np.cumsum([int(n[0]) for _, n in bits])
+            numbers = sorted(answered.column("shard").to_pylist())
+            edges = np.concatenate([[0], np.searchsorted(which[lead], cuts)])
+            for s, a, b in zip(numbers, edges[:-1], edges[1:]):
+                if a < b:
+                    part = lead[a:b]
+                    length = count[part] + window - 1
+                    used, inverse = np.unique(codes[np.repeat(first[part] - (np.cumsum(length) - length), length) + np.arange(length.sum())], return_inverse=True)
+                    named = b" ".join([vocabulary[w] for w in used.tolist()])
+                    rows.append((block, s, pack(home.ids[owner[part]], place[part].astype(np.int32), count[part].astype(np.uint8), inverse.astype(np.uint16 if len(used) < 65536 else np.uint32), np.frombuffer(named, np.uint8), level=3), None, None))
+        return pa.Table.from_batches([_rows(rows)] if rows else [], schema=ROWS)
 
     return run
 
@@ -110,12 +180,11 @@ def distinct(codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.nda
     return out
 
 
-SENT = "block long, shard int, payload binary, text binary, rows binary"
+ROWS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary()), ("text", pa.binary()), ("rows", pa.binary())])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["block", "shard", "payload", "text", "rows"])
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), ROWS)], schema=ROWS)
 
 
 def reference(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
@@ -248,13 +317,18 @@ def _remove(window: int, layout: bool, row: str | None):
     def run(kept: pa.Table, answered: pa.Table) -> pa.Table:
         out = [schema.empty_table()]
         for payload, packed, names in zip(*(kept.column(c).to_pylist() for c in ("payload", "text", "rows"))):
-            ids, n_words, n_segments, place, which, lead_doc, lead_place, lead_count = unpack(payload)
+            home = Home(payload)
+            ids, n_words = home.ids, home.n_words
             sizes, raw = unpack(packed)
             raw, ends = raw.tobytes(), np.cumsum(sizes).tolist()
             carried = names.decode().split("\0") if row else []
-            # factors by distinct segment
-            parts, at = [], 0
+            some, which, lead_doc, lead_place, lead_count = (np.zeros(0, np.int64),) * 5
+            parts, at = [], 0  # factors by distinct segment
             for value, n in zip(*(answered.sort_by("shard").column(c).to_pylist() for c in ("payload", "n"))):
+                if n is None:
+                    some, which, lead_doc, lead_place, lead_count = (x.astype(np.int64) for x in unpack(value))
+                    some = np.cumsum(some)
+                    continue
                 if value:
                     k, first, size, doc, ref = unpack(value)
                     parts.append((np.cumsum(k) + at, first.astype(np.int64), size.astype(np.int64), doc, ref.astype(np.int64)))
@@ -262,17 +336,18 @@ def _remove(window: int, layout: bool, row: str | None):
             seg, first, size, doc, ref = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(5))
             cuts = np.searchsorted(seg, np.arange(len(lead_doc) + 1))
             # all places of all segments: those of a document after the segment's least are duplicates of that one, whole
-            owner = np.repeat(np.arange(len(ids)), n_segments)
+            owner = home.owner[some]
+            place = home.first[some] - home.offsets[owner]
             whole = np.flatnonzero(lead_doc[which] < ids[owner])
             asked = np.flatnonzero((lead_doc[which] == ids[owner]) & (cuts[which + 1] > cuts[which]))
             rows_of, lists = ragged(np.arange(len(seg)), cuts, which[asked])
             by = np.repeat(asked, np.diff(lists))
             spans = [
                 np.concatenate([owner[whole], owner[by]]),
-                np.concatenate([place[whole], place[by] + first[rows_of]]).astype(np.int64),
-                np.concatenate([lead_count[which[whole]].astype(np.int64), size[rows_of]]),
+                np.concatenate([place[whole], place[by] + first[rows_of]]),
+                np.concatenate([lead_count[which[whole]], size[rows_of]]),
                 np.concatenate([lead_doc[which[whole]], doc[rows_of]]),
-                np.concatenate([lead_place[which[whole]].astype(np.int64), ref[rows_of]]),
+                np.concatenate([lead_place[which[whole]], ref[rows_of]]),
             ]
             sort = np.lexsort((spans[1], spans[0]))
             spans = [x[sort] for x in spans]
@@ -318,10 +393,13 @@ def dedupe(docs: DataFrame, window: int = WINDOW, layout: bool = False, row: str
     text: no words. A null doc_id counts as larger than every other, and rows of equal doc_id aren't duplicates
     of each other. Windows are compared by their words. row: a string column (without null characters and nulls) to
     carry along; other columns are ignored."""
-    own = [row] if row else []
-    sent = settle(as_bytes(docs, *own).mapInArrow(_batch(shards_for(docs, SHARD), window, row), SENT), payload=True, by="block")
+    own, shards = [row] if row else [], shards_for(docs, SHARD)
+    kept = settle(as_bytes(docs, *own).mapInArrow(_batch(shards, window, row), SENT), payload=True, by="block")
+    home = kept.where("shard < 0")
+    repeated = brought_together(kept.where("shard >= 0").select("block", "shard", "payload"), "shard").mapInArrow(_again, SENT)
+    sent = settle(home.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_ask(shards, window), SENT), payload=True)
     asked = brought_together(sent.where("shard >= 0").select("block", "shard", "payload"), "shard")
     found = asked.mapInArrow(_parse(window), "block long, shard int, payload binary, n long")
-    # the texts stay where they were written: only segments and factors move
-    met = sent.where("shard < 0").groupBy("block").cogroup(found.groupBy("block"))
-    return met.applyInArrow(_remove(window, layout, row), SCHEMA + (f", {row} string" if row else ""))
+    found = found.union(sent.where("shard < 0").select("block", "shard", "payload", F.lit(None).cast("long")))
+    # the texts stay where they were written: only minimisers, segments and factors move
+    return home.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_remove(window, layout, row), SCHEMA + (f", {row} string" if row else ""))
