@@ -100,12 +100,14 @@ def settle(df: DataFrame, payload: bool = False, by: str | None = None) -> DataF
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes the files of settled tables that nothing reads any more."""
+    """Deletes the files of settled tables that nothing reads any more, and lets Spark drop shuffles no longer in use."""
     for df in tables:
         jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
+    if tables:
+        jvm.System.gc()  # what is out of reach on the driver is what its cleaner deletes
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -3,27 +3,22 @@ file for each trie."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 from .common import mapped_file, put_file
 
-_BYTE = np.arange(256, dtype=np.uint8)
-_COUNT = np.bitwise_count(_BYTE).astype(np.int64)
-#: The place of the k-th set bit of each byte.
-_PLACE = np.zeros((256, 8), np.int64)
-for _b in range(256):
-    for _k, _p in enumerate([p for p in range(8) if _b >> p & 1]):
-        _PLACE[_b, _k] = _p
-
-
 class EliasFano:
     """A sequence that never falls, of n numbers below `universe`: about 2 + log2(universe / n) bits a number."""
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
         self.n, self.width, self.low, self.high = n, width, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(ones)])
-        self.zeros = np.concatenate([[0], np.cumsum(64 - ones)])
+
+    @cached_property
+    def ones(self) -> np.ndarray:
+        """Where the unary part has its ones: the k-th is the k-th number's high part plus k."""
+        return np.flatnonzero(np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little").view(bool))[: self.n]
 
     @staticmethod
     def parts(values: np.ndarray, universe: int) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -48,20 +43,6 @@ class EliasFano:
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
         return cls(*cls.parts(values, universe))
 
-    def _select(self, sums: np.ndarray, words: np.ndarray, k: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(sums, k, side="right") - 1
-        left = k - sums[word]
-        lanes = words(word).reshape(-1, 1).view(np.uint8)
-        out = word * 64
-        done = np.zeros(len(k), bool)
-        for lane in range(8):
-            count = _COUNT[lanes[:, lane]]
-            here = ~done & (left < count)
-            out[here] += 8 * lane + _PLACE[lanes[here, lane], left[here]]
-            done |= here
-            left = np.where(done, left, left - count)
-        return out
-
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), np.uint64)
@@ -74,30 +55,16 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places i."""
         i = np.asarray(i, np.int64)
-        high = (self._select(self.ones, lambda w: self.high[w], i) - i).astype(np.uint64)
-        return high << np.uint64(self.width) | self.lows(i)
-
-    def below(self, high: np.ndarray) -> np.ndarray:
-        """How many numbers have a high part under each of these."""
-        out = np.zeros(len(high), np.int64)
-        some = np.flatnonzero(high > 0)
-        k = high[some] - 1
-        inside = k < self.zeros[-1]
-        out[some[~inside]] = self.n
-        k, some = k[inside], some[inside]
-        out[some] = np.minimum(self._select(self.zeros, lambda w: ~self.high[w], k) - k, self.n)
-        return out
+        return (self.ones[i] - i).astype(np.uint64) << np.uint64(self.width) | self.lows(i)
 
-    def successor(self, x: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None) -> np.ndarray:
+    def successor(self, x: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
         """The place of the first number of begin..end that is at least x (end if there is none)."""
-        end = self.n if end is None else end
-        high = (x >> np.uint64(self.width)).astype(np.int64)
-        low = x & np.uint64((1 << self.width) - 1)
-        lo, hi = np.clip(self.below(high), begin, end), np.clip(self.below(high + 1), begin, end)
+        lo = np.broadcast_to(np.asarray(begin, np.int64), len(x)).copy()
+        hi = np.broadcast_to(np.asarray(self.n if end is None else end, np.int64), len(x)).copy()
         live = np.flatnonzero(lo < hi)
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
-            less = self.lows(mid) < low[live]
+            less = self.get(mid) < x[live]
             lo[live[less]] = mid[less] + 1
             hi[live[~less]] = mid[~less]
             live = live[lo[live] < hi[live]]
@@ -105,17 +72,17 @@ class EliasFano:
 
 
 class Trie:
-    """Contexts v, under each its contexts u (the word before v) and under these the words w that follow u v; beside them
-    the words that follow v. Each level is a sequence that never falls: a child is its number plus the place of its
-    parent times the level's span; pointers say where each parent's children begin. Leaves are bytes: codes of
-    probabilities, and of the weight that a context gives to the shorter one."""
+    """Contexts v, under each its contexts u (the word before v) and under these the words w that follow u v. Each level
+    is a sequence that never falls: a child is its number plus the place of its parent times the level's span; pointers
+    say where each parent's children begin. Beside them lie bytes: codes of the probabilities of v after u and of w after
+    u v, and of the weight that u v leaves to shorter contexts."""
 
-    SEQUENCES = ("contexts", "nodes_begin", "nodes", "words_begin", "words", "pairs_begin", "pairs")
-    CODES = ("backoff", "word_codes", "pair_codes")
+    SEQUENCES = ("contexts", "nodes_begin", "nodes", "words_begin", "words")
+    CODES = ("backoff", "node_codes", "word_codes")
 
     @classmethod
-    def write(cls, folder: str, name: str, contexts, nodes, words, pairs, backoff, word_codes, pair_codes) -> list[int]:
-        """contexts: ascending; nodes, words, pairs: (place of the parent, number), ascending by both; the codes of each.
+    def write(cls, folder: str, name: str, contexts, nodes, words, backoff, node_codes, word_codes) -> list[int]:
+        """contexts: ascending; nodes, words: (place of the parent, number), ascending by both; the codes of each.
         Returns what `Trie` needs beside the file: of each sequence its length, width and sizes, then the spans and
         the numbers of codes."""
 
@@ -124,7 +91,7 @@ class Trie:
             return parents.astype(np.uint64) * np.uint64(span) + numbers.astype(np.uint64), max(n, 1) * span, span
 
         sequences, spans = [(contexts, int(contexts[-1]) + 1 if len(contexts) else 1)], []
-        for (parents, numbers), n in ((nodes, len(contexts)), (words, len(nodes[0])), (pairs, len(contexts))):
+        for (parents, numbers), n in ((nodes, len(contexts)), (words, len(nodes[0]))):
             sequences.append((np.searchsorted(parents, np.arange(n + 1)), len(numbers) + 1))
             values, universe, span = spread(parents, numbers, n)
             sequences.append((values, universe))
@@ -134,9 +101,9 @@ class Trie:
             n, width, low, high = EliasFano.parts(values, universe)
             head += [n, width, len(low), len(high)]
             data += [low, high]
-        codes = [np.concatenate([c.astype(np.uint8), np.zeros(-len(c) % 8, np.uint8)]).view(np.uint64) for c in (backoff, word_codes, pair_codes)]
+        codes = [np.concatenate([c.astype(np.uint8), np.zeros(-len(c) % 8, np.uint8)]).view(np.uint64) for c in (backoff, node_codes, word_codes)]
         put_file(folder, name, *data, *codes)
-        return [*head, *spans, *map(len, (backoff, word_codes, pair_codes))]
+        return [*head, *spans, *map(len, (backoff, node_codes, word_codes))]
 
     def __init__(self, folder: str, name: str, head: list[int]):
         raw, at = mapped_file(folder, name, np.uint64), 0
@@ -144,8 +111,8 @@ class Trie:
         for level, (n, width, low, high) in zip(self.SEQUENCES, np.array(head[:k]).reshape(-1, 4).tolist()):
             setattr(self, level, EliasFano(n, width, raw[at : at + low], raw[at + low : at + low + high]))
             at += low + high
-        self.spans = head[k : k + 3]
-        for level, n in zip(self.CODES, head[k + 3 :]):
+        self.spans = head[k : k + 2]
+        for level, n in zip(self.CODES, head[k + 2 :]):
             setattr(self, level, raw[at : at + -(-n // 8)].view(np.uint8)[:n])
             at += -(-n // 8)
 
@@ -159,7 +126,7 @@ class Trie:
         that the parent's pointers give."""
         out = np.full(len(parent), -1, np.int64)
         sequence, begins = getattr(self, level), getattr(self, f"{level}_begin")
-        span = self.spans[("nodes", "words", "pairs").index(level)]
+        span = self.spans[("nodes", "words").index(level)]
         rows = np.flatnonzero((parent >= 0) & (number < span))
         if len(rows):
             p = parent[rows]

@@ -1,38 +1,42 @@
 """Language-model scores from a trigram trie in Elias-Fano levels.
 
-p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), p2(w | v) = (c(vw) + K2 p1(w)) / (c(v) + K2), p3(w | uv) = (c(uvw) + K3 p2(w | v))
-/ (c(uv) + K3): counts of the training texts, each order smoothed towards the shorter one (Dirichlet priors of weight K2
-and K3). The trie holds p3 of the trigrams seen, p2 of the bigrams seen, and for each context uv the weight K3 / (c(uv) +
-K3) that it leaves to p2, each quantised to a byte in even steps of its logarithm.
+p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)); p2(w | v) = c(vw) / (c(v) + K2) + K2 / (c(v) + K2) p1(w); p3(w | uv) = c(uvw) /
+(c(uv) + K3) + K3 / (c(uv) + K3) p2(w | v): counts of the training texts, each order smoothed towards the shorter one
+(Dirichlet priors of weight K2 and K3). The trie holds the first terms of p2 and p3 for the bigrams and trigrams seen, and
+for each context uv the weight K3 / (c(uv) + K3), each quantised to a byte in even steps of its logarithm.
 
 Training counts words by shards of their hash, which gives each word a number (small for frequent words), and trigrams by
-shards of their middle word v. A word with more than its share of all tokens is spread over several shards by the
-following word. A shard's trie is one file of the shared folder; the model stays there and scores any texts. Scoring asks
-the shards once for each distinct trigram of a block of texts.
+shards of their middle word v. A word with more than its share of all tokens is spread over several shards by the word
+before it, a pair of such words by the word that follows, too. A shard's trie is one file of the shared folder; the model
+stays there and scores any texts. A block of texts asks the shards once for each distinct bigram and trigram.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, brought_together, discard, groups, mixed, pack, settle, shard_of, shards_for, shared_folder, unpack, word_codes, word_hashes
+from .common import as_bytes, blocks, brought_together, discard, groups, mixed, pack, settle, shard_of, shards_for, shared_folder, unpack, word_hashes
 from .eliasfano import Trie
 
 #: Bytes of text in a block and for each shard; the weights of shorter contexts; the least probability with a code.
-BLOCK, SHARD, WEIGHTS, LEAST = 8_000_000, 24_000_000, (8.0, 4.0), 1e-10
+BLOCK, SHARD, WEIGHTS, LEAST = 4_000_000, 12_000_000, (8.0, 4.0), 1e-10
 #: Numbers of a text's start (as a context) and of words that training texts lack; others begin at 1. The end's hash.
 START, UNKNOWN, END = 0, (1 << 40) - 1, word_hashes([b""])[0]
 #: Code 0: none; codes 1..255: probabilities in even steps of their logarithm.
 CODEBOOK = np.concatenate([[0.0], np.exp(np.log(LEAST) * (1 - np.arange(255) / 254))])
-#: Trigrams that are looked up at once.
-TOGETHER = 200_000
+#: Trigrams that are looked up at once; shards over which a pair of frequent words is spread at most (its trigrams,
+#: distinct in each block, are read by so many tasks).
+TOGETHER, PAIR = 200_000, 16
 SENT = "block long, shard int, payload binary"
 
 
@@ -52,15 +56,22 @@ def _tokens(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for k, block in enumerate(blocks(batches, BLOCK)):
-            codes, offsets, vocabulary = word_codes([t.lower() for t in block["text"]], end=b"")
-            size, lengths = len(vocabulary), np.diff(offsets)
+            words = [t.lower().split() for t in block["text"]]
+            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            ends = np.cumsum(lengths)
+            h = np.full(int(ends[-1]), END, np.uint64)
+            inside = np.ones(len(h), bool)
+            inside[ends - 1] = False
+            h[inside] = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, len(h) - len(words))
+            del words, inside
+            codes, hashes = pd.factorize(h)
+            size = len(hashes)
             train = np.array(block["train"], dtype=bool)
             counts = np.bincount(codes, minlength=size)
             learned = np.bincount(codes, np.repeat(train, lengths), size).astype(np.int64)
             often = np.argsort(-counts, kind="stable")  # frequent words get small codes
             rank = np.empty(size, np.int32)
             rank[often] = np.arange(size)
-            hashes = word_hashes(vocabulary)
             shard = shard_of(hashes, shards)
             order = np.lexsort((hashes, shard))
             ids = np.array([x or 0 for x in block["doc_id"]], dtype=np.int64)
@@ -160,47 +171,62 @@ def numbered(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 class Grams:
-    """The distinct trigrams (u, v, w) of some tokens of a block, in the order of the shards and, within, of their
-    numbers; and the contexts (v, u): each in all shards over which v is spread."""
-
-    def __init__(self, payload: bytes, shards: int, learn: bool):
-        self.ids, self.none, self.train, lengths, codes, end, number, self.count, spread = unpack(payload)
-        self.lengths = lengths.astype(np.int64)
-        self.codes, end = codes.astype(np.int64), int(end[0])
-        size = len(number)
+    """The distinct contexts (v, u) and trigrams (u, v, w) of a block, in the order of the shards and, within, of their
+    numbers. Bigrams u v are asked as contexts: that of a text's end has no trigrams. What holds a word that training
+    texts lack isn't asked."""
+
+    def __init__(self, payload: bytes, shards: int):
+        self.ids, self.none, self.train, lengths, codes, end, number, count, spread = unpack(payload)
+        self.lengths, n_texts = lengths.astype(np.int64), len(lengths)
+        codes, end, size = codes.astype(np.int64), int(end[0]), len(number)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.before = np.concatenate([[size], self.codes[:-1]])
-        self.before[self.offsets[:-1]] = size
-        earlier = np.concatenate([[size], self.before[:-1]])
-        earlier[self.offsets[:-1]] = size
-        self.count = np.append(self.count, self.count[end])  # a text's start is as frequent as its end
         number, spread = np.append(number, START), np.append(spread, spread[end]).astype(np.int64)
-        # words by ascending number; those unknown are one
+        # words by ascending number; those unknown are one. A text's start is as frequent as its end
         self.numbers, first, own = np.unique(number, return_index=True, return_inverse=True)
-        self.counts, self.spread = self.count[first], spread[first]
-        u, v, w = own[earlier], own[self.before], own[self.codes]
-        asked = self.counts[v] > 0  # nothing follows a word that training texts lack
-        if learn:
-            asked &= np.repeat(self.train, self.lengths)
-        self.asked = np.flatnonzero(asked)
-        u, v, w = u[self.asked], v[self.asked], w[self.asked]
+        self.counts, spread = np.append(count, count[end])[first], spread[first]
+        # each text with two starts before it: place i of its tokens is place i + 2 here
         n = len(self.numbers)
-        node, at = np.unique(v * n + u, return_inverse=True)
-        gram, self.inverse, self.gram_count = np.unique(at * n + w, return_inverse=True, return_counts=True)
-        self.node_v, self.node_u, node_count = node // n, node % n, np.bincount(at, minlength=len(node))
+        shift = np.repeat(2 * np.arange(1, n_texts + 1), self.lengths)
+        x = np.full(len(codes) + 2 * n_texts, own[size])
+        self.at = np.arange(len(codes)) + shift
+        x[self.at] = own[codes]
+        self.x, known = x, self.counts[x] > 0
+        learned = np.repeat(self.train, self.lengths + 2)
+        # contexts: at each place the word there and the one before, but not across texts (the first start has none)
+        there = known.copy()
+        there[1:] &= known[:-1]
+        firsts = self.offsets[:-1] + 2 * np.arange(n_texts)
+        there[firsts] = False
+        self.node_at = np.flatnonzero(there)
+        node, self.node_inverse = np.unique(x[self.node_at] * n + x[self.node_at - 1], return_inverse=True)
+        self.node_v, self.node_u = node // n, node % n
+        node_count = np.bincount(self.node_inverse, learned[self.node_at], len(node)).astype(np.int64)
+        # trigrams: a context and the token after it
+        of = np.full(len(x), -1)
+        of[self.node_at] = self.node_inverse
+        parent = np.concatenate([[-1], of[:-1]])
+        parent[firsts] = -1
+        asked = known & (parent >= 0)
+        asked[firsts + 1] = False
+        self.gram_at = np.flatnonzero(asked)
+        gram, self.gram_inverse = np.unique(parent[self.gram_at] * n + x[self.gram_at], return_inverse=True)
+        gram_count = np.bincount(self.gram_inverse, learned[self.gram_at], len(gram)).astype(np.int64)
+        self.parent = parent
         gram_node, gram_w = gram // n, gram % n
+        # a context's shards: of v, by u if v is frequent; its trigrams over several if u is frequent as well
+        h = mixed(self.numbers.astype(np.uint64))
         home = shard_of(self.numbers.astype(np.uint64), shards)
-        # contexts go to all shards of v; trigrams to one of them
-        copies = self.spread[self.node_v]
+        wide = spread[self.node_v]
+        first_shard = home[self.node_v] + (h[self.node_u] % wide.astype(np.uint64)).astype(np.int64)
+        copies = np.minimum(np.minimum(wide, spread[self.node_u]), PAIR)
         which = np.repeat(np.arange(len(node)), copies)
         step = np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
-        shard = (home[self.node_v[which]] + step) % shards
+        shard = (first_shard[which] + step) % shards
         order = np.argsort(shard, kind="stable")
         self.node, self.node_shard, self.node_count = which[order], shard[order], node_count[which[order]]
-        gv = self.node_v[gram_node]
-        shard = (home[gv] + (mixed(self.numbers[gram_w].astype(np.uint64)) % self.spread[gv].astype(np.uint64)).astype(np.int64)) % shards
+        shard = (first_shard[gram_node] + (h[gram_w] % copies[gram_node].astype(np.uint64)).astype(np.int64)) % shards
         self.order = np.argsort(shard, kind="stable")
-        self.gram_shard, self.gram_node, self.gram_w, self.gram_count = shard[self.order], gram_node[self.order], gram_w[self.order], self.gram_count[self.order]
+        self.gram_shard, self.gram_node, self.gram_w, self.gram_count = shard[self.order], gram_node[self.order], gram_w[self.order], gram_count[self.order]
 
     def payloads(self, shards: int, learn: bool) -> Iterator[tuple[int, bytes]]:
         node_edges = np.searchsorted(self.node_shard, np.arange(shards + 1))
@@ -211,11 +237,11 @@ class Grams:
             grams = slice(gram_edges[s], gram_edges[s + 1])
             place[nodes] = np.arange(len(nodes))
             children = np.bincount(place[self.gram_node[grams]], minlength=len(nodes))
-            v, under = np.unique(self.node_v[nodes], return_counts=True)
-            words, word = np.unique(self.gram_w[grams], return_inverse=True)
-            parts = [np.diff(self.numbers[v], prepend=0), under.astype(np.uint32), self.numbers[self.node_u[nodes]], children.astype(np.uint32), np.diff(self.numbers[words], prepend=0), word.astype(np.uint16 if len(words) < 65536 else np.uint32)]
+            v, u = self.node_v[nodes], self.node_u[nodes]
+            new = np.flatnonzero(np.diff(v, prepend=-1))
+            parts = [np.diff(self.numbers[v[new]], prepend=0), np.diff(np.append(new, len(v))).astype(np.uint32), self.numbers[u], children.astype(np.uint32), self.numbers[self.gram_w[grams]]]
             if learn:
-                parts += [self.counts[v], self.node_count[node_edges[s] : node_edges[s + 1]].astype(np.uint32), self.counts[words], self.gram_count[grams].astype(np.uint32)]
+                parts += [self.node_count[node_edges[s] : node_edges[s + 1]].astype(np.uint32), self.counts[u].astype(np.uint32), self.gram_count[grams].astype(np.uint32)]
             yield int(s), pack(*parts)
 
 
@@ -223,7 +249,7 @@ def _ask(shards: int, learn: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                own, rows = Grams(payload.as_py(), shards, learn), []
+                own, rows = Grams(payload.as_py(), shards), []
                 for s, p in own.payloads(shards, learn):
                     rows.append((number, s, p))
                     if len(rows) == 64:
@@ -240,45 +266,74 @@ def _opened(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     v = np.concatenate([np.repeat(np.cumsum(p[0]), p[1]) for p in parts])
     u = np.concatenate([p[2] for p in parts])
     node = np.repeat(np.arange(len(u)), np.concatenate([p[3] for p in parts]))
-    w = np.concatenate([np.cumsum(p[4])[p[5]] for p in parts]).astype(np.int64)
-    return v, u, node, w
-
-
-def _learn(folder: str, words: int, tokens: int, weights: tuple[float, float]):
-    """For each shard: its trie, as a file of the folder; (shard, head)."""
+    return v, u, node, np.concatenate([p[4] for p in parts])
+
+
+def _build(folder: str, shard: int, parts: list[list[np.ndarray]], weights: tuple[float, float]) -> list[int]:
+    """A shard's trie, as a file of the folder; its head."""
+    v, u, node, w = _opened(parts)
+    node_count, u_count, gram_count = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (5, 6, 7))
+    contexts, vi = np.unique(v, return_inverse=True)
+    us, first, ui = np.unique(u, return_index=True, return_inverse=True)
+    key, place = np.unique(vi * len(us) + ui, return_inverse=True)
+    of_node = np.bincount(place, node_count, len(key))
+    ws, wi = np.unique(w, return_inverse=True)
+    gram, at = np.unique(place[node] * max(len(ws), 1) + wi, return_inverse=True)
+    of_gram = np.bincount(at, gram_count, len(gram))
+    # what only texts hold that weren't learned from is not in the trie
+    keep = of_node > 0
+    to = np.cumsum(keep) - 1
+    key, of_node = key[keep], of_node[keep]
+    node_v, node_u = key // max(len(us), 1), key % max(len(us), 1)
+    learned = of_gram > 0
+    gram, of_gram = gram[learned], of_gram[learned]
+    gram_node, gram_w = to[gram // max(len(ws), 1)], gram % max(len(ws), 1)
+    a2 = of_node / (u_count[first][node_u] + weights[0])
+    a3 = of_gram / (of_node[gram_node] + weights[1])
+    return Trie.write(folder, f"{shard}.trie", contexts, (node_v, us[node_u]), (gram_node, ws[gram_w]), quantised(weights[1] / (of_node + weights[1])), quantised(a2), quantised(a3))
+
+
+def _answered(trie: Trie | None, parts: list[list[np.ndarray]]) -> Iterator[bytes]:
+    """For each payload: the codes of its contexts' weights and bigrams, and of its trigrams."""
+    at = 0
+    while at < len(parts):
+        stop, size = at, 0
+        while stop < len(parts) and size < TOGETHER:
+            size += len(parts[stop][4])
+            stop += 1
+        some = parts[at:stop]
+        v, u, node, w = _opened(some)
+        if trie:
+            place = trie.child("nodes", trie.context(v), u)
+            codes = trie.code(trie.backoff, place), trie.code(trie.node_codes, place), trie.code(trie.word_codes, trie.child("words", place[node], w))
+        else:
+            codes = np.zeros(len(u), np.uint8), np.zeros(len(u), np.uint8), np.zeros(len(w), np.uint8)
+        cuts, gram_cuts = np.cumsum([len(p[2]) for p in some])[:-1], np.cumsum([len(p[4]) for p in some])[:-1]
+        for own in zip(np.split(codes[0], cuts), np.split(codes[1], cuts), np.split(codes[2], gram_cuts)):
+            yield pack(*own)
+        at = stop
+
+
+def _learn(folder: str, weights: tuple[float, float], answer: bool):
+    """For each shard: builds its trie, and gives its head, or asks the trie what the same blocks' texts ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in groups(batches, "shard"):
+            numbers = [row["block"] for row in rows]
             parts = [unpack(row["payload"]) for row in rows]
             del rows
-            v, u, node, w = _opened(parts)
-            contexts, vi = np.unique(v, return_inverse=True)
-            of_context = np.zeros(len(contexts))
-            of_context[vi] = np.concatenate([np.repeat(p[6], p[1]) for p in parts])
-            us, ui = np.unique(u, return_inverse=True)
-            key, place = np.unique(vi * len(us) + ui, return_inverse=True)
-            node_v, node_u = key // max(len(us), 1), us[key % max(len(us), 1)]
-            of_node = np.bincount(place, np.concatenate([p[7] for p in parts]), len(key))
-            ws, wi = np.unique(w, return_inverse=True)
-            of_word = np.zeros(len(ws))
-            of_word[wi] = np.concatenate([p[8][p[5]] for p in parts])
-            count = np.concatenate([p[9] for p in parts])
-            del parts
-            n = max(len(ws), 1)
-            gram, at = np.unique(place[node] * n + wi, return_inverse=True)
-            of_gram = np.bincount(at, count, len(gram))
-            gram_node, gram_w = gram // n, gram % n
-            pair, pair_of = np.unique(node_v[gram_node] * n + gram_w, return_inverse=True)
-            of_pair = np.bincount(pair_of, of_gram, len(pair))
-            pair_v, pair_w = pair // n, pair % n
-            p1 = (of_word + 0.5) / (tokens + 0.5 * (words + 1))
-            p2 = (of_pair + weights[0] * p1[pair_w]) / (of_context[pair_v] + weights[0])
-            p3 = (of_gram + weights[1] * p2[pair_of]) / (of_node[gram_node] + weights[1])
-            head = Trie.write(
-                folder, f"{shard}.trie", contexts, (node_v, node_u), (gram_node, ws[gram_w]), (pair_v, ws[pair_w]),
-                quantised(weights[1] / (of_node + weights[1])), quantised(p3), quantised(p2),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([head], pa.list_(pa.int64()))], ["shard", "head"])
+            head = _build(folder, shard, parts, weights)
+            if not answer:
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([head], pa.list_(pa.int64()))], ["shard", "head"])
+                continue
+            out = []
+            for number, payload in zip(numbers, _answered(Trie(folder, f"{shard}.trie", head), [p[:5] for p in parts])):
+                out.append((number, shard, payload))
+                if len(out) == 64:
+                    yield _sent(out)
+                    out = []
+            if out:
+                yield _sent(out)
 
     return run
 
@@ -294,30 +349,18 @@ class Model:
 def fit(texts: DataFrame, vocabulary: Vocabulary, weights: tuple[float, float] = WEIGHTS) -> Model:
     """texts: as `numbered` gives them; their training texts are learned from."""
     folder = shared_folder(texts.sparkSession)
-    asked = texts.select("block", "payload").mapInArrow(_ask(vocabulary.shards, True), SENT)
-    tries = brought_together(asked.select("shard", "payload"), "shard").mapInArrow(_learn(folder, vocabulary.words, vocabulary.tokens, weights), "shard int, head array<long>")
-    return Model(vocabulary, folder, settle(tries), weights)
+    asked = brought_together(texts.select("block", "payload").mapInArrow(_ask(vocabulary.shards, True), SENT), "shard")
+    return Model(vocabulary, folder, settle(asked.mapInArrow(_learn(folder, weights, False), "shard int, head array<long>")), weights)
 
 
-def _answer(folder: str):
-    """A shard's trie, and each block's question: a code for each context's weight, each trigram and its bigram."""
+def _look_up(folder: str):
+    """A shard's trie, and each block's question."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, trie, held, size = None, None, [], 0
 
         def done() -> pa.RecordBatch:
-            parts = [p for _, _, p in held]
-            v, u, node, w = _opened(parts)
-            context = trie.context(v) if trie else np.full(len(v), -1)
-            at = trie.child("nodes", context, u) if trie else context
-            if trie:
-                backoff = trie.code(trie.backoff, at)
-                words = trie.code(trie.word_codes, trie.child("words", at[node], w))
-                pairs = trie.code(trie.pair_codes, trie.child("pairs", context[node], w))
-            else:
-                backoff, words, pairs = np.zeros(len(u), np.uint8), np.zeros(len(w), np.uint8), np.zeros(len(w), np.uint8)
-            cuts, gram_cuts = np.cumsum([len(p[2]) for p in parts])[:-1], np.cumsum([len(p[5]) for p in parts])[:-1]
-            return _sent([(block, shard, pack(a, b, c)) for (block, shard, _), a, b, c in zip(held, np.split(backoff, cuts), np.split(words, gram_cuts), np.split(pairs, gram_cuts))])
+            return _sent([(block, now, payload) for (block, _), payload in zip(held, _answered(trie, [p for _, p in held]))])
 
         for batch in batches:
             for block, shard, payload, head in zip(*(batch.column(c).to_pylist() for c in ("block", "shard", "payload", "head"))):
@@ -329,8 +372,8 @@ def _answer(folder: str):
                 if head is not None:  # the trie's row comes first
                     trie = Trie(folder, f"{shard}.trie", head)
                     continue
-                held.append((block, shard, unpack(payload)))
-                size += len(held[-1][2][5])
+                held.append((block, unpack(payload)))
+                size += len(held[-1][1][4])
         if held:
             yield done()
 
@@ -341,25 +384,26 @@ def _score(shards: int, words: int, tokens: int, weights: tuple[float, float]):
     def run(kept: pa.Table, answered: pa.Table) -> pa.Table:
         out = [SCORED.empty_table()]
         for payload in kept.column("payload").to_pylist():
-            own = Grams(payload, shards, False)
+            own = Grams(payload, shards)
+            backoff, bigram, trigram = np.zeros(len(own.node_v), np.uint8), np.zeros(len(own.node_v), np.uint8), np.zeros(len(own.order), np.uint8)
             answers = [unpack(x) for x in answered.sort_by("shard").column("payload").to_pylist()]
-            backoff, word, pair = np.zeros(max(len(own.node_v), 1), np.uint8), np.zeros(len(own.order), np.uint8), np.zeros(len(own.order), np.uint8)
             if answers:
-                backoff[own.node] = np.concatenate([a[0] for a in answers])  # a spread context's shards all know its whole count
-                word[own.order], pair[own.order] = (np.concatenate([a[i] for a in answers]) for i in (1, 2))
-            node = np.empty(len(own.order), np.int64)
-            node[own.order] = own.gram_node
-            base = (own.count + 0.5) / (tokens + 0.5 * (words + 1))
-            before = own.count[own.before]
-            p = weights[0] / (before + weights[0]) * base[own.codes]
-            shorter = np.where(pair[own.inverse] > 0, CODEBOOK[pair[own.inverse]], p[own.asked])
-            weight = np.where(backoff[node[own.inverse]] > 0, CODEBOOK[backoff[node[own.inverse]]], 1.0)
-            p[own.asked] = np.where(word[own.inverse] > 0, CODEBOOK[word[own.inverse]], weight * shorter)
-            at = own.offsets[:-1]
+                backoff[own.node], bigram[own.node], trigram[own.order] = (np.concatenate([a[i] for a in answers]) for i in range(3))
+            x, at = own.x, own.at
+            base = (own.counts + 0.5) / (tokens + 0.5 * (words + 1))
+            before = own.counts[x[at - 1]]
+            p1 = base[x[at]]
+            a2, a3, weight = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(backoff) + 1)
+            a2[own.node_at] = CODEBOOK[bigram][own.node_inverse]
+            a3[own.gram_at] = CODEBOOK[trigram][own.gram_inverse]
+            weight[:-1] = np.where(backoff > 0, CODEBOOK[backoff], 1.0)
+            weight[-1] = 1.0  # of contexts that weren't asked: parent -1
+            p = a3[at] + weight[own.parent[at]] * (a2[at] + weights[0] / (before + weights[0]) * p1)
+            starts = own.offsets[:-1]
             columns = [
                 pa.array(own.ids, mask=own.none), pa.array(own.train), pa.array(own.lengths),
-                pa.array(np.add.reduceat((own.count[own.codes] > 0).astype(np.int64), at)),
-                pa.array(np.add.reduceat(np.log10(base)[own.codes], at)), pa.array(np.add.reduceat(np.log10(p), at)),
+                pa.array(np.add.reduceat((own.counts[x[at]] > 0).astype(np.int64), starts)),
+                pa.array(np.add.reduceat(np.log10(p1), starts)), pa.array(np.add.reduceat(np.log10(p), starts)),
             ]
             out.append(pa.Table.from_arrays(columns, schema=SCORED))
         return pa.concat_tables(out)
@@ -370,14 +414,9 @@ def _score(shards: int, words: int, tokens: int, weights: tuple[float, float]):
 SCORED = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def scored(texts: DataFrame, model: Model) -> DataFrame:
-    """texts: as `numbered` gives them for the model's vocabulary."""
-    known = model.vocabulary
-    asked = texts.select("block", "payload").mapInArrow(_ask(known.shards, False), SENT).withColumn("head", F.lit(None).cast("array<long>"))
-    tries = model.tries.select(F.lit(-1).cast("long").alias("block"), "shard", F.lit(None).cast("binary").alias("payload"), "head")
-    answers = brought_together(tries.union(asked), "shard", "block").mapInArrow(_answer(model.folder), SENT)
+def _scored(texts: DataFrame, answers: DataFrame, known: Vocabulary, weights: tuple[float, float]) -> DataFrame:
     met = texts.groupBy("block").cogroup(answers.groupBy("block"))
-    out = met.applyInArrow(_score(known.shards, known.words, known.tokens, model.weights), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    out = met.applyInArrow(_score(known.shards, known.words, known.tokens, weights), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(known.tokens).cast("long"))
 
 
@@ -394,19 +433,25 @@ def train(docs: DataFrame, weights: tuple[float, float] = WEIGHTS) -> Model:
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of docs(doc_id, text, ...), which need not be what the model learned from: as `score`, train false."""
-    return scored(numbered(tokenised(docs, F.lit(False), model.vocabulary.shards), model.vocabulary), model)
+    known = model.vocabulary
+    texts = numbered(tokenised(docs, F.lit(False), known.shards), known)
+    asked = texts.select("block", "payload").mapInArrow(_ask(known.shards, False), SENT).withColumn("head", F.lit(None).cast("array<long>"))
+    tries = model.tries.select(F.lit(-1).cast("long").alias("block"), "shard", F.lit(None).cast("binary").alias("payload"), "head")
+    return _scored(texts, brought_together(tries.union(asked), "shard", "block").mapInArrow(_look_up(model.folder), SENT), known, model.weights)
 
 
 def score(docs: DataFrame, train: Column, weights: tuple[float, float] = WEIGHTS) -> DataFrame:
     """Every row of docs(doc_id, text, ...): doc_id, train, n_tokens, n_known (tokens that the training texts hold),
-    train_tokens, base_score (of the unigrams) and score (of the model): log10 probabilities.
+    train_tokens, base_score (of the unigrams) and score (of the model): log10 probabilities. As `train` on some rows and
+    `score_texts` on all, but what blocks ask travels once: the shard that builds a trie looks up at once.
 
-    Tokens: words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end. train: which rows are learned from (null: not).
+    Tokens: words `[^\x20\x09-\x0D]+` with A-Z lower-cased, then one end. train: which rows are learned from (null: not).
     A null or empty text is one end. Rows with equal or null doc_id each count and come out. Without training texts
-    every probability is that of an unseen word. Words are known by 64-bit hashes."""
+    every probability is that of an unseen word. Words are known by 64-bit hashes. Other columns are ignored."""
     shards = shards_for(docs, SHARD)
     tokens = tokenised(docs, train, shards)
     vocabulary = Vocabulary.of(tokens, shards)
     texts = numbered(tokens, vocabulary)
-    discard(tokens)
-    return scored(texts, fit(texts, vocabulary, weights))
+    discard(tokens, vocabulary.table)
+    asked = brought_together(texts.select("block", "payload").mapInArrow(_ask(shards, True), SENT), "shard", "block")
+    return _scored(texts, asked.mapInArrow(_learn(shared_folder(docs.sparkSession), weights, True), SENT), vocabulary, weights)

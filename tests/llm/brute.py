@@ -149,8 +149,8 @@ def lm(rows, held_out, weights=(8.0, 4.0)):
             p = (one[w] + 0.5) / (total + 0.5 * (distinct + 1))
             base += math.log10(p)
             c = starts if v == "<start>" else one[v]
-            p = (two[v, w] + weights[0] * p) / (c + weights[0])
-            score += math.log10((three[u, v, w] + weights[1] * p) / (context[u, v] + weights[1]))
+            p = two[v, w] / (c + weights[0]) + weights[0] / (c + weights[0]) * p
+            score += math.log10(three[u, v, w] / (context[u, v] + weights[1]) + weights[1] / (context[u, v] + weights[1]) * p)
         out.append((doc_id, held_out(doc_id), len(ts), sum(one[w] > 0 for w in ts), total, base, score))
     return out
 
