@@ -120,9 +120,10 @@ def shards_for(docs: DataFrame, size: int) -> int:
     return max(2 * shuffle_partitions(docs.sparkSession), -(-total // size))
 
 
-def brought_together(df: DataFrame, key: str, *then: str) -> DataFrame:
-    """Rows of a key in one partition, in order of the key and of what follows it."""
-    return df.repartition(shuffle_partitions(df.sparkSession), key).sortWithinPartitions(key, *then)
+def brought_together(df: DataFrame, key: str, *then: str, keys: int = 0) -> DataFrame:
+    """Rows of a key in one partition, in order of the key and of what follows it. keys: how many large keys there are;
+    a partition has about two of them at most."""
+    return df.repartition(max(shuffle_partitions(df.sparkSession), keys // 2), key).sortWithinPartitions(key, *then)
 
 
 def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:

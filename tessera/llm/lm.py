@@ -118,7 +118,7 @@ class Vocabulary:
 
     @classmethod
     def of(cls, tokens: DataFrame, shards: int) -> Vocabulary:
-        asked = brought_together(tokens.where("shard >= 0").select("shard", "payload"), "shard")
+        asked = brought_together(tokens.where("shard >= 0").select("shard", "payload"), "shard", keys=shards)
         table = settle(asked.mapInArrow(_vocabulary(shards), "shard int, payload binary, words long, tokens long"), payload=True)
         words, total = table.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
         return cls(table, shards, words, total)
@@ -165,7 +165,7 @@ def _numbered(kept: pa.Table, answered: pa.Table) -> pa.Table:
 def numbered(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The texts of `tokenised` with the vocabulary's numbers, counts and spreads of their words."""
     words = vocabulary.table.select(F.lit(-1).cast("long").alias("block"), "shard", "payload")
-    met = brought_together(tokens.where("shard >= 0").union(words), "shard", "block")
+    met = brought_together(tokens.where("shard >= 0").union(words), "shard", "block", keys=vocabulary.shards)
     answers = met.mapInArrow(_numbers(vocabulary.shards, vocabulary.tokens), SENT)
     return settle(tokens.where("shard < 0").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_numbered, SENT), payload=True, by="block")
 
@@ -349,7 +349,7 @@ class Model:
 def fit(texts: DataFrame, vocabulary: Vocabulary, weights: tuple[float, float] = WEIGHTS) -> Model:
     """texts: as `numbered` gives them; their training texts are learned from."""
     folder = shared_folder(texts.sparkSession)
-    asked = brought_together(texts.select("block", "payload").mapInArrow(_ask(vocabulary.shards, True), SENT), "shard")
+    asked = brought_together(texts.select("block", "payload").mapInArrow(_ask(vocabulary.shards, True), SENT), "shard", keys=vocabulary.shards)
     return Model(vocabulary, folder, settle(asked.mapInArrow(_learn(folder, weights, False), "shard int, head array<long>")), weights)
 
 
@@ -437,7 +437,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     texts = numbered(tokenised(docs, F.lit(False), known.shards), known)
     asked = texts.select("block", "payload").mapInArrow(_ask(known.shards, False), SENT).withColumn("head", F.lit(None).cast("array<long>"))
     tries = model.tries.select(F.lit(-1).cast("long").alias("block"), "shard", F.lit(None).cast("binary").alias("payload"), "head")
-    return _scored(texts, brought_together(tries.union(asked), "shard", "block").mapInArrow(_look_up(model.folder), SENT), known, model.weights)
+    return _scored(texts, brought_together(tries.union(asked), "shard", "block", keys=known.shards).mapInArrow(_look_up(model.folder), SENT), known, model.weights)
 
 
 def score(docs: DataFrame, train: Column, weights: tuple[float, float] = WEIGHTS) -> DataFrame:
@@ -453,5 +453,5 @@ def score(docs: DataFrame, train: Column, weights: tuple[float, float] = WEIGHTS
     vocabulary = Vocabulary.of(tokens, shards)
     texts = numbered(tokens, vocabulary)
     discard(tokens, vocabulary.table)
-    asked = brought_together(texts.select("block", "payload").mapInArrow(_ask(shards, True), SENT), "shard", "block")
+    asked = brought_together(texts.select("block", "payload").mapInArrow(_ask(shards, True), SENT), "shard", "block", keys=shards)
     return _scored(texts, asked.mapInArrow(_learn(shared_folder(docs.sparkSession), weights, True), SENT), vocabulary, weights)

@@ -396,9 +396,9 @@ def dedupe(docs: DataFrame, window: int = WINDOW, layout: bool = False, row: str
     own, shards = [row] if row else [], shards_for(docs, SHARD)
     kept = settle(as_bytes(docs, *own).mapInArrow(_batch(shards, window, row), SENT), payload=True, by="block")
     home = kept.where("shard < 0")
-    repeated = brought_together(kept.where("shard >= 0").select("block", "shard", "payload"), "shard").mapInArrow(_again, SENT)
+    repeated = brought_together(kept.where("shard >= 0").select("block", "shard", "payload"), "shard", keys=shards).mapInArrow(_again, SENT)
     sent = settle(home.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_ask(shards, window), SENT), payload=True)
-    asked = brought_together(sent.where("shard >= 0").select("block", "shard", "payload"), "shard")
+    asked = brought_together(sent.where("shard >= 0").select("block", "shard", "payload"), "shard", keys=shards)
     found = asked.mapInArrow(_parse(window), "block long, shard int, payload binary, n long")
     found = found.union(sent.where("shard < 0").select("block", "shard", "payload", F.lit(None).cast("long")))
     # the texts stay where they were written: only minimisers, segments and factors move
