@@ -29,7 +29,7 @@ UNSAFE = re.compile(r"\s \s| \s* |\s\Z")
 #: A pattern that takes a pre-token whole.
 WHOLE = r"(?s:.+)"
 #: Bytes of text in a block: the larger, the fewer blocks ask for the same pre-token. Units put together at once.
-BLOCK, TOGETHER = 10_000_000, 250_000
+BLOCK, TOGETHER = 8_000_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -179,15 +179,27 @@ def decode_column(spark, ranks: dict[bytes, int], ids: Column) -> Column:
     @arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pa.table({"id": pa.array(list(shared.value.values()), pa.int32()), "token": pa.array(list(shared.value), pa.binary())})
+        size = max(shared.value.values(), default=-1) + 1
         for batch in batches:
             lengths = np.array(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            at = np.concatenate([[0], np.cumsum(lengths)])
-            distinct, place = np.unique(batch.flatten().to_numpy(), return_inverse=True)
-            joined = pa.table({"id": pa.array(distinct, pa.int32())}).join(table, "id", join_type="inner").sort_by("id")
-            if len(joined) != len(distinct):
-                raise ValueError("an id is not in the vocabulary, or is there twice")
-            tokens = joined["token"].to_pylist()
-            raw, offsets = np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
-            yield pa.array([ragged(raw, offsets, place[at[i] : at[i + 1]])[0].tobytes() if ok else None for i, ok in enumerate(batch.is_valid().to_pylist())], pa.binary())
+            at, flat, valid, out = np.concatenate([[0], np.cumsum(lengths)]), batch.flatten().to_numpy(), batch.is_valid().to_pylist(), []
+            start = 0
+            while start < len(valid):  # some rows at a time
+                stop = max(start + 1, int(np.searchsorted(at, at[start] + TOGETHER, side="right")) - 1)
+                own = flat[at[start] : at[stop]]
+                there = np.zeros(size, bool)
+                if len(own) and not 0 <= own.min() <= own.max() < size:
+                    raise ValueError("an id is not in the vocabulary")
+                there[own] = True
+                distinct = np.flatnonzero(there)
+                joined = pa.table({"id": pa.array(distinct, pa.int32())}).join(table, "id", join_type="inner").sort_by("id")
+                if len(joined) != len(distinct):
+                    raise ValueError("an id is not in the vocabulary, or is there twice")
+                tokens = joined["token"].to_pylist()
+                raw, offsets = np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
+                place = np.cumsum(there, dtype=np.int32)[own] - 1
+                out += [ragged(raw, offsets, place[at[i] - at[start] : at[i + 1] - at[start]])[0].tobytes() if valid[i] else None for i in range(start, stop)]
+                start = stop
+            yield pa.array(out, pa.binary())
 
     return decoded(ids)

@@ -210,6 +210,29 @@ def shard_of(x: np.ndarray, n: int) -> np.ndarray:
     return ((mixed(x) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def questions(x: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """Ascending 64-bit values, cut by shards of their high bits: 48 bits of each, packed."""
+    edges = np.searchsorted(((x >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64), np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(edges)):
+        yield int(s), pack(np.diff(x[edges[s] : edges[s + 1]] >> np.uint64(16), prepend=np.uint64(0)))
+
+
+def seen_again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each shard: which of the values that a block asks for (its `questions`, each value once) come from another
+    block too, as bits, and these values."""
+    for shard, rows in groups(batches, "shard"):
+        own = [np.cumsum(unpack(row["payload"])[0]) for row in rows]
+        every = np.sort(np.concatenate(own))
+        repeated = np.unique(every[1:][every[1:] == every[:-1]])
+        out = []
+        for row, x in zip(rows, own):
+            at = np.minimum(np.searchsorted(repeated, x), max(len(repeated) - 1, 0))
+            again = repeated[at] == x if len(repeated) else np.zeros(len(x), bool)
+            out.append((row["block"], shard, pack(np.packbits(again), np.array([len(x)]), x[again])))
+        for a in range(0, len(out), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 256]), (pa.int64(), pa.int32(), pa.binary()))], ["block", "shard", "payload"])
+
+
 def crc_of_id(doc_id: int | None) -> int:
     """crc32 of the id as text, as Spark's crc32(cast(doc_id as string)); null: 0."""
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode())

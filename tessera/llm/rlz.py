@@ -28,9 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, brought_together, gram_hashes, groups, mixed, pack, ragged, settle, shards_for, unpack, word_codes, word_hashes
+from .common import as_bytes, blocks, brought_together, gram_hashes, groups, mixed, pack, questions, ragged, seen_again, settle, shards_for, unpack, word_codes, word_hashes
 
 #: Words of a window, and of the sequences among which its minimiser is the least; windows of a segment at most.
 WINDOW, GRAM, MOST = 13, 8, 64
@@ -38,7 +37,8 @@ WINDOW, GRAM, MOST = 13, 8, 64
 BATCH, SHARD = 6_000_000, 16_000_000
 #: Stands for a null id in comparisons: larger than every other.
 LAST = np.iinfo(np.int64).max
-SENT = "block long, shard int, payload binary, text binary, rows binary"
+ANSWER = "block long, shard int, payload binary"
+SENT = f"{ANSWER}, text binary, rows binary"
 
 
 def segments(h: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -62,11 +62,6 @@ def segments(h: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarra
     return at[first], np.diff(np.append(first, len(at))), owner[first].astype(np.int64), mixed(low[first])
 
 
-def _shards(x: np.ndarray, shards: int) -> np.ndarray:
-    """Of ascending minimisers: ascending shards."""
-    return ((x >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
 def _batch(shards: int, window: int, row: str | None):
     """For each batch of texts: what stays at home (shard -1), and for each reference block 48 bits of the distinct
     minimisers that belong there."""
@@ -89,29 +84,12 @@ def _batch(shards: int, window: int, row: str | None):
             home = pack(ids, lengths.astype(np.int32), np.bincount(owner, minlength=len(ids)).astype(np.int32), np.diff(first, prepend=0).astype(np.int32), count.astype(np.uint8), which.astype(np.int32), here)
             text = pack(np.array([len(t) for t in block["text"]], dtype=np.int64), np.frombuffer(b"".join(block["text"]), np.uint8), level=3)
             rows = [(number, -1, home, text, "\0".join(block[row]).encode() if row else b"")]
-            edges = np.searchsorted(_shards(asked, shards), np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(edges)):
-                rows.append((number, int(s), pack(np.diff(asked[edges[s] : edges[s + 1]] >> np.uint64(16), prepend=np.uint64(0))), None, None))
+            rows += [(number, s, question, None, None) for s, question in questions(asked, shards)]
             yield _rows(rows)
 
     return run
 
 
-def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each reference block: which of the minimisers that a batch asks for come from another batch too, as bits."""
-    for shard, rows in groups(batches, "shard"):
-        own = [np.cumsum(unpack(row["payload"])[0]) for row in rows]
-        every = np.sort(np.concatenate(own))
-        repeated = np.unique(every[1:][every[1:] == every[:-1]])
-        out = []
-        for row, x in zip(rows, own):
-            at = np.minimum(np.searchsorted(repeated, x), max(len(repeated) - 1, 0))
-            bits = repeated[at] == x if len(repeated) else np.zeros(len(x), bool)
-            out.append((row["block"], shard, pack(np.packbits(bits), np.array([len(x)])), None, None))
-        for a in range(0, len(out), 256):
-            yield _rows(out[a : a + 256])
-
-
 class Home:
     """A batch's segments, as it keeps them."""
 
@@ -123,15 +101,15 @@ class Home:
 
 
 def _ask(shards: int, window: int):
-    """For each batch: its segments whose minimiser repeats (shard -1: which segments these are, and the distinct ones'
-    least documents and places), and for each reference block the distinct ones with their words."""
+    """For each batch and reference block: the distinct segments whose minimiser repeats, with their words, their least
+    documents and places; and (for the answer, which takes them home again) the places of all segments that are one of them."""
 
     def run(kept: pa.Table, answered: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         for block, payload, packed in zip(*(kept.column(c).to_pylist() for c in ("block", "payload", "text"))):
             home = Home(payload)
             bits = [unpack(x) for x in answered.sort_by("shard").column("payload").to_pylist()]
-            repeats = home.here | (np.concatenate([np.unpackbits(b, count=int(n[0])) for b, n in bits]).astype(bool) if bits else False)
+            repeats = home.here | (np.concatenate([np.unpackbits(b, count=int(n[0])) for b, n, _ in bits]).astype(bool) if bits else False)
             some = np.flatnonzero(repeats[home.which]) if len(home.which) else np.zeros(0, np.int64)
             if not len(some):
                 continue
@@ -148,11 +126,9 @@ def _ask(shards: int, window: int):
             by = np.lexsort((place, home.ids[owner], own, which))  # equal segments have equal minimisers
             new = np.concatenate([[True], np.diff(own[by]) != 0])
             lead = by[new]  # of each distinct segment, in the order of the shards, the least document and place
-            to = np.empty(len(by), np.int32)
-            to[by] = np.cumsum(new) - 1
-            rows.append((block, -1, pack(np.diff(some, prepend=0).astype(np.int32), to, home.ids[owner[lead]], place[lead].astype(np.int32), count[lead].astype(np.uint8)), None, None))
+            to = np.cumsum(new) - 1
             # the shards' borders among the batch's minimisers are where its questions were cut
-            cuts = np.cumsum([int(n[0]) for _, n in bits])
+            cuts = np.cumsum([int(n[0]) for _, n, _ in bits])
             numbers = sorted(answered.column("shard").to_pylist())
             edges = np.concatenate([[0], np.searchsorted(which[lead], cuts)])
             for s, a, b in zip(numbers, edges[:-1], edges[1:]):
@@ -161,8 +137,9 @@ def _ask(shards: int, window: int):
                     length = count[part] + window - 1
                     used, inverse = np.unique(codes[np.repeat(first[part] - (np.cumsum(length) - length), length) + np.arange(length.sum())], return_inverse=True)
                     named = b" ".join([vocabulary[w] for w in used.tolist()])
-                    rows.append((block, s, pack(home.ids[owner[part]], place[part].astype(np.int32), count[part].astype(np.uint8), inverse.astype(np.uint16 if len(used) < 65536 else np.uint32), np.frombuffer(named, np.uint8), level=3), None, None))
-        return pa.Table.from_batches([_rows(rows)] if rows else [], schema=ROWS)
+                    c, d = np.searchsorted(to, (a, b))
+                    rows.append((block, s, pack(home.ids[owner[part]], place[part].astype(np.int32), count[part].astype(np.uint8), inverse.astype(np.uint16 if len(used) < 65536 else np.uint32), np.frombuffer(named, np.uint8), (to[c:d] - a).astype(np.int32), some[by[c:d]].astype(np.int32), level=3)))
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 3, ASKED)], schema=ASKED)
 
     return run
 
@@ -183,6 +160,9 @@ def distinct(codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.nda
 ROWS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary()), ("text", pa.binary()), ("rows", pa.binary())])
 
 
+ASKED = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary())])
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), ROWS)], schema=ROWS)
 
@@ -192,7 +172,7 @@ def reference(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     segment the document, place, number of windows."""
     numbers: dict[bytes, int] = {}
     words = [np.zeros(0, np.int32)]
-    for *_, inverse, named in parts:
+    for _, _, _, inverse, named in parts:
         own = np.array([numbers.setdefault(w, len(numbers)) for w in named.tobytes().split(b" ")], dtype=np.int32)
         words.append(own[inverse])
     doc, place, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -267,7 +247,8 @@ def _parse(window: int):
             parts = [unpack(row["payload"]) for row in rows]
             del rows
             starts = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-            text, h, doc, place, count = reference(parts)
+            text, h, doc, place, count = reference([p[:5] for p in parts])
+            home = [(p[0], p[1], p[2], p[5], p[6]) for p in parts]
             del parts
             found = parse(text, h, doc, place, count, window)
             by = np.lexsort((found[1], found[0]))
@@ -275,14 +256,10 @@ def _parse(window: int):
             cuts = np.searchsorted(found[0], starts)
             out = []
             for k, number in enumerate(numbers):
-                a, b = cuts[k], cuts[k + 1]
-                if a < b:
-                    own = [x[a:b] for x in found]
-                    out.append((number, shard, pack(np.diff(own[0] - starts[k], prepend=0).astype(np.int32), own[1].astype(np.uint8), own[2].astype(np.uint8), own[3], own[4].astype(np.int32)), starts[k + 1] - starts[k]))
-                else:
-                    out.append((number, shard, b"", starts[k + 1] - starts[k]))
-            for a in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 256]), (pa.int64(), pa.int32(), pa.binary(), pa.int64()))], ["block", "shard", "payload", "n"])
+                own = [x[cuts[k] : cuts[k + 1]] for x in found]
+                out.append((number, shard, pack(*home[k], (own[0] - starts[k]).astype(np.int32), own[1].astype(np.uint8), own[2].astype(np.uint8), own[3], own[4].astype(np.int32))))
+            for a in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[a : a + 64]), ASKED)], schema=ASKED)
 
     return run
 
@@ -322,19 +299,15 @@ def _remove(window: int, layout: bool, row: str | None):
             sizes, raw = unpack(packed)
             raw, ends = raw.tobytes(), np.cumsum(sizes).tolist()
             carried = names.decode().split("\0") if row else []
-            some, which, lead_doc, lead_place, lead_count = (np.zeros(0, np.int64),) * 5
-            parts, at = [], 0  # factors by distinct segment
-            for value, n in zip(*(answered.sort_by("shard").column(c).to_pylist() for c in ("payload", "n"))):
-                if n is None:
-                    some, which, lead_doc, lead_place, lead_count = (x.astype(np.int64) for x in unpack(value))
-                    some = np.cumsum(some)
-                    continue
-                if value:
-                    k, first, size, doc, ref = unpack(value)
-                    parts.append((np.cumsum(k) + at, first.astype(np.int64), size.astype(np.int64), doc, ref.astype(np.int64)))
-                at += n
-            seg, first, size, doc, ref = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(5))
-            cuts = np.searchsorted(seg, np.arange(len(lead_doc) + 1))
+            parts, n = [[np.zeros(0, np.int64)] * 10], 0  # segments and factors of all reference blocks
+            for value in answered.column("payload").to_pylist():
+                own = [x.astype(np.int64) for x in unpack(value)]
+                own[3] += n
+                own[5] += n
+                n += len(own[0])
+                parts.append(own)
+            lead_doc, lead_place, lead_count, which, some, seg, first, size, doc, ref = (np.concatenate([p[i] for p in parts]) for i in range(10))
+            cuts = np.searchsorted(seg, np.arange(n + 1))
             # all places of all segments: those of a document after the segment's least are duplicates of that one, whole
             owner = home.owner[some]
             place = home.first[some] - home.offsets[owner]
@@ -384,7 +357,7 @@ FACTORS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("r
 SCHEMA = "doc_id long, text string, n_words long, n_removed long, factors array<struct<start: int, length: int, ref_doc: long, ref_start: int>>"
 
 
-def dedupe(docs: DataFrame, window: int = WINDOW, layout: bool = False, row: str | None = None) -> DataFrame:
+def dedupe(docs: DataFrame, window: int = WINDOW, layout: bool = False, row: str | None = None, spent: list[DataFrame] | None = None) -> DataFrame:
     """Every row of docs(doc_id, text, ...): doc_id, the text without its duplicate words, n_words (before), n_removed and
     the factors: places (in words) and lengths of the duplicate spans, with a reference document and place of each.
 
@@ -392,14 +365,14 @@ def dedupe(docs: DataFrame, window: int = WINDOW, layout: bool = False, row: str
     on the input. layout: keep the white space of the kept words (else they are joined by single spaces). Null
     text: no words. A null doc_id counts as larger than every other, and rows of equal doc_id aren't duplicates
     of each other. Windows are compared by their words. row: a string column (without null characters and nulls) to
-    carry along; other columns are ignored."""
+    carry along; other columns are ignored. spent: takes the table that may go when the result has been read."""
     own, shards = [row] if row else [], shards_for(docs, SHARD)
     kept = settle(as_bytes(docs, *own).mapInArrow(_batch(shards, window, row), SENT), payload=True, by="block")
     home = kept.where("shard < 0")
-    repeated = brought_together(kept.where("shard >= 0").select("block", "shard", "payload"), "shard", keys=shards).mapInArrow(_again, SENT)
-    sent = settle(home.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_ask(shards, window), SENT), payload=True)
-    asked = brought_together(sent.where("shard >= 0").select("block", "shard", "payload"), "shard", keys=shards)
-    found = asked.mapInArrow(_parse(window), "block long, shard int, payload binary, n long")
-    found = found.union(sent.where("shard < 0").select("block", "shard", "payload", F.lit(None).cast("long")))
+    repeated = brought_together(kept.where("shard >= 0").select("block", "shard", "payload"), "shard", keys=shards).mapInArrow(seen_again, ANSWER)
+    asked = home.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_ask(shards, window), ANSWER)
+    found = brought_together(asked, "shard", keys=shards).mapInArrow(_parse(window), ANSWER)
+    if spent is not None:
+        spent.append(kept)
     # the texts stay where they were written: only minimisers, segments and factors move
     return home.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_remove(window, layout, row), SCHEMA + (f", {row} string" if row else ""))

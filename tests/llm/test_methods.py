@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, bpe, features, langid, lm, quality, rlz, toxicity, weak_rules
-from tessera.llm.common import shared_dir, unpack, word_codes, word_hashes
+from tessera.llm.common import seen_again, shared_dir, unpack, word_codes, word_hashes
 from tessera.llm.queries import QUERIES
 
 from . import brute
@@ -97,7 +97,7 @@ def test_a_hot_passage_is_sent_once(monkeypatch):
         batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([passage.encode()] * n, pa.binary())], ["doc_id", "text"])
         kept = pa.Table.from_batches(list(rlz._batch(4, 13, None)([batch])))
         shard = kept.column("shard").to_numpy()
-        repeated = pa.Table.from_batches(list(rlz._again(kept.filter(pa.array(shard >= 0)).sort_by("shard").to_batches())))
+        repeated = pa.Table.from_batches(list(seen_again(kept.filter(pa.array(shard >= 0)).sort_by("shard").to_batches())))
         out = rlz._ask(4, 13)(kept.filter(pa.array(shard < 0)), repeated).to_pylist()
         return sum(len(unpack(r["payload"])[0]) for r in out if r["shard"] >= 0)
 
