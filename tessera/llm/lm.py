@@ -18,7 +18,6 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -54,6 +53,8 @@ def _tokens(shards: int):
     in all texts and in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd  # in the executors only
+
         part = TaskContext.get().partitionId()
         for k, block in enumerate(blocks(batches, BLOCK)):
             words = [t.lower().split() for t in block["text"]]

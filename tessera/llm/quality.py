@@ -136,7 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
         return Machine(0.0, np.zeros(DENSE + BUCKETS, np.float32), np.zeros((DENSE + BUCKETS, FACTORS), np.float32))
     lists = rows["place"].combine_chunks()
     offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    return fit(lists.flatten().to_numpy().astype(np.int64), rows["value"].combine_chunks().flatten().to_numpy(), offsets, rows["y"].to_numpy())
+    machine = fit(lists.flatten().to_numpy().astype(np.int64), rows["value"].combine_chunks().flatten().to_numpy(), offsets, rows["y"].to_numpy())
+    del lists, rows
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def quality_column(spark, machine: Machine, text: Column) -> Column:
