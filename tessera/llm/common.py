@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one block of documents holds (a longer text is a block of its own).
 BLOCK_BYTES = 6_000_000
+#: Spark's setting that deletes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The polynomial's odd multiplier for hashes of word sequences.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,11 +94,16 @@ def settle(df: DataFrame, payload: bool = False, by: str | None = None) -> DataF
     if payload:  # few rows to a row group, since a reader holds whole batches of rows
         out = out.option("parquet.block.size", 8 << 20).option("parquet.block.size.row.check.min", 1)
     _gone_at_exit(spark, path)
-    if by is None:
-        out.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    out.format("parquet").bucketBy(shuffle_partitions(spark), by).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # what the writing shuffled is needed no more when it has been written
+    try:
+        if by is None:
+            out.parquet(path)
+        else:
+            out.format("parquet").bucketBy(shuffle_partitions(spark), by).option("path", path).saveAsTable(name)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path) if by is None else spark.table(name)
 
 
 def discard(*tables: DataFrame) -> None:
