@@ -3,6 +3,8 @@ and shapes are plain integers, since they are the same for all rows of a call.""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,18 @@ PAIRS = {
         (0.03314563036812, -0.06629126073624, -0.17677669529664, 0.41984465132951, 0.99436891104358, 0.41984465132951, -0.17677669529664, -0.06629126073624, 0.03314563036812),
         (0.35355339059327, 0.70710678118655, 0.35355339059327),
     ),
+    "CDF_2.6": (
+        (-0.00690533966002, 0.01381067932005, 0.04695630968817, -0.10772329869639, -0.16987135563661, 0.44746600996961, 0.96674755240348, 0.44746600996961, -0.16987135563661, -0.10772329869639, 0.04695630968817, 0.01381067932005, -0.00690533966002),
+        (0.35355339059327, 0.70710678118655, 0.35355339059327),
+    ),
+    "CDF_4.4": (
+        tuple(math.sqrt(2) * c for c in (0.026748757411, -0.016864118443, -0.078223266529, 0.266864118443, 0.602949018236, 0.266864118443, -0.078223266529, -0.016864118443, 0.026748757411)),
+        tuple(math.sqrt(2) * c for c in (-0.045635881557, -0.028771763114, 0.295635881557, 0.557543526229, 0.295635881557, -0.028771763114, -0.045635881557)),
+    ),
+    "VS_7.9": (
+        (0.037828455506995, -0.02384946501938, -0.110624404418420, 0.377402855612650, 0.85269867900940, 0.377402855612650, -0.110624404418420, -0.02384946501938, 0.037828455506995),
+        (-0.064538882628938, -0.040689417609558, 0.418092273222210, 0.788485616405660, 0.418092273222210, -0.040689417609558, -0.064538882628938),
+    ),
 }
 ROOT = 0.7071067811865476
 
@@ -238,54 +252,138 @@ def ceil_log2(n: Column) -> Column:
     return F.when(n <= 1, 0).otherwise(F.length(F.bin(n - 1)))
 
 
+def _sides(bins: int) -> tuple[int, int, int]:
+    """The zero bin, and how many bins lie under and over it, counting it for each side."""
+    return (bins - 1) // 2, (bins - 1) // 2, bins // 2
+
+
+def _kept(x: Column, bin_: Column) -> Column:
+    """A null has no bin."""
+    return F.when(x.isNotNull(), bin_)
+
+
 def quant_uniform(x: Column, bins: int, t: float, most: float) -> Column:
-    z, nb, pb = (bins - 1) // 2, (bins - 1) // 2, bins // 2
+    """The bin of a value: even steps from t to most on either side of the zero bin; null: null. Where there is no step (most
+    at or under t) all values are in the zero bin; a side of one bin takes its whole side."""
+    z, nb, pb = _sides(bins)
     if most <= t:
-        return F.when(x.isNotNull(), F.lit(z))
-    ps, ns = (pb - 1) / (most - t), (nb - 1) / (most - t)
+        return _kept(x, F.lit(z))
+    ps, ns = max(pb - 1, 0) / (most - t), max(nb - 1, 0) / (most - t)
     po, no = 1 - t * ps, 1 - t * ns
     up, down = (x * ps + (po + z)).cast("int"), (x * ns - no).cast("int") + z
-    return F.when(x > t, F.least(F.lit(bins - 1), up)).when(x < -t, F.greatest(F.lit(0), down)).otherwise(z)
+    return _kept(x, F.when(x > t, F.least(F.lit(bins - 1), up)).when(x < -t, F.greatest(F.lit(0), down)).otherwise(z))
 
 
 def dequant_uniform(q: Column, bins: int, t: float, most: float) -> Column:
-    z, nb, pb = (bins - 1) // 2, (bins - 1) // 2, bins // 2
+    """The middle of a bin; of a side of one bin, which has no step, zero (its inverse scale is taken as zero). Null: null."""
+    z, nb, pb = _sides(bins)
     if most <= t:
-        return F.lit(0.0)
-    ps, ns = (pb - 1) / (most - t), (nb - 1) / (most - t)
+        return _kept(q, F.lit(0.0))
+    ps, ns = max(pb - 1, 0) / (most - t), max(nb - 1, 0) / (most - t)
     po, no = 1 - t * ps, 1 - t * ns
-    return F.when(q > z, (q + (0.5 - po - z)) / ps).when(q < z, (q + (no - 0.5 - z)) / ns).otherwise(0.0)
+    over = (q + (0.5 - po - z)) / ps if ps else F.lit(0.0)
+    under = (q + (no - 0.5 - z)) / ns if ns else F.lit(0.0)
+    return _kept(q, F.when(q > z, over).when(q < z, under).otherwise(0.0))
 
 
 def _log(bins: int, t: float, most: float):
-    import math
-
-    z, nb, pb = (bins - 1) // 2, (bins - 1) // 2, bins // 2
-    ps, ns = (pb - 1) / math.log(most / t), (nb - 1) / math.log(most / t)
+    z, nb, pb = _sides(bins)
+    ps, ns = max(pb - 1, 0) / math.log(most / t), max(nb - 1, 0) / math.log(most / t)
     return z, ps, ns, 1 - ps * math.log(t), 1 - ns * math.log(t)
 
 
 def quant_log(x: Column, bins: int, t: float, most: float) -> Column:
+    """As quant_uniform, in even steps of the logarithm; a value over most is in the last bin."""
     if most <= t or t <= 0:
-        return F.when(x.isNotNull(), F.lit((bins - 1) // 2))
+        return _kept(x, F.lit((bins - 1) // 2))
     z, ps, ns, po, no = _log(bins, t, most)
     size = F.ln(F.abs(x))
     up, down = (size * ps + (z + po + 0.5)).cast("int"), (F.lit(z - no + 0.5) - size * ns).cast("int")
-    return F.when(x > t, F.least(F.lit(bins - 1), up)).when(x < -t, F.greatest(F.lit(0), down)).otherwise(z)
+    return _kept(x, F.when(x > t, F.least(F.lit(bins - 1), up)).when(x < -t, F.greatest(F.lit(0), down)).otherwise(z))
 
 
 def dequant_log(q: Column, bins: int, t: float, most: float) -> Column:
+    """A bin's value; a side of one bin gives the threshold, with its sign. Null: null."""
     if most <= t or t <= 0:
-        return F.lit(0.0)
+        return _kept(q, F.lit(0.0))
     z, ps, ns, po, no = _log(bins, t, most)
-    return F.when(q > z, F.exp((q - z - po) / ps)).when(q < z, -F.exp((F.lit(z) - q - no) / ns)).otherwise(0.0)
+    over = F.exp((q - z - po) / ps) if ps else F.lit(float(t))
+    under = -F.exp((F.lit(z) - q - no) / ns) if ns else F.lit(-float(t))
+    return _kept(q, F.when(q > z, over).when(q < z, under).otherwise(0.0))
 
 
 def quant_codebook(x: Column, boundaries: list[float]) -> Column:
-    """The bin: how many boundaries lie under the value; at or over the last one, the last bin."""
+    """The bin: how many boundaries lie under the value; at or over the last one, the last bin; null: null."""
     under = F.aggregate(F.array(*map(F.lit, boundaries)), F.lit(0), lambda n, b: n + F.when(b < x, 1).otherwise(0))
-    return F.when(x >= boundaries[-1], len(boundaries)).otherwise(under)
+    return _kept(x, F.when(x >= boundaries[-1], len(boundaries)).otherwise(under))
 
 
 def dequant_codebook(q: Column, values: list[float]) -> Column:
     return F.get(F.array(*map(F.lit, values)), q)
+
+
+def quant_partition(x: Column, partition: list[float]) -> Column:
+    """The other form of a codebook's bins, by partition points alone: how many lie under the value, the last one
+    included like any other."""
+    return _kept(x, F.aggregate(F.array(*map(F.lit, partition)), F.lit(0), lambda n, b: n + F.when(b < x, 1).otherwise(0)))
+
+
+def quant_bits(x: Column, bits: int, t: float, most: float, log: bool = False) -> Column:
+    """The older quantizers, by bits: the sign times the rounded-up step over the threshold; at or under it, zero."""
+    base = (1 << (bits - 1)) - 1
+    step = F.ln(F.abs(x) / t) / math.log(most / t) if log else (F.abs(x) - t) / (most - t)
+    return _kept(x, F.when(F.abs(x) <= t, 0).otherwise(F.signum(x) * F.ceil(step * base)).cast("int"))
+
+
+def dequant_bits(q: Column, bits: int, t: float, most: float, log: bool = False) -> Column:
+    """What those give back: zero, or the step's upper end with its sign."""
+    base = (1 << (bits - 1)) - 1
+    size = F.exp(F.abs(q) * (math.log(most / t) / base)) * t if log else F.abs(q) * ((most - t) / base) + t
+    return _kept(q, F.when(q == 0, 0.0).otherwise(F.signum(q) * size))
+
+
+# Conversions between stored and worked-on values.
+
+
+def byte_to_unit(b: Column) -> Column:
+    """0..255 to -0.5..0.5."""
+    return b / 255.0 - 0.5
+
+
+def unit_to_byte(v: Column) -> Column:
+    return to_byte((v + 0.5) * 255.0)
+
+
+def int_to_unit(i: Column, most: int) -> Column:
+    """0..most to -0.5..0.5."""
+    return i / float(most) - 0.5
+
+
+def unit_to_int(v: Column, most: int) -> Column:
+    return to_int((v + 0.5) * float(most))
+
+
+def share_to_byte(v: Column) -> Column:
+    """0..1 to 0..255, rounded."""
+    return (v * 255.0 + 0.5).cast("int")
+
+
+def is_padded(n: Column, steps: int) -> Column:
+    """Whether a length can be halved so many times."""
+    return n % (1 << steps) == 0
+
+
+def brightened(v: Column, low: Column, high: Column, gain: float = 1.0) -> Column:
+    """Values between low and high as grey levels 0..255, times a gain, cut off at both ends."""
+    level = F.when(high > low, (v - low) / (high - low) * 255.0).otherwise(0.0)
+    return F.least(F.greatest(level * gain, F.lit(0.0)), F.lit(255.0)).cast("int")
+
+
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    """The grey level of a colour."""
+    return r * 0.299 + g * 0.587 + b * 0.114
+
+
+def bits_pushed(values: Column, counts: Column) -> Column:
+    """A stack of bits as a string: of each value so many of its low bits, the highest first."""
+    return F.array_join(F.zip_with(values, counts, lambda v, n: F.right(F.lpad(F.bin(v), 64, "0"), n)), "")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hof
-from .select import order_statistic
+from .select import order_statistics
 
 
 def geometric(lo: float, hi: float, n: int) -> list[float]:
@@ -16,8 +16,9 @@ def geometric(lo: float, hi: float, n: int) -> list[float]:
 
 
 def mirrored(book: list[float], t: float, least: float, most: float, bins: int) -> tuple[list[float], list[float]]:
-    """(boundaries, values) on both sides of a zero bin [-t, t]; with an even number of bins one more value at the farther
-    end of the data."""
+    """(boundaries, values) on both sides of a zero bin [-t, t], from a codebook of positive values: each value also with
+    a minus sign, boundaries half way between neighbours; with an even number of bins one more value at the farther end
+    of the data."""
     middle = [(a + b) / 2 for a, b in zip(book, book[1:])]
     values = [-x for x in reversed(book)] + [0.0] + list(book)
     bounds = [-x for x in reversed(middle)] + [-t, t] + middle
@@ -69,33 +70,63 @@ def lloyd(df: DataFrame, value: Column, book: list[float], stop: float = 1e-6, m
 
 
 def equal_population(df: DataFrame, value: Column, bits: int, t: float) -> tuple[list[float], list[float]]:
-    """(boundaries, values) of 2**bits bins over absolute values. The first holds all at or under t, the others about as
-    many values each; a value that fills several bins ends one of them, and the rest shrink."""
-    size = F.abs(value)
+    """(boundaries, values) of 2**bits bins over absolute values: boundaries are the lower ends of all bins but the first,
+    which holds what is at or under t (or its share of all values, if that is more); a bin's value is its middle one by
+    rank, the first bin's is zero. The rest is shared out evenly; a value that fills several bins ends one of them, and
+    what lies over it is shared out again among the bins that are left.
+
+    The ranks of all bins that are left are looked up at once, and again only behind such a value."""
+    size, bins = F.abs(value), 1 << bits
     there = df.where(value.isNotNull())
-    n, bins = there.count(), 1 << bits
+    n, small = there.agg(F.count("*"), F.coalesce(F.sum((size <= t).cast("long")), F.lit(0))).first()
     if not n:
         return [0.0] * (bins - 1), [0.0] * bins
-    at = lambda k: order_statistic(there, size, min(k, n - 1))
-    upto = lambda x: there.where(size <= x).count()
-    width, small = n // bins, upto(t)
-    end = width if small < width else small
-    if small >= width:
-        width = (n - small) // (bins - 1)
-    bounds, values = [at(end)], [0.0]
-    for i in range(1, bins - 1):
-        start, end = end, end + width
-        if end < n and at(end) == bounds[-1]:
-            end = upto(bounds[-1])
-            width = (n - end) // (bins - i)
-        if end >= n:
-            bounds.append(at(n - 1))
-            values.append(at(n - 1))
-            width = 0
-        else:
-            bounds.append(at(end))
-            values.append(at((start + end) // 2))
-    return bounds, [*values, at((end + n) // 2)]
+    known: dict[int, float] = {}
+
+    def look_up(ranks: list[int]) -> list[float]:
+        ranks = [min(r, n - 1) for r in ranks]
+        new = sorted(set(ranks) - known.keys())
+        known.update(zip(new, order_statistics(there, size, new)))
+        return [known[r] for r in ranks]
+
+    share = n // bins
+    ends = [max(small, share)]  # ranks at which bins begin
+    if small >= share:
+        share = (n - small) // (bins - 1)
+    while len(ends) < bins - 1:
+        ahead = [min(ends[-1] + share * (j + 1), n) for j in range(bins - 1 - len(ends))]
+        values = look_up([ends[-1], *ahead])
+        tied = next((j for j, (a, b) in enumerate(zip(values, values[1:])) if a == b and ahead[j] < n), len(ahead))
+        ends += ahead[:tied]
+        if tied < len(ahead):
+            over = there.where(size <= values[tied]).count()
+            share = (n - over) // (bins - len(ends))
+            ends.append(over)
+    middles = [(a + b) // 2 if b < n else n - 1 for a, b in zip(ends, ends[1:])] + [(ends[-1] + n) // 2]
+    return look_up(ends), [0.0, *look_up(middles)]
+
+
+def equal_population_signed(df: DataFrame, value: Column, bits: int, t: float) -> tuple[list[float], list[float]]:
+    """(boundaries, values) of 2**bits bins over signed values, for hof.quant_codebook: bins in proportion to the values
+    under -t and over t, one for what lies between, and a bin of its own for the largest value; a bin's value is its
+    middle one by rank, the outermost bins' are the extremes. Ranks follow from four counts and are looked up at once."""
+    there, bins = df.where(value.isNotNull()), 1 << bits
+    n, below, over = there.agg(F.count("*"), F.coalesce(F.sum((value < -t).cast("long")), F.lit(0)), F.coalesce(F.sum((value > t).cast("long")), F.lit(0))).first()
+    if not n:
+        return [0.0] * (bins - 1), [0.0] * bins
+    down = min(int(below / max(below + over, 1) * bins), bins - 2)
+    up = bins - down - 1
+    step, stride = below / max(down, 1), over / up
+    lows = [int(step * (i + 1)) for i in range(max(down - 1, 0))]
+    low_middles = [0, *(int(step * i + step / 2) for i in range(1, max(down - 1, 1)))][:down] + ([int((below + step * (down - 1)) / 2)] if down > 1 else [])
+    highs = [int(n - over + stride * (i + 1)) for i in range(up - 1)]
+    high_middles = [int(n - over + stride * i + stride / 2) for i in range(up - 1)]
+    asked = [min(max(r, 0), n - 1) for r in (*lows, *low_middles, *highs, *high_middles, n - 2, n - 1)]
+    found = order_statistics(there, value, asked)
+    cut = [found[a:b] for a, b in zip(*(lambda e: (e, e[1:]))([0, len(lows), len(lows) + len(low_middles), len(lows) + len(low_middles) + len(highs), len(asked) - 2]))]
+    bounds = [*cut[0], *([-t] if down else []), t, *cut[2]]
+    bounds[-1] = 0.01 * found[-2] + 0.99 * found[-1]
+    return bounds, [*cut[1], 0.0, *cut[3], found[-1]]
 
 
 def quant_population(x: Column, bounds: list[float]) -> Column:
@@ -103,4 +134,4 @@ def quant_population(x: Column, bounds: list[float]) -> Column:
     return F.signum(x).cast("int") * _between(F.abs(x), bounds)
 
 
-__all__ = ["equal_population", "geometric", "hof", "lloyd", "mirrored", "quant_population"]
+__all__ = ["equal_population", "equal_population_signed", "geometric", "hof", "lloyd", "mirrored", "quant_population"]

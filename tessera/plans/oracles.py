@@ -21,9 +21,9 @@ def r6(x: str) -> str:
 
 def chain(first: str, steps: list, last: str) -> str:
     """first: a query; steps: functions from a relation's name to a query; last: a query over `done`."""
-    parts, name = [f"r0 AS ({first})"], "r0"
+    parts, name = [f"r0 AS MATERIALIZED ({first})"], "r0"
     for k, step in enumerate(steps, 1):
-        parts.append(f"r{k} AS ({step(name)})")
+        parts.append(f"r{k} AS MATERIALIZED ({step(name)})")
         name = f"r{k}"
     return f"WITH {', '.join(parts)}, done AS (SELECT * FROM {name}) {last}"
 
@@ -53,13 +53,28 @@ def bank(axis: str, others: str, m: int, low: dict, high: dict):
     return step
 
 
-LA, HA = hof.symmetric(hof.LOW_ANALYSIS), hof.symmetric(hof.HIGH_ANALYSIS)
+def around(*taps: float) -> dict[int, float]:
+    return {k - len(taps) // 2: c for k, c in enumerate(taps)}
+
+
+def alternating(*taps: float) -> dict[int, float]:
+    return {k: (-c if k % 2 == 0 else c) for k, c in around(*taps).items()}
+
+
+#: Taps of the filter banks, spelled here again so that no query is checked with its own.
+LA = around(0.037828455506995, -0.02384946501938, -0.110624404418420, 0.377402855612650, 0.85269867900940, 0.377402855612650, -0.110624404418420, -0.02384946501938, 0.037828455506995)
+HA = around(-0.064538882628938, 0.040689417609558, 0.418092273222210, -0.788485616405660, 0.418092273222210, 0.040689417609558, -0.064538882628938)
+SPLINE = alternating(0.35355339059327, 0.70710678118655, 0.35355339059327)
+B22 = around(-0.17677669529664, 0.35355339059327, 1.06066017177982, 0.35355339059327, -0.17677669529664), SPLINE
+B26 = around(-0.00690533966002, 0.01381067932005, 0.04695630968817, -0.10772329869639, -0.16987135563661, 0.44746600996961, 0.96674755240348, 0.44746600996961, -0.16987135563661, -0.10772329869639, 0.04695630968817, 0.01381067932005, -0.00690533966002), SPLINE
+R2 = 2**0.5
+B44 = around(*(R2 * c for c in (0.026748757411, -0.016864118443, -0.078223266529, 0.266864118443, 0.602949018236, 0.266864118443, -0.078223266529, -0.016864118443, 0.026748757411))), alternating(*(R2 * c for c in (-0.045635881557, -0.028771763114, 0.295635881557, 0.557543526229, 0.295635881557, -0.028771763114, -0.045635881557)))
+D4 = (0.48296291314453416, 0.8365163037378079, 0.2241438680420134, -0.12940952255126037)
 POS1 = f"SELECT cube_id, x::BIGINT AS pos, {r6('v')} AS v FROM done"
 POS2 = f"SELECT cube_id, (y * 8 + x)::BIGINT AS pos, {r6('v')} AS v FROM done"
 POS3 = f"SELECT cube_id, (z * 16 + y * 4 + x)::BIGINT AS pos, {r6('v')} AS v FROM done"
 SAME = f"SELECT cube_id, x::BIGINT AS pos, {r6('v')} AS v FROM ({LINE})"
 C1, C2, C3 = "cube_id", "cube_id, y", "cube_id, y, z"
-B2 = hof.pair_taps("CDF_2.2")
 HAAR3 = [haar("x", "cube_id, y, z", 4), haar("x", "cube_id, y, z", 2), haar("y", "cube_id, x, z", 4), haar("y", "cube_id, x, z", 2), haar("z", "cube_id, x, y", 4), haar("z", "cube_id, x, y", 2)]
 
 
@@ -117,15 +132,72 @@ RUNS = "SELECT cube_id, min(pos) AS start, any_value(s) AS s, count(*) AS length
 PAIRS = f"SELECT cube_id, start + 255 * part AS start, s, least(255, length - 255 * part)::BIGINT AS length FROM (SELECT *, unnest(range((length - 1) // 255 + 1)) AS part FROM ({RUNS.format(stream=STREAM.format(n=3))}))"
 WANTED = ", ".join(f"({i}, {x})" for i, x in enumerate(IDS))
 OFFSETS = "vec_id AS cube_id, vec_id % 8 * 4 AS x_off, (vec_id // 8) % 8 * 4 AS y_off, vec_id // 64 * 4 AS z_off"
-SWEEP = (
-    "WITH c AS ({coef}), m AS (SELECT max(abs(v)) AS most, list_sort(list(abs(v))) AS s, count(*) AS n FROM c), t AS (SELECT f.f AS fraction, b.b AS bins, s[trunc(f.f * n)::BIGINT + 1] AS t, most FROM m, (SELECT unnest([{fractions}]::DOUBLE[]) AS f) f, (SELECT unnest([{bins}]::BIGINT[]) AS b) b), "
-    "q AS (SELECT fraction, bins, t, most, v, {quant} AS q FROM c, t), g AS (SELECT fraction, bins, most, q, count(*) AS n, sum(({dequant} - v) * ({dequant} - v)) AS sse FROM q GROUP BY fraction, bins, t, most, q) "
-    "SELECT fraction, bins, count(*) AS used, round(sum(sse) / sum(n), 2) AS mse, round(log10(any_value(most) * any_value(most) / (sum(sse) / sum(n))) * 10, 4) AS psnr FROM g GROUP BY fraction, bins"
+#: The bits of an optimal prefix code for a list l of counts: the two least are merged until one is left.
+HUFFMAN = (
+    "(CASE WHEN len(l) = 1 THEN l[1] ELSE (list_reduce(list_concat([list_concat([0::BIGINT], list_sort(l))], list_transform(range(len(l) - 1), lambda i: [0::BIGINT])), "
+    "lambda a, x: list_concat([a[1] + a[2] + a[3]], list_sort(list_append(a[4:], a[2] + a[3])))))[1] END)"
 )
+POINTS = "c AS ({coef}), m AS (SELECT max(abs(v)) AS most, list_sort(list(abs(v))) AS s, count(*) AS n FROM c)".format(coef=COEF)
+
+
+def log_of(x: str, bins: str, t: str, most: str) -> tuple[str, str]:
+    """The log quantizer with columns for its parameters, and what it gives back."""
+    z, nb, pb = f"(({bins}-1)//2)", f"(({bins}-1)//2)", f"({bins}//2)"
+    ps, ns = (f"(({n}-1)/ln({most}/{t}))" for n in (pb, nb))
+    po, no = (f"(1-ln({t})*{k})" for k in (ps, ns))
+    quant = f"(CASE WHEN {x} > {t} THEN least({bins}-1, trunc(ln(abs({x}))*{ps}+({z}+{po}+0.5::DOUBLE))) WHEN {x} < -{t} THEN greatest(0, trunc(({z}-{no}+0.5::DOUBLE)-ln(abs({x}))*{ns})) ELSE {z} END)::BIGINT"
+    return quant, f"(CASE WHEN q > {z} THEN exp((q-{z}-{po})/{ps}) WHEN q < {z} THEN -exp(({z}-q-{no})/{ns}) ELSE 0 END)"
+
+
+def swept(fractions: str, bins: str, kind: str = "log") -> str:
+    """The CTEs of a search: `tr` has a row for each trial. The quantizers' constants are worked out once for each."""
+    quant, back = (uniform("v", "bins", "t", "most"), un_uniform("q", "bins", "t", "most")) if kind == "uniform" else log_of("v", "bins", "t", "most")
+    return (
+        f"{POINTS}, t AS MATERIALIZED (SELECT f.f AS fraction, b.b AS bins, s[least(trunc(f.f * n)::BIGINT, n - 1) + 1] AS t, most FROM m, (SELECT unnest([{fractions}]::DOUBLE[]) AS f) f, (SELECT unnest([{bins}]::BIGINT[]) AS b) b), "
+        f"q AS (SELECT fraction, bins, t, most, v, {quant} AS q FROM c, t), "
+        "g AS MATERIALIZED (SELECT fraction, bins, t, most, q, count(*) AS n, sum(v) AS s1, sum(v * v) AS s2 FROM q GROUP BY ALL), "
+        f"d AS (SELECT *, {back} AS b FROM g), "
+        "h AS MATERIALIZED (SELECT fraction, bins, any_value(t) AS t, any_value(most) AS most, count(*) AS used, list(n::BIGINT) AS l, sum(n) AS n, sum(n * b * b - 2 * b * s1 + s2) AS sse, sum(s2) AS s2 FROM d GROUP BY fraction, bins), "
+        f"tr AS MATERIALIZED (SELECT fraction, t, bins, used, ({HUFFMAN} + 31) // 32 * 4 AS size_bytes, sse / n AS mse, log10(most * most / (sse / n)) * 10 AS psnr, sse / s2 AS rel, n FROM h)"
+    )
 
 
-def sweep(fractions: str, bins: str) -> str:
-    return SWEEP.format(coef=COEF, fractions=fractions, bins=bins, quant=uniform("v", "bins", "t", "most"), dequant=un_uniform("q", "bins", "t", "most"))
+TRIAL = "SELECT fraction, round(t, 6) AS threshold, bins, used, size_bytes::BIGINT AS size_bytes, round(sqrt(mse), 4) AS rmse, round(psnr, 4) AS psnr FROM tr"
+
+
+def spelled(values) -> str:
+    return ", ".join(map(str, values))
+
+
+def ladder(first: int, last: int, factor: float) -> str:
+    out = [first]
+    while int(out[-1] * factor) <= last:
+        out.append(int(out[-1] * factor))
+    return spelled(out)
+
+
+GRID = spelled(round(0.5 + i / 100, 2) for i in range(50))
+#: Absolute values in order, and the ranks at which bins of equal population begin (no value here fills a bin).
+RANKED = f"s AS (SELECT list_sort(list(abs(v))) AS s, count(*) AS n, count(*) FILTER (abs(v) <= {T}) AS small FROM ({COEF})), w AS (SELECT *, CASE WHEN small < n // 8 THEN n // 8 ELSE (n - small) // 7 END AS w, greatest(small, n // 8) AS first FROM s)"
+
+
+def lloyd(k: int, most: int, stop: float) -> str:
+    """Lloyd's iteration as a recursion over lists: codewords, partition, sums and counts of each codeword's values."""
+    sums = "list_transform(range(1, {k} + 1), lambda i: coalesce(list_sum(list_filter(vs, lambda v: (i = 1 OR v > ({b}[greatest(i - 1, 1)] + {b}[i]) / 2) AND (i = {k} OR v <= ({b}[i] + {b}[least(i + 1, {k})]) / 2))), 0))"
+    counts = sums.replace("coalesce(list_sum(", "len(").replace(")), 0))", ")))")
+    off = "list_sum(list_transform(range(1, {k} + 1), lambda i: {b}[i] * {c}[i] - {s}[i])) / n"
+    near = "list_filter(vs, lambda v: {b}[i] <= v AND v < {b}[i + 1])"
+    f = lambda x, **o: x.format(k=k, **o)
+    return (
+        f"WITH RECURSIVE p AS MATERIALIZED (SELECT list(abs(v)) AS vs, min(abs(v)) AS least, max(abs(v)) AS top, count(*) AS n FROM ({COEF}) WHERE abs(v) > {T}), "
+        f"a AS (SELECT *, list_transform(range({k}), lambda i: {T} * exp(i * ln({MOST} / {T}) / {k})) AS book FROM p), "
+        f"b AS (SELECT *, list_transform(range(1, {k}), lambda i: (book[i] + book[i + 1]) / 2) AS part, {f(sums, b='book')} AS s, {f(counts, b='book')} AS c FROM a), "
+        f"r AS (SELECT book, part, s, c, {f(off, b='book', s='s', c='c')} AS dist, abs({f(off, b='book', s='s', c='c')}) AS change, 0 AS i FROM b UNION ALL "
+        f"SELECT nb, np, ns, nc, nd, abs(dist - nd), i FROM (SELECT *, {f(off, b='nb', s='ns', c='nc')} AS nd FROM (SELECT *, {f(sums, b='nb')} AS ns, {f(counts, b='nb')} AS nc FROM ("
+        f"SELECT *, list_transform(range(1, {k}), lambda i: coalesce(list_avg({near.format(b='nb')}), (nb[i] + nb[i + 1]) / 2)) AS np FROM ("
+        f"SELECT vs, n, dist, r.i + 1 AS i, list_transform(range(1, {k} + 1), lambda j: CASE WHEN c[j] > 0 THEN s[j] / c[j] ELSE (list_concat([least], part, [top])[j] + list_concat([least], part, [top])[j + 1]) / 2 END) AS nb FROM r, p WHERE change > {stop} AND r.i < {most})))))"
+        " SELECT unnest(range(len(book))) AS bin, round(unnest(book), 4) AS value, round(unnest(list_append(part, NULL)), 4) AS upper FROM (SELECT * FROM r ORDER BY i DESC LIMIT 1)"
+    )
 
 
 def mirror(i: str, n: int) -> str:
@@ -160,14 +232,19 @@ ORACLES = {
         f", c AS (SELECT round(v, 9) AS c FROM done), m AS (SELECT max(abs(c)) AS most, list_sort(list(abs(c)))[trunc(0.5 * count(*))::BIGINT + 1] AS t FROM c) SELECT bin, count(*) AS n FROM (SELECT {uniform('c', 16, 't', 'most')} AS bin FROM c, m) GROUP BY bin",
     ),
     "haar1d_multi": chain(LINE, [haar("x", C1, 64 >> k) for k in range(6)], POS1),
-    "haar1d_inverse": SAME, "cdf97_1d_inverse": SAME, "cdf97_3d_inverse": SAME, "filterbank_1d_inverse": SAME,
+    **dict.fromkeys(("haar1d_inverse", "haar2d_inverse", "haar3d_inverse", "haar2d_mallat_inverse", "cdf97_1d_inverse", "cdf97_3d_inverse", "filterbank_1d_inverse", "daubechies4_inverse"), SAME),
+    "haar_layers": chain(CUBE, [*HAAR3[:2], haar("y", "cube_id, x, z", 4)], POS3),
     "haar2d": chain(SQUARE, [haar("x", C2, 8), haar("x", C2, 4), *(haar("y", "cube_id, x", 8 >> k) for k in range(3))], POS2),
     "haar3d": chain(CUBE, HAAR3, POS3),
     "haar2d_mallat": chain(SQUARE, [s for k in range(3) for s in (haar("x", C2, 8 >> k, f"y < {8 >> k}"), haar("y", "cube_id, x", 8 >> k, f"x < {8 >> k}"))], POS2),
     "cdf97_1d": chain(LINE, [bank("x", C1, 64 >> k, LA, HA) for k in range(3)], POS1),
     "cdf97_2d": chain(SQUARE, [bank("x", C2, 8, LA, HA), bank("x", C2, 4, LA, HA), bank("y", "cube_id, x", 8, LA, HA)], POS2),
     "cdf97_3d": chain(CUBE, [bank("x", C3, 4, LA, HA), bank("y", "cube_id, x, z", 4, LA, HA), bank("z", "cube_id, x, y", 4, LA, HA)], POS3),
-    "filterbank_1d": chain(LINE, [bank("x", C1, 64 >> k, B2[0], B2[1]) for k in range(2)], POS1),
+    **{f"filterbank_{name}": chain(LINE, [bank("x", C1, 64 >> k, *own) for k in range(2)], POS1) for name, own in (("1d", B22), ("26", B26), ("44", B44), ("79", (LA, HA)))},
+    "filterbank_3d": chain(CUBE, [bank("x", C3, 4, *B22), bank("y", "cube_id, x, z", 4, *B22), bank("z", "cube_id, x, y", 4, *B22)], POS3),
+    "daubechies4": f"SELECT cube_id, (o.i + 32 * o.h)::BIGINT AS pos, {r6('sum(t.c * s.v)')} AS v FROM (SELECT unnest(range(32)) AS i, 0 AS h UNION ALL SELECT unnest(range(32)), 1) o JOIN (VALUES {', '.join(f'(0, {k}, {c!r}::DOUBLE), (1, {k}, {(-1) ** k * D4[3 - k]!r}::DOUBLE)' for k, c in enumerate(D4))}) t(h, k, c) ON t.h = o.h JOIN ({LINE}) s ON s.x = (2 * o.i + t.k) % 64 GROUP BY cube_id, o.i, o.h",
+    "separable_lows_first": f"SELECT cube_id, (32 * o.h + s.y * 4 + o.i)::BIGINT AS pos, {r6('sum(t.c * s.v)')} AS v FROM (SELECT unnest(range(4)) AS i, 0 AS h UNION ALL SELECT unnest(range(4)), 1) o JOIN (VALUES (0, -1, 0.25::DOUBLE), (0, 0, 0.5::DOUBLE), (0, 1, 0.25::DOUBLE), (1, -1, -0.25::DOUBLE), (1, 0, 0.5::DOUBLE), (1, 1, -0.25::DOUBLE)) t(h, k, c) ON t.h = o.h JOIN ({SQUARE}) s ON s.x = {mirror('2 * o.i + o.h + t.k', 8)} GROUP BY cube_id, s.y, o.i, o.h",
+    "threshold_from_one": f"SELECT cut, up, round(s[CASE WHEN up THEN ceil(cut * n) ELSE floor(cut * n) END::BIGINT], 6) AS threshold FROM (SELECT list_sort(list(abs(v))) AS s, count(*) AS n FROM ({COEF})), (SELECT unnest([0.3, 0.77]::DOUBLE[]) AS cut), (SELECT unnest([true, false]) AS up)",
     "pad_zero": f"SELECT cube_id, x::BIGINT AS pos, {r6('CASE WHEN x < 50 THEN v ELSE 0 END')} AS v FROM ({LINE})",
     "pad_repeat": placed(64, "least(p.p, 49)"),
     "pad_reflect": placed(64, mirror("p.p", 20)),
@@ -208,7 +285,7 @@ ORACLES = {
     "trimmed_histogram": f"WITH c AS ({COEF}), s AS (SELECT list_sort(list(v)) AS s, count(*) AS n FROM c), e AS (SELECT s[n // 100 + 1] AS lo, s[n - n // 100] AS hi, n AS total FROM s) SELECT bin, n, repeat('*', floor(n * 200 / total)::INT) AS bar FROM (SELECT least(greatest(floor({r6('(v - lo) / ((hi - lo) / 24)')}), 0), 23)::BIGINT AS bin, count(*) AS n, any_value(total) AS total FROM c, e GROUP BY 1)",
     "sign_counts": f"SELECT count(*) FILTER (i < 0) AS negative, count(*) FILTER (i = 0) AS zero, count(*) FILTER (i > 0) AS positive FROM (SELECT trunc(v / 1000 + 0.5::DOUBLE)::BIGINT AS i FROM ({COEF}))",
     "quantization_error": "SELECT " + ", ".join(f"(SELECT round(avg(({d} - v) * ({d} - v)), 2) FROM (SELECT v, {q} AS q FROM ({COEF}))) AS {name}" for name, (q, d) in QUANT.items()),
-    "quant_legacy_bits": f"SELECT (CASE WHEN abs(v) <= {T} THEN 0 ELSE sign(v) * least(ceil({r6(f'(abs(v) - {T}) / ({MOST} - {T}) * 7')}), 7) END)::BIGINT AS uniform, (CASE WHEN abs(v) <= {T} THEN 0 ELSE sign(v) * least(ceil({r6(f'ln(abs(v) / {T}) / {math.log(MOST / T)!r} * 7')}), 7) END)::BIGINT AS log, count(*) AS n FROM ({COEF}) GROUP BY 1, 2",
+    "quant_legacy_bits": f"SELECT *, {r6(f'CASE WHEN uniform = 0 THEN 0 ELSE sign(uniform) * (abs(uniform) * ({MOST} - {T}) / 7 + {T}) END')} AS uniform_value, {r6(f'CASE WHEN log = 0 THEN 0 ELSE sign(log) * {T} * exp(abs(log) * ln({MOST} / {T}) / 7) END')} AS log_value FROM (SELECT (CASE WHEN abs(v) <= {T} THEN 0 ELSE sign(v) * least(ceil((abs(v) - {T}) / ({MOST} - {T}) * 7), 7) END)::BIGINT AS uniform, (CASE WHEN abs(v) <= {T} THEN 0 ELSE sign(v) * least(ceil(ln(abs(v) / {T}) / {math.log(MOST / T)!r}::DOUBLE * 7), 7) END)::BIGINT AS log, count(*) AS n FROM ({COEF}) GROUP BY 1, 2)",
     "init_codebook": f"SELECT i AS bin, round({T} * exp(i * ln({MOST} / {T}) / 15), 6) AS value FROM (SELECT unnest(range(15)) AS i)",
     "lloyd_one_step": f"WITH p AS (SELECT abs(v) AS v FROM ({COEF}) WHERE abs(v) > {T}) SELECT bin, round(avg(v), 4) AS value FROM (SELECT v, ((v > 15000)::INT + (v > 25000)::INT + (v > 40000)::INT)::BIGINT AS bin FROM p) GROUP BY bin",
     "symbol_frequency": f"SELECT s, count(*) AS n FROM ({STREAM.format(n=3)}) GROUP BY s",
@@ -222,8 +299,32 @@ ORACLES = {
     "matrix_mse": f"SELECT round(avg((b - v) * (b - v)), 2) AS mse FROM ({BACK}) WHERE l_linenumber BETWEEN 2 AND 5",
     "relative_norms": f"SELECT round(sum((v - b) * (v - b)) / sum(v * v), 6) AS mse, round(sqrt(sum((v - b) * (v - b))) / sqrt(sum(v * v)), 6) AS l2, round(sum(abs(v - b)) / sum(abs(v)), 6) AS l1 FROM ({BACK})",
     "difference_map": f"SELECT cube_id, x::BIGINT AS pos, {r6('CASE WHEN most > 0 THEN d / most * 255 ELSE 0 END')} AS v FROM (SELECT *, max(abs(d)) OVER (PARTITION BY cube_id) AS most FROM (SELECT a.cube_id, a.x, b.v - a.v AS d FROM ({LINE}) a JOIN ({LINE}) b ON b.cube_id = a.cube_id + 1 AND b.x = a.x))",
-    "param_sweep": sweep("0.5, 0.75, 0.9", "16, 64, 256"),
-    "fixed_psnr_search": f"SELECT fraction, min(bins) AS bins, arg_min(psnr, bins) AS psnr FROM ({sweep('0.3, 0.5, 0.7', '8, 16, 32, 64')}) WHERE psnr >= 12 GROUP BY fraction",
+    "param_sweep": f"WITH {swept(GRID, ladder(100, 2000, 1.1))} {TRIAL}",
+    "bin_sweep": f"WITH {swept('0.95', ladder(20, 1500, 1.5))} {TRIAL}",
+    "threshold_sweep": f"WITH {POINTS}, f AS (SELECT unnest([{spelled(1 - 0.5 * 0.8**k for k in range(18))}]::DOUBLE[]) AS f), t AS (SELECT f AS fraction, most, s[trunc(f * n)::BIGINT + 1] AS t FROM f, m), e AS (SELECT fraction, any_value(t) AS t, any_value(most) AS most, sum(CASE WHEN abs(v) <= t THEN v * v ELSE 0 END) / count(*) AS mse FROM c, t GROUP BY fraction) "
+    "SELECT fraction, round(t, 6) AS threshold, 0::BIGINT AS bins, 0::BIGINT AS used, 0::BIGINT AS size_bytes, round(sqrt(mse), 4) AS rmse, round(log10(most * most / mse) * 10, 4) AS psnr FROM e",
+    "bits_experiment": f"WITH {swept(spelled(round(0.1 * i, 1) for i in range(1, 10)), spelled(1 << b for b in range(4, 13)))} SELECT log2(bins)::BIGINT AS bits, fraction, round(log10(mse), 4) AS log_mse, round(100.0::DOUBLE * (n - size_bytes) / n, 4) AS reduction FROM tr",
+    "fixed_psnr_search": f"WITH {swept('0.3, 0.4, 0.5, 0.6, 0.7', ladder(8, 300, 1.3), 'uniform')}, alone AS (SELECT DISTINCT fraction FROM (SELECT fraction, any_value(most) AS most, sum(CASE WHEN abs(v) <= t THEN v * v ELSE 0 END) / count(*) AS mse FROM c, (SELECT DISTINCT fraction, t, most FROM t) GROUP BY fraction) WHERE log10(most * most / mse) * 10 >= 14) "
+    "SELECT fraction, min(bins) AS bins, arg_min(size_bytes, bins)::BIGINT AS size_bytes, round(arg_min(psnr, bins), 4) AS psnr FROM tr WHERE psnr > 14 AND fraction IN (FROM alone) GROUP BY fraction",
+    "max_cut_bisect": f"WITH RECURSIVE m AS MATERIALIZED (SELECT list_sort(list(abs(v))) AS s, count(*) AS n, sum(v * v) AS total FROM ({COEF})), e AS MATERIALIZED (SELECT k, sum(CASE WHEN v <= t THEN v * v ELSE 0 END) / any_value(total) AS err FROM (SELECT k, s[trunc(k / 128 * n)::BIGINT + 1] AS t, total FROM m, (SELECT unnest(range(1, 128)) AS k)), (SELECT unnest(s) AS v FROM m) GROUP BY k), "
+    "r AS (SELECT 0 AS lo, 128 AS hi, 0 AS i UNION ALL SELECT CASE WHEN err <= 0.05 THEN k ELSE lo END, CASE WHEN err <= 0.05 THEN hi ELSE k END, i + 1 FROM r JOIN e ON k = (lo + hi) // 2 WHERE i < 7) SELECT lo / 128 AS cut FROM r WHERE i = 7",
+    "min_bins_bisect": f"WITH RECURSIVE {swept('0.3', spelled(range(8, 1024, 8)), 'uniform')}, r AS (SELECT 0::BIGINT AS lo, 1024::BIGINT AS hi, 0 AS i UNION ALL SELECT CASE WHEN rel >= 0.03 THEN bins ELSE lo END, CASE WHEN rel >= 0.03 THEN hi ELSE bins END, i + 1 FROM r JOIN tr ON bins = (lo + hi) // 2 WHERE i < 7) SELECT (lo + hi) // 2 AS bins FROM r WHERE i = 7",
+    "hill_climb": f"WITH RECURSIVE {swept(spelled(i / 100 for i in range(30, 41)), spelled(range(30, 41)), 'uniform')}, k AS MATERIALIZED (SELECT round(fraction * 100)::INT AS cut, bins, rel, n / size_bytes AS ratio FROM tr), "
+    "r AS (SELECT cut, bins, ratio, 0 AS i FROM k WHERE cut = 30 AND bins = 40 UNION ALL (SELECT k.cut, k.bins, k.ratio, i + 1 FROM r JOIN k ON (k.cut = r.cut + 1 AND k.bins = r.bins) OR (k.cut = r.cut AND k.bins = r.bins - 1) WHERE rel <= 0.04 AND k.ratio >= r.ratio AND i < 10 ORDER BY k.ratio DESC, k.cut DESC LIMIT 1)) "
+    "SELECT cut::DOUBLE AS cut, bins, round(ratio, 6) AS ratio FROM r ORDER BY i DESC LIMIT 1",
+    "lloyd_codebook": lloyd(6, 20, 1.0),
+    "equal_pop_bins": f"WITH {RANKED} SELECT i AS bin, CASE WHEN i = 0 THEN 0 ELSE round(s[least(CASE WHEN i < 7 THEN (2 * first + (2 * i - 1) * w) // 2 ELSE (first + 6 * w + n) // 2 END, n - 1) + 1], 4) END AS value, CASE WHEN i < 7 THEN round(s[least(first + i * w, n - 1) + 1], 4) END AS upper FROM w, (SELECT unnest(range(8)) AS i)",
+    "quant_equal_pop": f"WITH {RANKED}, b AS (SELECT list_transform(range(7), lambda i: s[least(first + i * w, n - 1) + 1]) AS b FROM w) SELECT (sign(v) * len(list_filter(b, lambda x: x <= abs(v))))::BIGINT AS bin, count(*) AS n FROM ({COEF}), b GROUP BY 1",
+    "equal_pop_signed": f"WITH s AS (SELECT list_sort(list(v)) AS s, count(*) AS n, count(*) FILTER (v < -{T}) AS below, count(*) FILTER (v > {T}) AS over FROM ({COEF})), w AS (SELECT *, floor(below / (below + over) * 16)::INT AS d FROM s), x AS (SELECT *, 15 - d AS u, below / d AS a, over / (15 - d) AS b FROM w) "
+    f"SELECT i AS bin, round(CASE WHEN i = 0 THEN s[1] WHEN i < d - 1 THEN s[floor(a * i + a / 2)::INT + 1] WHEN i = d - 1 THEN s[floor((below + a * (d - 1)) / 2)::INT + 1] WHEN i = d THEN 0 WHEN i < 15 THEN s[floor(n - over + b * (i - d - 1) + b / 2)::INT + 1] ELSE s[n] END, 4) AS value, "
+    f"round(CASE WHEN i < d - 1 THEN s[floor(a * (i + 1))::INT + 1] WHEN i = d - 1 THEN -{T} WHEN i = 14 THEN 0.01::DOUBLE * s[n - 1] + 0.99::DOUBLE * s[n] WHEN i = d THEN {T} WHEN i < 14 THEN s[floor(n - over + b * (i - d))::INT + 1] END, 4) AS upper FROM x, (SELECT unnest(range(16)) AS i)",
+    "mirror_codebook": f"WITH e AS (SELECT min(v) AS lo, max(v) AS hi FROM ({COEF})), g AS (SELECT list_transform(range(4), lambda i: {T} * exp(i * ln({MOST} / {T}) / 4)) AS g), h AS (SELECT g, list_transform(range(1, 4), lambda i: (g[i] + g[i + 1]) / 2) AS m FROM g), "
+    f"a AS (SELECT *, list_concat(list_transform(list_reverse(g), lambda x: -x), [0.0::DOUBLE], g) AS v, list_concat(list_transform(list_reverse(m), lambda x: -x), [-{T}::DOUBLE, {T}::DOUBLE], m) AS b FROM h, e), "
+    "z AS (SELECT CASE WHEN abs(lo) > hi THEN list_prepend(lo, v) ELSE list_append(v, hi) END AS v, CASE WHEN abs(lo) > hi THEN list_prepend((lo - g[4]) / 2, b) ELSE list_append(b, (hi + g[4]) / 2) END AS b FROM a) "
+    "SELECT unnest(range(10)) AS bin, round(unnest(v), 6) AS value, round(unnest(list_append(b, NULL)), 6) AS upper FROM z",
+    "huffman_size": f"SELECT len(l) AS symbols, n, bits, (bits + 31) // 32 * 4 AS bytes, round(bits / n, 6) AS bits_per_value FROM (SELECT l, list_sum(l)::BIGINT AS n, {HUFFMAN} AS bits FROM (SELECT list(n) AS l FROM (SELECT q, count(*) AS n FROM (SELECT {uniform('v', BINS, TD, MD)} AS q FROM ({COEF})) GROUP BY q)))",
+    "quant_partition": "SELECT (" + " + ".join(f"(CASE WHEN {b} < v THEN 1 ELSE 0 END)" for b in BOOK) + f")::BIGINT AS bin, count(*) AS n FROM ({COEF}) GROUP BY 1",
+    "quant_few_bins": f"SELECT b AS bins, coalesce(q, -1) AS q, {r6('back')} AS back, count(*) AS n FROM (SELECT b, q, CASE WHEN q IS NULL THEN NULL WHEN b = 4 AND q > 1 THEN (q + 0.5::DOUBLE - (1 - {T} / ({MOST} - {T})) - 1) * ({MOST} - {T}) ELSE 0 END AS back FROM (SELECT b, CASE WHEN v IS NULL THEN NULL WHEN b = 1 THEN 0 WHEN v > {T} THEN CASE b WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE least(3, trunc(v / ({MOST} - {T}) + 2 - {T} / ({MOST} - {T}))) END WHEN v < -{T} THEN 0 ELSE (b - 1) // 2 END::BIGINT AS q FROM (SELECT CASE WHEN l_linenumber > 1 THEN l_extendedprice - {CENTRE} END AS v FROM lineitem), (SELECT unnest([1, 2, 3, 4]::BIGINT[]) AS b))) GROUP BY ALL",
     "slice_minmax_codec": "SELECT vec_id AS cube_id, true AS same, true AS close FROM embeddings",
 }
 for _name, (_q, _d) in QUANT.items():

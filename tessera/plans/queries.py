@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql.functions import arrow_udf
 
-from ..functions import hof
-from ..operators import codebooks, cubes, entropy, metrics
-from ..operators.select import order_statistic, threshold
+from ..functions import blocks, hof
+from ..operators import codebooks, cubes, entropy, metrics, search, select
+from ..operators.select import order_statistics, threshold, thresholds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CENTRE, T, MOST, BINS = 38000.0, 5000.0, 60000.0, 32
@@ -85,25 +85,36 @@ def symbols(spark: SparkSession, sf: str, n: int = 3) -> DataFrame:
 @named
 def haar_quant_histogram(spark, sf):
     """Scan, one Haar step, exact-rank threshold, uniform quantizer, histogram."""
-    c = arrays(spark, sf).select(F.explode(hof.forward(F.col("a"), 64, 1)).alias("c")).select(F.round("c", 9).alias("c"))
+    c = arrays(spark, sf).select(F.explode(blocks.forward(F.col("a"), 1)).alias("c")).select(F.round("c", 9).alias("c"))
     t = threshold(c, F.col("c"), 0.5)
     most = c.agg(F.max(F.abs("c"))).first()[0]
     return histogram(c, hof.quant_uniform(F.col("c"), 16, t, most))
 
 
 for _name, _f in {
-    "haar1d_multi": lambda a: hof.forward(a, 64, -1),
-    "haar1d_inverse": lambda a: hof.inverse(hof.forward(a, 64, 3), 64, 3),
-    "haar2d": lambda a: hof.transform(a, SQUARE, (2, 3, 0)),
-    "haar3d": lambda a: hof.transform(a, CUBE, (2, 2, 2)),
-    "haar2d_mallat": lambda a: hof.alternating(a, 8, 3),
-    "cdf97_1d": lambda a: hof.forward(a, 64, 3, "cdf97"),
-    "cdf97_1d_inverse": lambda a: hof.inverse(hof.forward(a, 64, 3, "cdf97"), 64, 3, "cdf97"),
-    "cdf97_2d": lambda a: hof.transform(a, SQUARE, (2, 1, 0), "cdf97"),
-    "cdf97_3d": lambda a: hof.transform(a, CUBE, (1, 1, 1), "cdf97"),
-    "cdf97_3d_inverse": lambda a: hof.transform(hof.transform(a, CUBE, (1, 1, 1), "cdf97"), CUBE, (1, 1, 1), "cdf97", back=True),
-    "filterbank_1d": lambda a: hof.forward(a, 64, 2, "CDF_2.2"),
-    "filterbank_1d_inverse": lambda a: hof.inverse(hof.forward(a, 64, 2, "CDF_2.4"), 64, 2, "CDF_2.4"),
+    "haar1d_multi": lambda a: blocks.forward(a, -1),
+    "haar1d_inverse": lambda a: blocks.inverse(blocks.forward(a, 3), 3),
+    "haar2d": lambda a: blocks.transform(a, SQUARE, (2, 3, 0)),
+    "haar2d_inverse": lambda a: blocks.transform(blocks.transform(a, SQUARE, (2, 3, 0)), SQUARE, (2, 3, 0), back=True),
+    "haar3d": lambda a: blocks.transform(a, CUBE, (2, 2, 2)),
+    "haar3d_inverse": lambda a: blocks.transform(blocks.transform(a, CUBE, (2, 2, 2)), CUBE, (2, 2, 2), back=True),
+    "haar_layers": lambda a: blocks.transform(a, CUBE, (2, 1, 2), layers=True),
+    "haar2d_mallat": lambda a: blocks.alternating(a, 8, 3),
+    "haar2d_mallat_inverse": lambda a: blocks.alternating(blocks.alternating(a, 8, 3), 8, 3, back=True),
+    "cdf97_1d": lambda a: blocks.forward(a, 3, "cdf97"),
+    "cdf97_1d_inverse": lambda a: blocks.inverse(blocks.forward(a, 3, "cdf97"), 3, "cdf97"),
+    "cdf97_2d": lambda a: blocks.transform(a, SQUARE, (2, 1, 0), "cdf97"),
+    "cdf97_3d": lambda a: blocks.transform(a, CUBE, (1, 1, 1), "cdf97"),
+    "cdf97_3d_inverse": lambda a: blocks.transform(blocks.transform(a, CUBE, (1, 1, 1), "cdf97"), CUBE, (1, 1, 1), "cdf97", back=True),
+    "filterbank_1d": lambda a: blocks.forward(a, 2, "CDF_2.2"),
+    "filterbank_1d_inverse": lambda a: blocks.inverse(blocks.forward(a, 2, "CDF_2.4"), 2, "CDF_2.4"),
+    "filterbank_26": lambda a: blocks.forward(a, 2, "CDF_2.6"),
+    "filterbank_44": lambda a: blocks.forward(a, 2, "CDF_4.4"),
+    "filterbank_79": lambda a: blocks.forward(a, 2, "VS_7.9"),
+    "filterbank_3d": lambda a: blocks.transform(a, CUBE, (1, 1, 1), "CDF_2.2"),
+    "daubechies4": lambda a: blocks.forward(a, 1, "d4"),
+    "daubechies4_inverse": lambda a: blocks.inverse(blocks.forward(a, 4, "d4"), 4, "d4"),
+    "separable_lows_first": lambda a: blocks.lows_first(a, 8, {-1: 0.25, 0: 0.5, 1: 0.25}, {-1: -0.25, 0: 0.5, 1: -0.25}),
     "pad_zero": lambda a: hof.pad(F.slice(a, 1, 50), 50, 64, "zero"),
     "pad_repeat": lambda a: hof.pad(F.slice(a, 1, 50), 50, 64, "repeat"),
     "pad_reflect": lambda a: hof.pad(F.slice(a, 1, 20), 20, 64, "reflect"),
@@ -122,7 +133,7 @@ for _name, _f in {
 @named
 def subband_rescale(spark, sf):
     """Each quadrant of a one-step square rescaled to -0.5..0.5 by its own least and most."""
-    c = long(arrays(spark, sf), hof.transform(F.col("a"), SQUARE, (1, 1, 0)))
+    c = long(arrays(spark, sf), blocks.transform(F.col("a"), SQUARE, (1, 1, 0)))
     band = F.when(F.col("pos") % 8 < 4, 0).otherwise(1) + F.when(F.col("pos") < 32, 0).otherwise(2)
     c = c.withColumn("band", band)
     ends = c.groupBy("cube_id", "band").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -236,8 +247,16 @@ def gray_minmax(spark, sf):
 
 @named
 def threshold_rank(spark, sf):
+    fractions = (0.0, 0.25, 0.5, 0.95, 1.0)
+    found = thresholds(coefficients(spark, sf), F.col("v"), fractions)
+    return spark.createDataFrame([(f, round(t, 6)) for f, t in zip(fractions, found)], "fraction double, threshold double")
+
+
+@named
+def threshold_from_one(spark, sf):
     c = coefficients(spark, sf)
-    return spark.createDataFrame([(f, round(threshold(c, F.col("v"), f), 6)) for f in (0.0, 0.25, 0.5, 0.95, 1.0)], "fraction double, threshold double")
+    rows = [(f, up, round(select.threshold_from_one(c, F.col("v"), f, up), 6)) for f in (0.3, 0.77) for up in (False, True)]
+    return spark.createDataFrame(rows, "cut double, up boolean, threshold double")
 
 
 @named
@@ -273,7 +292,7 @@ def trimmed_histogram(spark, sf):
     """24 bins between the values at 1 % from either end; what lies beyond goes into the end bins."""
     c = coefficients(spark, sf)
     n = c.count()
-    lo, hi = (order_statistic(c, F.col("v"), k) for k in (n // 100, n - 1 - n // 100))
+    lo, hi = order_statistics(c, F.col("v"), [n // 100, n - 1 - n // 100])
     place = F.least(F.greatest(F.floor(r6((F.col("v") - lo) / ((hi - lo) / 24))), F.lit(0)), F.lit(23))
     return histogram(c, place).withColumn("bar", F.expr(f"repeat('*', cast(floor(n * 200 / {n}) as int))"))
 
@@ -311,12 +330,25 @@ def quantization_error(spark, sf):
 
 @named
 def quant_legacy_bits(spark, sf):
-    """The older form: sign times the rounded-up step above the threshold, by bits."""
+    """The older forms, and what they give back."""
     v = F.col("v")
-    base = (1 << 3) - 1
-    uniform = F.when(F.abs(v) <= T, 0).otherwise(F.signum(v) * F.least(F.ceil(r6((F.abs(v) - T) / (MOST - T) * base)), F.lit(base)))
-    log = F.when(F.abs(v) <= T, 0).otherwise(F.signum(v) * F.least(F.ceil(r6(F.ln(F.abs(v) / T) / float(np.log(MOST / T)) * base)), F.lit(base)))
-    return coefficients(spark, sf).groupBy(uniform.cast("long").alias("uniform"), log.cast("long").alias("log")).agg(F.count("*").alias("n"))
+    q = {kind: F.greatest(F.least(hof.quant_bits(v, 4, T, MOST, kind == "log"), F.lit(7)), F.lit(-7)) for kind in ("uniform", "log")}
+    both = coefficients(spark, sf).groupBy(*(c.cast("long").alias(kind) for kind, c in q.items())).agg(F.count("*").alias("n"))
+    return both.select("*", *(r6(hof.dequant_bits(F.col(kind), 4, T, MOST, kind == "log")).alias(f"{kind}_value") for kind in q))
+
+
+@named
+def quant_partition(spark, sf):
+    return histogram(coefficients(spark, sf), hof.quant_partition(F.col("v"), BOOK))
+
+
+@named
+def quant_few_bins(spark, sf):
+    """One to four bins, nulls among the values."""
+    v = F.when(F.col("l_linenumber") > 1, F.col("l_extendedprice") - CENTRE)
+    c = table(spark, sf, "lineitem").select(v.alias("v"))
+    rows = [F.struct(F.lit(b).cast("long").alias("bins"), hof.quant_uniform(F.col("v"), b, T, MOST).cast("long").alias("q"), r6(hof.dequant_uniform(hof.quant_uniform(F.col("v"), b, T, MOST), b, T, MOST)).alias("back")) for b in (1, 2, 3, 4)]
+    return c.select(F.inline(F.array(*rows))).groupBy("bins", F.coalesce("q", F.lit(-1)).alias("q"), "back").agg(F.count("*").alias("n"))  # -1: no bin
 
 
 @named
@@ -351,6 +383,12 @@ def equal_pop_bins(spark, sf):
     return spark.createDataFrame([(i, round(v, 4), round(bounds[i], 4) if i < len(bounds) else None) for i, v in enumerate(values)], "bin long, value double, upper double")
 
 
+@named
+def equal_pop_signed(spark, sf):
+    bounds, values = codebooks.equal_population_signed(coefficients(spark, sf), F.col("v"), 4, T)
+    return spark.createDataFrame([(i, round(v, 4), round(bounds[i], 4) if i < len(bounds) else None) for i, v in enumerate(values)], "bin long, value double, upper double")
+
+
 @named
 def quant_equal_pop(spark, sf):
     c = coefficients(spark, sf)
@@ -399,7 +437,7 @@ def huffman_size(spark, sf):
 
 
 def quantised_arrays(spark, sf) -> DataFrame:
-    coded = hof.transform(F.col("a"), CUBE, (2, 2, 2))
+    coded = blocks.transform(F.col("a"), CUBE, (2, 2, 2))
     return arrays(spark, sf).select("cube_id", F.transform(coded, lambda c: hof.quant_uniform(c, 16, 0.15, 1.0)).alias("q"))
 
 
@@ -421,7 +459,7 @@ def huffman_roundtrip(spark, sf):
 def error_metrics(spark, sf):
     """Original against transformed, quantised and restored."""
     q = quantised_arrays(spark, sf)
-    back = q.select("cube_id", hof.transform(F.transform("q", lambda s: hof.dequant_uniform(s, 16, 0.15, 1.0)), CUBE, (2, 2, 2), back=True).alias("b"))
+    back = q.select("cube_id", blocks.transform(F.transform("q", lambda s: hof.dequant_uniform(s, 16, 0.15, 1.0)), CUBE, (2, 2, 2), back=True).alias("b"))
     a = arrays(spark, sf).select("cube_id", F.posexplode("a").alias("pos", "v"))
     b = back.select("cube_id", F.posexplode("b").alias("pos", "v"))
     out = metrics.compared(a, b, ["cube_id", "pos"], 1.0)
@@ -431,7 +469,7 @@ def error_metrics(spark, sf):
 @named
 def compress_roundtrip(spark, sf):
     """As error_metrics, without a join: payload against payload in one row."""
-    q = hof.transform(F.transform(F.transform(hof.transform(F.col("a"), CUBE, (2, 2, 2)), lambda c: hof.quant_uniform(c, 16, 0.15, 1.0)), lambda s: hof.dequant_uniform(s, 16, 0.15, 1.0)), CUBE, (2, 2, 2), back=True)
+    q = blocks.transform(F.transform(F.transform(blocks.transform(F.col("a"), CUBE, (2, 2, 2)), lambda c: hof.quant_uniform(c, 16, 0.15, 1.0)), lambda s: hof.dequant_uniform(s, 16, 0.15, 1.0)), CUBE, (2, 2, 2), back=True)
     rows = arrays(spark, sf).select("cube_id", "a", q.alias("b")).select("cube_id", F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("sse"))
     return rows.select("cube_id", r6(F.col("sse") / 64).alias("mse"))
 
@@ -470,40 +508,54 @@ def difference_map(spark, sf):
 # Search.
 
 
-def trials(spark, sf, fractions, bins) -> DataFrame:
-    """A row for each fraction and bin count, from one pass: every value meets each trial in its own row."""
-    c = coefficients(spark, sf)
-    most = c.agg(F.max(F.abs("v"))).first()[0]
-    cuts = [(f, threshold(c, F.col("v"), f)) for f in fractions]
-    one = [F.struct(F.lit(f).alias("fraction"), F.lit(b).cast("long").alias("bins"), hof.quant_uniform(F.col("v"), b, t, most).alias("q"), hof.dequant_uniform(hof.quant_uniform(F.col("v"), b, t, most), b, t, most).alias("b")) for f, t in cuts for b in bins]
-    counted = c.select("v", F.inline(F.array(*one))).groupBy("fraction", "bins", "q").agg(F.count("*").alias("n"), F.sum((F.col("b") - F.col("v")) ** 2).alias("sse"))
-    mse = F.sum("sse") / F.sum("n")
-    return counted.groupBy("fraction", "bins").agg(F.count("*").alias("used"), F.round(mse, 2).alias("mse"), F.round(F.log10(most * most / mse) * 10, 4).alias("psnr"))
+def rounded_trials(df: DataFrame) -> DataFrame:
+    return df.select("fraction", F.round("threshold", 6).alias("threshold"), "bins", "used", "size_bytes", F.round(F.sqrt("mse"), 4).alias("rmse"), F.round("psnr", 4).alias("psnr"))
 
 
 @named
 def param_sweep(spark, sf):
-    return trials(spark, sf, (0.5, 0.75, 0.9), (16, 64, 256))
+    """The full grid: 50 fractions, 32 numbers of bins, log quantizer."""
+    return rounded_trials(search.grid(coefficients(spark, sf), F.col("v")))
+
+
+@named
+def threshold_sweep(spark, sf):
+    return rounded_trials(search.threshold_sweep(coefficients(spark, sf), F.col("v")))
+
+
+@named
+def bin_sweep(spark, sf):
+    return rounded_trials(search.bin_sweep(coefficients(spark, sf), F.col("v"), last=1500))
+
+
+@named
+def bits_experiment(spark, sf):
+    out = search.experiment(coefficients(spark, sf), F.col("v"))
+    return out.select(F.col("bits").cast("long").alias("bits"), "fraction", F.round("log_mse", 4).alias("log_mse"), F.round("reduction", 4).alias("reduction"))
 
 
 @named
 def fixed_psnr_search(spark, sf):
-    """For each fraction, the fewest bins that reach 12 dB."""
-    good = trials(spark, sf, (0.3, 0.5, 0.7), (8, 16, 32, 64)).where("psnr >= 12")
-    return good.groupBy("fraction").agg(F.min("bins").alias("bins"), F.min_by("psnr", "bins").alias("psnr"))
+    """For each fraction, the fewest bins that reach 14 dB."""
+    out = search.fixed_psnr(coefficients(spark, sf), F.col("v"), 14.0, fractions=[0.3, 0.4, 0.5, 0.6, 0.7], bins=search.grown(8, 300, 1.3), kind="uniform")
+    return out.select("fraction", "bins", "size_bytes", F.round("psnr", 4).alias("psnr"))
 
 
 @named
 def max_cut_bisect(spark, sf):
     """The largest cut whose relative error stays under 0.05, by seven halvings."""
-    c = coefficients(spark, sf)
-    low, high = 0.0, 1.0
-    for _ in range(7):
-        cut = (low + high) / 2
-        t = threshold(c, F.col("v"), cut)
-        err = c.agg(F.sum(F.when(F.abs("v") <= t, F.col("v") ** 2).otherwise(0.0)) / F.sum(F.col("v") ** 2)).first()[0]
-        low, high = (cut, high) if err <= 0.05 else (low, cut)
-    return spark.createDataFrame([(low,)], "cut double")
+    return spark.createDataFrame([(select.max_cut(coefficients(spark, sf), F.col("v"), 0.05),)], "cut double")
+
+
+@named
+def min_bins_bisect(spark, sf):
+    return spark.createDataFrame([(search.fewest_bins(coefficients(spark, sf), F.col("v"), 0.3, 0.03, kind="uniform"),)], "bins long")
+
+
+@named
+def hill_climb(spark, sf):
+    cut, bins, ratio = search.climbed(coefficients(spark, sf), F.col("v"), 30.0, 40, 0.04, kind="uniform")
+    return spark.createDataFrame([(cut, bins, round(ratio, 6))], "cut double, bins long, ratio double")
 
 
 # Codecs of whole slices.
@@ -524,10 +576,10 @@ def inflated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 @named
 def slice_minmax_codec(spark, sf):
     """Each 8 x 8 slice: 2-D transform, quantised between its least and most, deflated; the restored slice's error."""
-    c = arrays(spark, sf).select("cube_id", "a", hof.transform(F.col("a"), SQUARE, (2, 2, 0), "cdf97").alias("c"))
+    c = arrays(spark, sf).select("cube_id", "a", blocks.transform(F.col("a"), SQUARE, (2, 2, 0), "cdf97").alias("c"))
     c = c.withColumn("lo", F.array_min("c")).withColumn("hi", F.array_max("c"))
     level = F.when(F.col("hi") > F.col("lo"), 255 / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     c = c.withColumn("f", level).withColumn("q", F.expr("transform(c, x -> cast(greatest(ceil((x - lo) * f - 0.5), 0) as int))"))
     c = c.withColumn("q2", inflated(deflated("q"))).withColumn("b", F.expr("transform(q2, q -> case when f > 0 then q / f + lo else lo end)"))
-    c = c.withColumn("b", hof.transform(F.col("b"), SQUARE, (2, 2, 0), "cdf97", back=True))
+    c = c.withColumn("b", blocks.transform(F.col("b"), SQUARE, (2, 2, 0), "cdf97", back=True))
     return c.select("cube_id", F.expr("q = q2").alias("same"), F.expr("aggregate(zip_with(a, b, (x, y) -> abs(x - y)), 0D, (s, x) -> greatest(s, x)) < (hi - lo) * 0.03").alias("close"))

@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import hof
-from tessera.operators import codebooks, entropy
+from tessera.functions import blocks, hof
+from tessera.operators import codebooks, entropy, search
 from tessera.operators.select import order_statistic
 from tessera.plans.oracles import ORACLES
 from tessera.plans.queries import QUERIES
@@ -41,7 +41,7 @@ def test_haar_documented(spark):
     assert np.allclose(value(spark, hof.forward(array(17, 14, 1, 16, 20, 6, 2, 11), 8, 3)), want, atol=1e-6)
 
 
-@pytest.mark.parametrize("wavelet", ["haar", "cdf97", "CDF_2.2", "CDF_2.4"])
+@pytest.mark.parametrize("wavelet", ["haar", "cdf97", "CDF_2.2", "CDF_2.4", "CDF_2.6", "CDF_4.4", "VS_7.9"])
 def test_inverse_restores(spark, wavelet):
     x = np.random.default_rng(1).normal(size=64)
     for shape, steps in (((64, 1, 1), (4, 0, 0)), ((8, 8, 1), (2, 3, 0)), ((4, 4, 4), (1, 2, 1))):
@@ -137,9 +137,64 @@ def duck():
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
     assert re.fullmatch(r"\w+", name) and len(got.columns)
-    if name in ORACLES:
-        want = duck.sql(ORACLES[name]).df()
-        columns = sorted(got.columns)
-        assert columns == sorted(want.columns)
-        rows = [sorted(map(repr, x[columns].itertuples(index=False, name=None))) for x in (got, want)]
-        assert rows[0] == rows[1]
+    want = duck.sql(ORACLES[name]).df()  # every query has its SQL
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = [sorted(map(repr, x[columns].itertuples(index=False, name=None))) for x in (got, want)]
+    assert rows[0] == rows[1]
+
+
+@pytest.mark.parametrize("wavelet", ["haar", "cdf97", "CDF_2.2", "CDF_2.4", "CDF_2.6", "CDF_4.4", "VS_7.9"])
+def test_blocks_equal_column_kernels(spark, wavelet):
+    """The numpy kernels against the expressions, forward and back, and the inverse restores; nulls and mixed lengths."""
+    x = np.random.default_rng(2).normal(size=(5, 64)).tolist()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)] + [(9, None)], "i int, a array<double>")
+    a = F.col("a")
+    one, two = blocks.transform(a, (4, 4, 4), (2, 1, 2), wavelet), hof.transform(a, (4, 4, 4), (2, 1, 2), wavelet)
+    for r in df.select("i", "a", one.alias("x"), two.alias("y"), blocks.transform(one, (4, 4, 4), (2, 1, 2), wavelet, back=True).alias("z")).collect():
+        assert (r["x"] is None) == (r["a"] is None)
+        assert r["a"] is None or np.allclose(r["x"], r["y"], atol=1e-9) and np.allclose(r["z"], r["a"], atol=1e-6)
+    mixed = spark.createDataFrame([(1, [1.0] * 8), (2, None), (3, [2.0] * 4), (4, []), (5, [3.0] * 8)], "i int, a array<double>")
+    got = {r["i"]: r["b"] for r in mixed.select("i", blocks.forward(a, 1, wavelet).alias("b")).collect()}
+    assert [len(got[i]) if got[i] is not None else None for i in (1, 2, 3, 4, 5)] == [8, None, 4, 0, 8]
+
+
+def test_alternating_and_daubechies_restore():
+    x = np.random.default_rng(3).normal(size=(2, 8, 8))
+    assert np.allclose(blocks.alternate(blocks.alternate(x, 3), 3, back=True), x)
+    assert np.allclose(blocks.along(blocks.along(x, 2, "d4"), 2, "d4", back=True), x)
+    assert np.isclose((blocks.along(x, 3, "d4") ** 2).sum(), (x**2).sum())
+
+
+def test_few_bins_and_nulls(spark):
+    for q, d in ((hof.quant_uniform, hof.dequant_uniform), (hof.quant_log, hof.dequant_log)):
+        for bins in (1, 2, 3, 4, 5, 16):
+            df = spark.createDataFrame([(x,) for x in (None, 0.0, 0.5, 2.0, -2.0, 9.0, -9.0, 100.0, -100.0)], "v double")
+            rows = df.select("v", q(F.col("v"), bins, 1.0, 10.0).alias("q"), d(q(F.col("v"), bins, 1.0, 10.0), bins, 1.0, 10.0).alias("b")).collect()
+            assert all((r["q"] is None) == (r["v"] is None) == (r["b"] is None) for r in rows)
+            assert all(0 <= r["q"] < bins for r in rows if r["v"] is not None)
+    assert value(spark, hof.quant_codebook(F.lit(None).cast("double"), [1.0, 2.0])) is None
+
+
+def test_ties_fill_bins(spark):
+    df = spark.createDataFrame([(float(x),) for x in [0] * 10 + [5] * 40 + list(range(6, 56))], "v double")
+    bounds, values = codebooks.equal_population(df, F.col("v"), 3, 0.5)
+    assert len(bounds) == 7 and len(values) == 8 and bounds == sorted(bounds) and len(set(bounds)) == 7
+    constant = spark.createDataFrame([(3.0,)] * 20, "v double")
+    assert codebooks.equal_population(constant, F.col("v"), 2, 1.0)[0][0] == 3.0
+    assert codebooks.equal_population(df.limit(0), F.col("v"), 2, 1.0) == ([0.0] * 3, [0.0] * 4)
+
+
+def test_search_counts_as_direct_quantising(spark):
+    x = np.random.default_rng(5).normal(size=3000).round(2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(3)
+    for kind, q, d in (("uniform", hof.quant_uniform, hof.dequant_uniform), ("log", hof.quant_log, hof.dequant_log)):
+        rows = search.trials(df, F.col("v"), [0.3, 0.9], [3, 4, 17, 200], kind).collect()
+        assert len(rows) == 8
+        for r in rows:
+            bin_ = q(F.col("v"), r["bins"], r["threshold"], float(np.abs(x).max()))
+            own = df.where("v is not null").select(bin_.alias("q"), ((d(bin_, r["bins"], r["threshold"], float(np.abs(x).max())) - F.col("v")) ** 2).alias("e"))
+            counts = entropy.frequencies(own, "q")
+            assert (r["used"], r["size_bytes"]) == (len(counts), entropy.encoded_bytes(counts, entropy.lengths(counts)))
+            assert np.isclose(r["mse"], own.agg(F.avg("e")).first()[0])
+    assert search.trials(df.limit(0), F.col("v"), [0.5], [8]).count() == 0
