@@ -94,34 +94,90 @@ def from_words(data: bytes) -> list[int]:
     return np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").tolist()
 
 
-def encode_symbols(symbols: list[int], book: dict[int, tuple[int, int]], common: int | None = None, key: int | None = None) -> bytes:
-    bits: list[int] = []
-    for s, e in escaped(symbols, common, key) if common is not None and key is not None else [(s, None) for s in symbols]:
-        value, n = book[s]
-        bits += [value >> (n - 1 - j) & 1 for j in range(n)]
-        if e is not None:
-            bits += [e >> j & 1 for j in range(3)]
-    return to_words(bits)
-
-
-def decode_symbols(data: bytes, n: int, book: dict[int, tuple[int, int]], common: int | None = None, key: int | None = None) -> list[int]:
-    back = {(length, value): s for s, (value, length) in book.items()}
-    bits, at, out = from_words(data), 0, []
-    while len(out) < n:
-        value = length = 0
-        while (length, value) not in back:
-            value, length, at = value << 1 | bits[at], length + 1, at + 1
-            if length > 64:
-                raise ValueError("not a code of this book")
-        s = back[length, value]
-        if key is not None and s == key:
-            out += [common] * (8 << (bits[at] | bits[at + 1] << 1 | bits[at + 2] << 2))
-            at += 3
+def decode_table(book: dict[int, tuple[int, int]]) -> list[int]:
+    """The code's tree, breadth first, as pairs: an inner node's children by place (for bit 0 and 1), a leaf's 0 and symbol."""
+    by = {(n, value): s for s, (value, n) in book.items()}
+    out, todo = [], [(0, 0)]
+    deepest = max((n for _, n in book.values()), default=0)
+    for n, value in todo:  # grows while it is walked
+        if (n, value) in by:
+            out += [0, by[n, value]]
+        elif n >= deepest:
+            out += [0, 0]  # no code leads here: a lone symbol's other bit
         else:
-            out.append(s)
+            out += [len(todo), len(todo) + 1]
+            todo += [(n + 1, value << 1), (n + 1, value << 1 | 1)]
     return out
 
 
+def encode_symbols(symbols, book: dict[int, tuple[int, int]], common: int | None = None, key: int | None = None) -> bytes:
+    """Codes of the symbols, first bits first, as 32-bit words; runs of the common symbol as escapes with 3 bits each."""
+    x = np.asarray(symbols, dtype=np.int64)
+    if not len(x):
+        return b""
+    extra = np.full(len(x), -1)
+    if common is not None and key is not None:
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        parts, at = [], 0
+        lengths = np.diff(np.append(first, len(x)))
+        for k in np.flatnonzero((x[first] == common) & (lengths > SINGLY)).tolist():
+            singles, exps = escapes(int(lengths[k]))
+            parts += [(x[at : first[k]], None), (np.array([key] * len(exps) + [common] * singles), exps)]
+            at = first[k] + lengths[k]
+        parts.append((x[at:], None))
+        x = np.concatenate([p for p, _ in parts]).astype(np.int64)
+        extra = np.concatenate([np.full(len(p), -1) if e is None else np.array(e + [-1] * (len(p) - len(e))) for p, e in parts]).astype(np.int64)
+    names = np.array(sorted(book))
+    place = np.searchsorted(names, x)
+    if (place == len(names)).any() or (names[np.minimum(place, len(names) - 1)] != x).any():
+        raise ValueError("a symbol has no code")
+    value, length = (np.array([book[s][i] for s in names.tolist()], dtype=np.uint64)[place] for i in (0, 1))
+    more = extra >= 0
+    e = np.where(more, extra, 0).astype(np.uint64)
+    flipped = (e & np.uint64(1)) << np.uint64(2) | e & np.uint64(2) | e >> np.uint64(2)
+    value = np.where(more, value << np.uint64(3) | flipped, value)
+    length = (length + np.where(more, 3, 0).astype(np.uint64)).astype(np.int64)
+    start = np.cumsum(length) - length
+    total = int(length.sum())
+    bits = np.zeros(total + -total % 32, np.uint8)
+    for j in range(int(length.max())):
+        some = np.flatnonzero(length > j)
+        bits[start[some] + j] = value[some] >> (length[some] - 1 - j).astype(np.uint64) & np.uint64(1)
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def decode_symbols(data: bytes, n: int, book, common: int | None = None, key: int | None = None) -> list[int]:
+    """n symbols. book: codes by symbol, or a decode_table. What stands at each place of the bits is worked out for all
+    places at once; then the codes are followed from place to place. Raises ValueError if the stream ends too early."""
+    table = np.array(decode_table(book) if isinstance(book, dict) else book, dtype=np.int64)
+    bits = np.concatenate([np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little"), np.zeros(3, np.uint8)])
+    size = len(bits) - 3
+    node, length = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    live = np.flatnonzero(table[2 * node] != 0) if len(table) else np.zeros(0, np.int64)
+    while len(live):
+        node[live] = table[2 * node[live] + bits[live + length[live]]]
+        length[live] += 1
+        live = live[table[2 * node[live]] != 0]
+        short = live[live + length[live] >= size]
+        node[short], length[short] = -1, size + 1  # runs past the end
+        live = live[live + length[live] < size]
+    symbol = np.where(node >= 0, table[2 * np.maximum(node, 0) + 1], -1) if len(table) else node
+    repeat = np.ones(size, np.int64)
+    if key is not None:
+        at = np.flatnonzero(symbol == key)
+        p = np.minimum(at + length[at], size)
+        repeat[at] = 8 << (bits[p].astype(np.int64) | bits[p + 1].astype(np.int64) << 1 | bits[p + 2].astype(np.int64) << 2)
+        symbol[at], length[at] = common, length[at] + 3
+    after, times, starts, at, left = (np.arange(size) + np.maximum(length, 1)).tolist(), repeat.tolist(), [], 0, n
+    while left > 0:
+        if at >= size or after[at] > size:
+            raise ValueError("the stream ends before its symbols")
+        starts.append(at)
+        left -= times[at]
+        at = after[at]
+    return np.repeat(symbol[starts], repeat[starts]).tolist()
+
+
 def encode_column(symbols: Column, book, common=None, key=None) -> Column:
     @arrow_udf("binary")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

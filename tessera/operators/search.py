@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .select import thresholds
 
+#: Values that are put in order at once.
+TOGETHER = 1 << 20
 #: The ranges of the searches.
 GRID_FRACTIONS = [round(0.5 + 0.01 * i, 2) for i in range(50)]
 TRIALS = "fraction double, threshold double, bins long, used long, size_bytes long, mse double, psnr double, rel_err double"
@@ -85,6 +87,19 @@ def cuts(x: np.ndarray, bins: int, t: float, most: float, kind: str) -> np.ndarr
         hi[live[~less]] = mid[~less]
 
 
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The values, TOGETHER or some more at a time, each time in order."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column(0).to_numpy(zero_copy_only=False))
+        n += len(held[-1])
+        if n >= TOGETHER:
+            yield np.sort(np.concatenate(held))
+            held, n = [], 0
+    if n:
+        yield np.sort(np.concatenate(held))
+
+
 def code_bits(counts: np.ndarray) -> int:
     """The length of an optimal prefix code's text: the sum of all inner nodes' weights; a lone symbol has one bit."""
     heap = counts[counts > 0].tolist()
@@ -113,8 +128,7 @@ def trials(df: DataFrame, value: Column, fractions: Sequence[float], bins: Seque
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each trial: counts, sums and squares by bin (with 0 bins: of what the threshold removes and what it keeps)."""
         sums: list = [0] * len(plan)
-        for batch in batches:
-            x = np.sort(batch.column(0).to_numpy(zero_copy_only=False))
+        for x in _ordered(batches):
             one, two = (np.concatenate([[0.0], np.cumsum(c)]) for c in (x, x * x))
             for k, (_, t, b) in enumerate(plan):
                 if b:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import blocks, hof
-from tessera.operators import codebooks, entropy, search
+from tessera.operators import codebooks, codec, entropy, search
 from tessera.operators.select import order_statistic
 from tessera.plans.oracles import ORACLES
 from tessera.plans.queries import QUERIES
@@ -198,3 +198,36 @@ def test_search_counts_as_direct_quantising(spark):
             assert (r["used"], r["size_bytes"]) == (len(counts), entropy.encoded_bytes(counts, entropy.lengths(counts)))
             assert np.isclose(r["mse"], own.agg(F.avg("e")).first()[0])
     assert search.trials(df.limit(0), F.col("v"), [0.5], [8]).count() == 0
+
+
+def test_decode_table_and_truncation():
+    book = entropy.codes(entropy.lengths({0: 5, 1: 2, 2: 10, 3: 12, 4: 2}))
+    table = entropy.decode_table(book)
+    assert len(table) == 2 * (2 * len(book) - 1) and sorted(table[2 * i + 1] for i in range(len(table) // 2) if table[2 * i] == 0) == [0, 1, 2, 3, 4]
+    data = entropy.encode_symbols([0, 2, 3, 4, 2, 3, 1, 1, 1], book)
+    assert entropy.decode_symbols(data, 9, table) == [0, 2, 3, 4, 2, 3, 1, 1, 1]
+    with pytest.raises(ValueError, match="ends"):
+        entropy.decode_symbols(data, 900, table)
+    assert entropy.decode_symbols(entropy.encode_symbols([7] * 5, {7: (0, 1)}), 5, entropy.decode_table({7: (0, 1)})) == [7] * 5
+
+
+@pytest.mark.parametrize("quantizer", ["log", "uniform", "lloyd"])
+def test_cubelets_compressed_to_a_file_and_back(spark, tmp_path, quantizer):
+    """Mixed shapes and types in one table, through a file, against the original; a constant cubelet; several settings."""
+    files.register(spark)
+    rng = np.random.default_rng(1)
+    smooth = lambda *shape: sum(np.add.outer(np.add.outer(np.sin(np.arange(shape[2]) / 3), np.cos(np.arange(shape[1]) / 4)), np.arange(shape[0]) / 9).reshape(-1) * k for k in (1.0,))
+    shapes = [(5, 6, 7, "FLOAT32"), (16, 16, 1, "FLOAT32"), (9, 1, 1, "FLOAT32"), (8, 8, 8, "UINT8"), (4, 4, 2, "INT32")]
+    rows = [(k, k, 0, 3, w, h, d, kind, 255, (smooth(w, h, d) if kind == "FLOAT32" else rng.integers(0, 200, w * h * d).astype(float)).tolist()) for k, (w, h, d, kind) in enumerate(shapes)]
+    rows.append((9, 9, 9, 9, 4, 4, 4, "FLOAT32", 255, [2.0] * 64))
+    df = spark.createDataFrame(rows, "cube_id long, x_off int, y_off int, z_off int, width int, height int, depth int, data_type string, max_value int, payload array<double>")
+    for k, s in enumerate((codec.Settings(fraction=0.05, bins=1000, quantizer=quantizer), codec.Settings((1, 1, 1), "haar", fraction=0.02, bins=600, quantizer=quantizer), codec.Settings((2, 2, 0), layers=True, fraction=0.0, bins=900, quantizer=quantizer))):
+        codec.compressed(df, s).write.format("cubelets").mode("append").save(f"{tmp_path}/c{k}")
+        back = codec.restored(spark.read.format("cubelets").load(f"{tmp_path}/c{k}")).collect()
+        assert len(back) == len(rows)
+        want = {r[1]: r for r in rows}
+        for r in back:
+            a, b = np.array(want[r["x_off"]][9]), np.array(r["payload"])
+            assert tuple(r[c] for c in codec.META[1:]) == want[r["x_off"]][1:9] and len(a) == len(b)
+            assert ((a - b) ** 2).sum() <= 0.02 * max((a**2).sum(), 1e-9), (r["x_off"], s)
+    assert codec.compressed(df.limit(0)).count() == 0
