@@ -325,6 +325,11 @@ ORACLES = {
     "huffman_size": f"SELECT len(l) AS symbols, n, bits, (bits + 31) // 32 * 4 AS bytes, round(bits / n, 6) AS bits_per_value FROM (SELECT l, list_sum(l)::BIGINT AS n, {HUFFMAN} AS bits FROM (SELECT list(n) AS l FROM (SELECT q, count(*) AS n FROM (SELECT {uniform('v', BINS, TD, MD)} AS q FROM ({COEF})) GROUP BY q)))",
     "quant_partition": "SELECT (" + " + ".join(f"(CASE WHEN {b} < v THEN 1 ELSE 0 END)" for b in BOOK) + f")::BIGINT AS bin, count(*) AS n FROM ({COEF}) GROUP BY 1",
     "quant_few_bins": f"SELECT b AS bins, coalesce(q, -1) AS q, {r6('back')} AS back, count(*) AS n FROM (SELECT b, q, CASE WHEN q IS NULL THEN NULL WHEN b = 4 AND q > 1 THEN (q + 0.5::DOUBLE - (1 - {T} / ({MOST} - {T})) - 1) * ({MOST} - {T}) ELSE 0 END AS back FROM (SELECT b, CASE WHEN v IS NULL THEN NULL WHEN b = 1 THEN 0 WHEN v > {T} THEN CASE b WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE least(3, trunc(v / ({MOST} - {T}) + 2 - {T} / ({MOST} - {T}))) END WHEN v < -{T} THEN 0 ELSE (b - 1) // 2 END::BIGINT AS q FROM (SELECT CASE WHEN l_linenumber > 1 THEN l_extendedprice - {CENTRE} END AS v FROM lineitem), (SELECT unnest([1, 2, 3, 4]::BIGINT[]) AS b))) GROUP BY ALL",
+    "unit_conversions": "SELECT b AS byte, i AS int, trunc(l_discount * 255 + 0.5::DOUBLE)::BIGINT AS share, (n % 8 = 0)::BIGINT AS padded, count(*) AS n, " + r6("avg(b / 255 - 0.5::DOUBLE)") + " AS unit FROM (SELECT n, n % 256 AS b, (n * 13) % 4096 AS i, l_discount FROM (SELECT (l_linenumber * 31 + l_quantity)::BIGINT AS n, l_discount FROM lineitem)) GROUP BY 1, 2, 3, 4",
+    "brightness": "SELECT trunc(least(greatest((l_extendedprice - 10000) / 50000 * 255 * 1.5::DOUBLE, 0), 255))::BIGINT AS level, count(*) AS n FROM lineitem GROUP BY 1",
+    "cubelet_order": f"SELECT cube_id, z_off, y_off, x_off FROM (SELECT {OFFSETS} FROM embeddings) ORDER BY z_off, y_off, x_off, cube_id LIMIT 5",
+    "compress_cubelets": "SELECT vec_id AS cube_id, 64::BIGINT AS n, true AS close FROM embeddings",
+    "symbols_by_frequency": f"SELECT q AS s, count(*) AS n FROM (SELECT {uniform('v', BINS, TD, MD)} AS q FROM ({COEF})) GROUP BY q ORDER BY n DESC, s LIMIT 10",
     "slice_minmax_codec": "SELECT vec_id AS cube_id, true AS same, true AS close FROM embeddings",
 }
 for _name, (_q, _d) in QUANT.items():

@@ -18,7 +18,7 @@ from pyspark.sql import types as ST
 from pyspark.sql.functions import arrow_udf
 
 from ..functions import blocks, hof
-from ..operators import codebooks, cubes, entropy, metrics, search, select
+from ..operators import codebooks, codec, cubes, entropy, metrics, search, select
 from ..operators.select import order_statistics, threshold, thresholds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,6 +196,23 @@ def tile_split_overlap(spark, sf):
     return out.groupBy(*(F.col(f"t{a}").cast("long").alias(f"t{a}") for a in "xyz")).agg(F.count("*").alias("n"), r6(F.sum("v")).alias("total"), r6(F.max_by("v", F.struct("iz", "iy", "ix"))).alias("last"))
 
 
+@named
+def cubelet_order(spark, sf):
+    """By z, y, x: the first of them, ranked."""
+    return cubelets(spark, sf).orderBy("z_off", "y_off", "x_off", "cube_id").limit(5).select("cube_id", *(F.col(c).cast("long").alias(c) for c in ("z_off", "y_off", "x_off")))
+
+
+@named
+def compress_cubelets(spark, sf):
+    """Each cubelet encoded with its parameters and restored: how many values come back, and whether their error is that of
+    quantising alone."""
+    packed = codec.compressed(cubelets(spark, sf).withColumn("max_value", F.lit(0)), codec.Settings((2, 2, 2), "haar", fraction=0.2, bins=200, quantizer="uniform"))
+    back = codec.restored(packed).select("cube_id", F.col("payload").alias("b"))
+    error = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    size = F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x)
+    return arrays(spark, sf).join(back, "cube_id").select("cube_id", F.size("b").cast("long").alias("n"), (error <= 0.03 * size).alias("close"))
+
+
 # Scalar functions.
 
 
@@ -242,6 +259,21 @@ def gray_minmax(spark, sf):
     return arrays(spark, sf).select("cube_id", F.posexplode(F.transform(a, lambda x: F.when(hi > lo, (x - lo) / (hi - lo) * 255).otherwise(0.0))).alias("pos", "g")).groupBy(F.floor(r6(F.col("g"))).cast("long").alias("g")).agg(F.count("*").alias("n"))
 
 
+@named
+def unit_conversions(spark, sf):
+    """Bytes, and integers up to 4095, to -0.5..0.5 and back; shares to bytes; whether lengths are padded."""
+    n = F.col("l_linenumber") * 31 + F.col("l_quantity").cast("int")
+    b, i = n % 256, (n * 13) % 4096
+    back = (hof.unit_to_byte(hof.byte_to_unit(b) + 1e-9), hof.unit_to_int(hof.int_to_unit(i, 4095), 4095), hof.share_to_byte(F.col("l_discount")), hof.is_padded(n, 3).cast("long"))
+    return table(spark, sf, "lineitem").groupBy(*(c.cast("long").alias(name) for name, c in zip(("byte", "int", "share", "padded"), back))).agg(F.count("*").alias("n"), r6(F.avg(hof.byte_to_unit(b))).alias("unit"))
+
+
+@named
+def brightness(spark, sf):
+    v = F.col("l_extendedprice")
+    return table(spark, sf, "lineitem").groupBy(hof.brightened(v, F.lit(10000.0), F.lit(60000.0), 1.5).cast("long").alias("level")).agg(F.count("*").alias("n"))
+
+
 # Thresholds and statistics.
 
 
@@ -404,6 +436,12 @@ def symbol_frequency(spark, sf):
     return symbols(spark, sf).groupBy("s").agg(F.count("*").alias("n"))
 
 
+@named
+def symbols_by_frequency(spark, sf):
+    q = coefficients(spark, sf).select(UNIFORM(F.col("v")).cast("long").alias("s"))
+    return q.groupBy("s").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(10)
+
+
 @named
 def rle_encode(spark, sf):
     return entropy.run_pairs(symbols(spark, sf)).select("cube_id", "start", "s", F.col("length").cast("long").alias("length"))

@@ -6,8 +6,8 @@
     spark.read.format("datamatrix").load(path)        # (file, row, col, value), text or binary
 
 Cubelet file: a 64-byte header whose first line names the format, then for each cubelet a length, a metadata message and
-its bytes; 0xFFFFFFFF ends the list (an index may follow, and isn't needed). Each file is one partition; payloads are
-read only if the column is asked for.
+its bytes; 0xFFFFFFFF ends the list (an index may follow, and isn't needed). Each file is one partition. Payloads are
+skipped with the option metadata, or if the schema given to the reader has no column of them.
 """
 
 from __future__ import annotations
@@ -169,7 +169,8 @@ class Cubelets(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        payload, names = self.options.get("metadata", "false") != "true", schema.names
+        names = schema.names
+        payload = self.options.get("metadata", "false") != "true" and not {"payload", "raw"}.isdisjoint(names)
         return FileReader(self.options["path"], lambda path: (tuple(row[n] for n in names) for row in read_cubelets(path, payload)))
 
     def writer(self, schema, overwrite):
