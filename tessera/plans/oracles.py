@@ -335,3 +335,15 @@ ORACLES = {
 for _name, (_q, _d) in QUANT.items():
     ORACLES[f"quant_{_name}"] = f"SELECT {_q} AS bin, count(*) AS n FROM ({COEF}) GROUP BY 1"
     ORACLES[f"dequant_{_name}"] = f"SELECT {r6(_d)} AS v, count(*) AS n FROM (SELECT {_q} AS q FROM ({COEF})) GROUP BY 1"
+
+_OFFSETS = "(vec_id % 8 * 4)::INT AS x_off, (vec_id // 8 % 8 * 4)::INT AS y_off, (vec_id // 64 * 4)::INT AS z_off"
+_SHORTS = "SELECT event_id // 4096 AS frame, event_id % 4096 AS pos, user_id % 4096 * 16 AS v FROM events"
+ORACLES |= {
+    "file_cubelets": f"SELECT {_OFFSETS}, 'FLOAT32' AS data_type, 64::BIGINT AS n, {r6('list_sum(embedding::DOUBLE[])')} AS total FROM embeddings",
+    "file_index": f"SELECT {_OFFSETS}, 4 AS width, 4 AS height, 4 AS depth, 'FLOAT32' AS data_type, 'NONE' AS compression, 256::BIGINT AS byte_count, true AS no_payload FROM embeddings",
+    "raw_shorts": f"SELECT (v // 256)::BIGINT AS byte, count(*) AS n, sum(v)::BIGINT AS total, sum(row_number)::BIGINT AS places FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY pos) - 1 AS row_number FROM ({_SHORTS})) GROUP BY 1",
+    "raw_frames": f"SELECT (dense_rank() OVER (ORDER BY frame) - 1)::INT AS z_off, 'INT32' AS data_type, 4095 AS max_value, 4096::BIGINT AS n, sum(v // 16)::BIGINT AS total FROM ({_SHORTS}) GROUP BY frame",
+    "number_text": "SELECT v % 256 AS byte, count(*) AS n FROM (SELECT l_quantity::BIGINT + 250 AS v FROM lineitem UNION ALL SELECT l_linenumber::BIGINT FROM lineitem) GROUP BY 1",
+    "parameter_files": """SELECT 'r' || n_regionkey AS file, 'nation ' || n_name AS name, 'key = "' || n_nationkey || '"' AS value FROM nation""",
+    "random_matrix": "SELECT 60000::BIGINT AS n, 60000::BIGINT AS cells, true AS fit, 0.5::DOUBLE AS mean",
+}

@@ -20,6 +20,7 @@ from pyspark.sql.functions import arrow_udf
 from ..functions import blocks, hof
 from ..operators import codebooks, codec, cubes, entropy, metrics, search, select
 from ..operators.select import order_statistics, threshold, thresholds
+from ..sources import files, parameters, paths, raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CENTRE, T, MOST, BINS = 38000.0, 5000.0, 60000.0, 32
@@ -621,3 +622,76 @@ def slice_minmax_codec(spark, sf):
     c = c.withColumn("q2", inflated(deflated("q"))).withColumn("b", F.expr("transform(q2, q -> case when f > 0 then q / f + lo else lo end)"))
     c = c.withColumn("b", blocks.transform(F.col("b"), SQUARE, (2, 2, 0), "cdf97", back=True))
     return c.select("cube_id", F.expr("q = q2").alias("same"), F.expr("aggregate(zip_with(a, b, (x, y) -> abs(x - y)), 0D, (s, x) -> greatest(s, x)) < (hi - lo) * 0.03").alias("close"))
+
+
+# Files: written to the shared folder and read back.
+
+
+def written_cubelets(spark, sf) -> str:
+    files.register(spark)
+    path = paths.scratch(spark)
+    cubelets(spark, sf).drop("cube_id").write.format("cubelets").mode("append").save(path)
+    return path
+
+
+@named
+def file_cubelets(spark, sf):
+    back = spark.read.format("cubelets").load(written_cubelets(spark, sf))
+    return back.select("x_off", "y_off", "z_off", "data_type", F.size("payload").cast("long").alias("n"), r6(F.aggregate("payload", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@named
+def file_index(spark, sf):
+    """Metadata from the files' indexes; payloads aren't read."""
+    back = spark.read.format("cubelets").option("metadata", "true").load(written_cubelets(spark, sf))
+    return back.select("x_off", "y_off", "z_off", "width", "height", "depth", "data_type", "compression", "byte_count", F.col("payload").isNull().alias("no_payload"))
+
+
+def written_shorts(spark, sf) -> str:
+    """Event times of a day in units of 16, as 16-bit frames of 4096."""
+    raw.register(spark)
+    path = paths.scratch(spark)
+    e = table(spark, sf, "events").select(F.format_string("frame%06d", F.floor(F.col("event_id") / 4096)).alias("file"), "event_id", (F.col("user_id") % 4096 * 16).alias("value"))
+    rows = e.repartition("file").sortWithinPartitions("file", "event_id").select("file", "value")
+    rows.write.format("rawnumbers").option("kind", "u2").mode("append").save(path)
+    return path
+
+
+@named
+def raw_shorts(spark, sf):
+    """16-bit numbers and their high bytes."""
+    back = spark.read.format("rawnumbers").option("kind", "u2").option("split", "10000").load(written_shorts(spark, sf))
+    value = F.col("value").cast("long")
+    return back.groupBy(F.shiftright(value, 8).alias("byte")).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.sum("pos").alias("places"))
+
+
+@named
+def raw_frames(spark, sf):
+    """Frames of 64 x 64 as cubelets in their order; the last one is short and filled up with zeros."""
+    c = raw.frames(spark, written_shorts(spark, sf), 64, 64)
+    return c.select("z_off", "data_type", "max_value", F.size("payload").cast("long").alias("n"), F.aggregate("payload", F.lit(0.0), lambda s, x: s + x).cast("long").alias("total"))
+
+
+@named
+def number_text(spark, sf):
+    """Numbers as text lines, read as a stream of numbers and kept as bytes."""
+    path = paths.scratch(spark)
+    p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"), F.col("l_quantity").cast("long").alias("v"))
+    raw.write_lines(p, F.concat_ws(" ", F.col("v") + 250, F.col("l")), ["k", "l"], path)
+    return raw.numbers(spark, path).groupBy((F.col("value").cast("long") % 256).alias("byte")).agg(F.count("*").alias("n"))
+
+
+@named
+def parameter_files(spark, sf):
+    """A parameter file for each region, with the comments of its nations; written and read."""
+    path = paths.scratch(spark)
+    n = table(spark, sf, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("file"), F.concat(F.lit("nation "), "n_name").alias("name"), F.concat(F.lit('key = "'), F.col("n_nationkey").cast("string"), F.lit('"')).alias("value"))
+    parameters.write_parameters(n, path)
+    return parameters.read_parameters(spark, path + "/*/*.txt").select(F.regexp_extract("file", "file=([^/]+)", 1).alias("file"), "name", "value")
+
+
+@named
+def random_matrix(spark, sf):
+    m = raw.random_matrix(spark, 300, 200, 7)
+    whole = F.abs(F.col("value") * 100000 - F.round(F.col("value") * 100000)) < 1e-6
+    return m.agg(F.count("*").alias("n"), F.countDistinct("row", "col").alias("cells"), F.min((F.col("value") >= 0) & (F.col("value") < 1) & whole).alias("fit"), F.round(F.avg("value"), 1).alias("mean"))

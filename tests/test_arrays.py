@@ -15,7 +15,7 @@ from tessera.operators import codebooks, codec, entropy, search
 from tessera.operators.select import order_statistic
 from tessera.plans.oracles import ORACLES
 from tessera.plans.queries import QUERIES
-from tessera.sources import files
+from tessera.sources import files, parameters, raw
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -117,6 +117,19 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, back.select(df.columns).collect())) == rows
     meta = spark.read.format("cubelets").option("metadata", "true").load(f"{tmp_path}/cubes")
     assert {(r["byte_count"], r["payload"]) for r in meta.collect()} == {(480, None), (2016, None)}
+    (one,) = (str(p) for p in (tmp_path / "cubes").glob("*.cube"))
+    index = files.read_index(one)
+    assert [(r["width"], r["data_type"], r["byte_count"]) for r in index] == [(4, "FLOAT32", 480), (7, "INT32", 2016)]
+    assert [files.payload_at(r)["payload"] for r in index] == [r[7] for r in rows]
+    row = dict(zip(df.columns, (1, 2, 3, 2, 1, 1, "UINT8", [7.0, 300.0])))
+    files.append_cubelets(one, [row])
+    assert [r["payload"] for r in files.read_cubelets(one)] == [r[7] for r in rows] + [[7.0, 255.0]]
+    assert files.read_index(one) == list(files.read_cubelets(one, payload=False)) and len(files.read_index(one)) == 3
+    files.append_cubelets(one, [row], index=False)
+    assert files.read_index(one) is None and [r["byte_count"] for r in files.read_cubelets(one, payload=False)] == [480, 2016, 2, 2]
+    (tmp_path / "cubes" / ".hidden.cube").write_bytes(b"unfinished")
+    df.limit(1).write.format("cubelets").option("index", "false").mode("overwrite").save(f"{tmp_path}/cubes")
+    assert spark.read.format("cubelets").load(f"{tmp_path}/cubes").count() == 1
     x = np.random.default_rng(0).random((3, 5)).round(5)
     for k, binary in enumerate((True, False)):
         files.write_matrix(f"{tmp_path}/m{k}.data", x, binary)
@@ -231,3 +244,39 @@ def test_cubelets_compressed_to_a_file_and_back(spark, tmp_path, quantizer):
             assert tuple(r[c] for c in codec.META[1:]) == want[r["x_off"]][1:9] and len(a) == len(b)
             assert ((a - b) ** 2).sum() <= 0.02 * max((a**2).sum(), 1e-9), (r["x_off"], s)
     assert codec.compressed(df.limit(0)).count() == 0
+
+
+def test_raw_numbers(spark, tmp_path):
+    raw.register(spark)
+    df = spark.createDataFrame([("b", 1.0), ("a", 260.0), ("a", -1.0)], "file string, value double").coalesce(1)
+    df.write.format("rawnumbers").option("kind", "u1").mode("append").save(f"{tmp_path}/n")
+    assert (tmp_path / "n/a").read_bytes() == b"\x04\xff" and (tmp_path / "n/b").read_bytes() == b"\x01"
+    (tmp_path / "odd").write_bytes(b"\x10\x00\x20\x01\x05")
+    got = spark.read.format("rawnumbers").option("kind", "u2").option("split", "2").load(f"{tmp_path}/odd")
+    assert got.rdd.getNumPartitions() == 2 and [tuple(r)[1:] for r in got.orderBy("pos").collect()] == [(0, 16.0), (1, 288.0)]
+    (frame,) = raw.frames(spark, f"{tmp_path}/odd", 2, 2).collect()
+    assert (frame["payload"], frame["data_type"], frame["z_off"], frame["max_value"]) == ([1.0, 18.0, 0.0, 0.0], "INT32", 0, 4095)
+    (cube,) = raw.byte_cubelet(spark, f"{tmp_path}/odd", 2, 1, 2).collect()
+    assert (cube["payload"], cube["height"], cube["depth"], cube["data_type"]) == ([16.0, 0.0, 32.0, 1.0], 1, 2, "UINT8")
+    (tmp_path / "t").write_text("1 2.5\n\n  x -3e2 ")
+    assert [r[0] for r in raw.numbers(spark, f"{tmp_path}/t").collect()] == [1.0, 2.5, None, -300.0]
+    for bad in (spark.createDataFrame([(None,)], "value double"), df.union(df).orderBy("value").coalesce(1)):
+        with pytest.raises(Exception, match="null is no number|side by side"):
+            bad.write.format("rawnumbers").mode("append").save(f"{tmp_path}/bad")
+    assert not [p for p in (tmp_path / "bad").iterdir() if p.name[0] not in "._"]
+    assert raw.with_random(df, 3).where("random >= 0 and random < 1").count() == 3
+
+
+def test_parameters():
+    words = ["plain", "two words", 'a "quote"', "tab\there", "line\nbreak", "a=b", "[x]", "", "c:\\new dir", "é, ü"]
+    assert parameters.parse_list(parameters.format_list(words)) == words
+    values = {w or "none": w[::-1] for w in words}
+    assert parameters.parse_map(parameters.format_map(values)) == values
+    text = parameters.format_parameters(values)
+    assert parameters.parse_parameters(text + "after=the end\n") == values
+    first, _, rest = text.partition("\n")
+    assert first == f"Param {len(rest.encode())}"
+    assert parameters.parse_parameters("Param 9\n no sign\n= no name\n a = b c \n") == {"a": "b c"}
+    assert parameters.parse_list(" [ a , b c]") == ["a", "b c"] and parameters.parse_list("[]") == [""]
+    assert [parameters.parse_list(x) for x in ("a", "[a", "")] == [None] * 3 and [parameters.parse_map(x) for x in ("{a}", "{a=1", "x")] == [None] * 3
+    assert parameters.format_float(0.1 + 0.2) == "0.3"
