@@ -97,13 +97,15 @@ def lloyd_book(x: np.ndarray, t: float, bins: int, rounds: int = 50) -> tuple[li
     return [-m for m in reversed(middle)] + [-t, t] + middle, [-b for b in reversed(book.tolist())] + [0.0] + book.tolist()
 
 
-def compress_cube(values: np.ndarray, data_type: str, s: Settings) -> tuple[bytes, dict]:
-    """values: (z, y, x). The encoded words, and the parameters."""
+def quantised_cube(values: np.ndarray, data_type: str, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, dict]:
+    """values: (z, y, x). Coefficients (z, y, x, padded), bins of them in this shape and as the stream holds them, the zero bin,
+    the parameters."""
     if s.wavelet not in WAVELETS:
         raise ValueError(f"no compression with {s.wavelet}")
     steps = tuple(hof.steps_of(n, k) for n, k in zip(values.shape[::-1], (*s.steps[:2], 0) if s.layers else s.steps))
     c = blocks.cube(padded(values, tuple(k if n > 1 else 0 for n, k in zip(values.shape[::-1], (*s.steps[:2], 0) if s.layers else s.steps))), steps, s.wavelet)
-    flat = c.transpose(2, 1, 0).reshape(-1) if not s.layers and c.shape[0] > 1 else c.reshape(-1)  # z fastest, as the original scans it
+    turned = not s.layers and c.shape[0] > 1  # z fastest, as the original scans it
+    flat = c.transpose(2, 1, 0).reshape(-1) if turned else c.reshape(-1)
     sizes = np.sort(np.abs(flat))
     t = float(np.float32(sizes[min(max(int(s.fraction * len(sizes)), 0), len(sizes) - 1)])) or 1e-16
     most = float(np.float32(sizes[-1]))
@@ -115,6 +117,12 @@ def compress_cube(values: np.ndarray, data_type: str, s: Settings) -> tuple[byte
         q, zero = np.searchsorted(np.array(bounds), flat, side="left"), len(book) // 2
     else:
         q, zero = search.numbered(flat, s.bins, t, most, s.quantizer), (s.bins - 1) // 2
+    return c, q.reshape(c.shape[::-1]).transpose(2, 1, 0) if turned else q.reshape(c.shape), q, zero, p
+
+
+def compress_cube(values: np.ndarray, data_type: str, s: Settings) -> tuple[bytes, dict]:
+    """values: (z, y, x). The encoded words, and the parameters."""
+    _, _, q, zero, p = quantised_cube(values, data_type, s)
     key = p["bins"]
     # how often the stream holds each symbol, once the zero bin's runs are escapes
     first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
@@ -178,6 +186,20 @@ def compressed(cubelets: DataFrame, settings: Settings = Settings()) -> DataFram
     return _rows(rows.select(*META, "payload"), one, f"{SCHEMA}, params binary, raw binary")
 
 
+def dumped(cubelets: DataFrame, settings: Settings = Settings(), bins: bool = False) -> DataFrame:
+    """What compression would quantise (coefficients: FLOAT32 cubelets) or encode (bins: INT32), padded, axes as in the
+    original. Rows without a payload are left out."""
+    kind = "INT32" if bins else "FLOAT32"
+
+    def one(r: dict) -> dict:
+        c, q, *_ = quantised_cube(np.array(r["payload"], dtype=np.float64).reshape(r["depth"], r["height"], r["width"]), r["data_type"], settings)
+        x = q if bins else c
+        sizes = dict(zip(("depth", "height", "width"), x.shape))
+        return r | sizes | {"data_type": kind, "compression": COMPRESSIONS[0], "byte_count": x.size * 4, "payload": x.reshape(-1).astype(float).tolist()}
+
+    return _rows(cubelets.where(F.col("payload").isNotNull()).select(*META, "payload"), one, f"{SCHEMA}, payload array<double>")
+
+
 def restored(cubelets: DataFrame) -> DataFrame:
     """Compressed cubelets as cubelets with payloads in their own type (bytes cut off at 0..255, integers rounded by
     adding a half); others are left out. The largest possible value is kept."""

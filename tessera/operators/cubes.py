@@ -60,6 +60,27 @@ def tiles(voxels: DataFrame, total: tuple[int, int, int], size: tuple[int, int,
     return out
 
 
+def rebuilt(tiles: DataFrame, size: tuple[int, int, int], overlap: int) -> DataFrame:
+    """The rows of `tiles` as cubelets, a row each: no group is larger than a tile."""
+    cell = F.array_sort(F.collect_list(F.struct("iz", "iy", "ix", "v")))
+    out = tiles.groupBy("tx", "ty", "tz").agg(cell.alias("cells"), *((F.max(f"i{a}") + 1).cast("int").alias(name) for a, name in zip("xyz", ("width", "height", "depth"))))
+    places = ((F.col(f"t{a}") * (s - overlap)).cast("int").alias(f"{a}_off") for a, s in zip("xyz", size))
+    return out.select(*places, "width", "height", "depth", F.col("cells.v").alias("payload"))
+
+
+def plain(cubes: DataFrame) -> DataFrame:
+    """Cubelets as they are, for an operator that needs values: a compressed one is an error."""
+    if "compression" not in cubes.columns:
+        return cubes
+    refused = F.raise_error(F.concat(F.lit("compressed cubelet at "), F.concat_ws(",", "x_off", "y_off", "z_off"))).cast("boolean")
+    return cubes.where(F.when(F.col("compression") == "NONE", True).otherwise(refused))
+
+
+def first_plain(cubes: DataFrame) -> DataFrame:
+    """The first uncompressed cubelet of a file table, as it lies in its file."""
+    return cubes.where("compression = 'NONE'").orderBy("file", "file_offset").limit(1)
+
+
 def frames_valid(frames: DataFrame) -> DataFrame:
     """Whether frames (x_off, y_off, z_off, width, height, depth, data_type) make up one volume: n, and one flag each.
     Places are contiguous if they are distinct and span no more than their number."""

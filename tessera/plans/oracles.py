@@ -347,3 +347,10 @@ ORACLES |= {
     "parameter_files": """SELECT 'r' || n_regionkey AS file, 'nation ' || n_name AS name, 'key = "' || n_nationkey || '"' AS value FROM nation""",
     "random_matrix": "SELECT 60000::BIGINT AS n, 60000::BIGINT AS cells, true AS fit, 0.5::DOUBLE AS mean",
 }
+_TILES = ORACLES["tile_split_overlap"].split("SELECT a.t")[0]
+_IN_TILES = "v JOIN t a ON x BETWEEN a.t * 3 AND a.t * 3 + 3 JOIN t b ON y BETWEEN b.t * 3 AND b.t * 3 + 3 JOIN tz c ON z BETWEEN c.t * 3 AND c.t * 3 + 3"
+ORACLES |= {
+    "tile_cubelets": f"{_TILES}, p AS (SELECT a.t AS tx, b.t AS ty, c.t AS tz, x, y, z, v, row_number() OVER (PARTITION BY a.t, b.t, c.t ORDER BY z, y, x) AS i FROM {_IN_TILES}) "
+    "SELECT (tx * 3)::INT AS x_off, (ty * 3)::INT AS y_off, (tz * 3)::INT AS z_off, count(DISTINCT x)::INT AS width, count(DISTINCT y)::INT AS height, count(DISTINCT z)::INT AS depth, round(sum(v * i), 4) AS weighted FROM p GROUP BY tx, ty, tz",
+    "dump_coefficients": chain(CUBE, HAAR3, f"SELECT cube_id, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {r6('v')} AS v FROM done"),
+}

@@ -197,6 +197,23 @@ def tile_split_overlap(spark, sf):
     return out.groupBy(*(F.col(f"t{a}").cast("long").alias(f"t{a}") for a in "xyz")).agg(F.count("*").alias("n"), r6(F.sum("v")).alias("total"), r6(F.max_by("v", F.struct("iz", "iy", "ix"))).alias("last"))
 
 
+@named
+def tile_cubelets(spark, sf):
+    """The same tiles as cubelets with payloads: sizes, places, and a sum that tells the order of the values."""
+    voxels, n = frames(spark, sf)
+    out = cubes.rebuilt(cubes.tiles(voxels, (8, 8, n), (4, 4, 4), 1), (4, 4, 4), 1)
+    weighted = F.aggregate(F.transform("payload", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return out.select("x_off", "y_off", "z_off", "width", "height", "depth", F.round(weighted, 4).alias("weighted"))
+
+
+@named
+def dump_coefficients(spark, sf):
+    """What compression would quantise: the 3-D transform, with the axes of the original."""
+    c = codec.dumped(cubelets(spark, sf).withColumn("max_value", F.lit(0)), codec.Settings((2, 2, 2), "haar", fraction=0.2, bins=200, quantizer="uniform"))
+    flat = c.select("cube_id", F.posexplode("payload").alias("pos", "v"))
+    return flat.select("cube_id", (F.col("pos") % 4).cast("long").alias("x"), (F.floor(F.col("pos") / 4) % 4).cast("long").alias("y"), F.floor(F.col("pos") / 16).cast("long").alias("z"), r6(F.col("v")).alias("v"))
+
+
 @named
 def cubelet_order(spark, sf):
     """By z, y, x: the first of them, ranked."""

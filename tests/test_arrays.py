@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import blocks, hof
-from tessera.operators import codebooks, codec, entropy, search
+from tessera.operators import codebooks, codec, cubes, entropy, search
 from tessera.operators.select import order_statistic
 from tessera.plans.oracles import ORACLES
 from tessera.plans.queries import QUERIES
@@ -280,3 +280,25 @@ def test_parameters():
     assert parameters.parse_list(" [ a , b c]") == ["a", "b c"] and parameters.parse_list("[]") == [""]
     assert [parameters.parse_list(x) for x in ("a", "[a", "")] == [None] * 3 and [parameters.parse_map(x) for x in ("{a}", "{a=1", "x")] == [None] * 3
     assert parameters.format_float(0.1 + 0.2) == "0.3"
+
+
+def test_cubelet_steps(spark, tmp_path):
+    """Compressed cubelets are refused where values are needed; the first plain one; bins as dumped are those encoded."""
+    files.register(spark)
+    x = np.random.default_rng(4).random((4, 2, 6))
+    df = spark.createDataFrame([(0, 0, 0, 0, 6, 2, 4, "FLOAT32", 0, x.reshape(-1).tolist())], "cube_id long, x_off int, y_off int, z_off int, width int, height int, depth int, data_type string, max_value int, payload array<double>")
+    s = codec.Settings((1, 1, 1), "haar", fraction=0.1, bins=40)
+    packed = codec.compressed(df, s)
+    with pytest.raises(Exception, match="compressed cubelet at 0,0,0"):
+        cubes.plain(packed).collect()
+    packed.coalesce(1).write.format("cubelets").mode("append").save(f"{tmp_path}/c")
+    (path,) = (str(p) for p in (tmp_path / "c").glob("*.cube"))
+    files.append_cubelets(path, [dict(zip(df.columns, df.first())) | {"x_off": 9}])
+    (first,) = cubes.first_plain(spark.read.format("cubelets").load(path)).collect()
+    assert first["x_off"] == 9 and np.allclose(first["payload"], x.reshape(-1))
+    (c,), (q,) = codec.dumped(df, s).collect(), codec.dumped(df, s, bins=True).collect()
+    assert (c["width"], c["height"], c["depth"], c["data_type"], q["data_type"]) == (6, 2, 4, "FLOAT32", "INT32")
+    assert np.allclose(np.reshape(c["payload"], (4, 2, 6)), blocks.cube(x, (1, 1, 1), "haar"))
+    p = codec.unpack_parameters(packed.first()["params"])
+    stream = entropy.decode_symbols(packed.first()["raw"], 48, p["table"], p["run_value"], p["run_key"])
+    assert np.reshape(q["payload"], (4, 2, 6)).transpose(2, 1, 0).reshape(-1).astype(int).tolist() == list(stream)
