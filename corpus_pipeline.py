@@ -73,9 +73,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, a similarity of 0.8 or more, compared exactly) the row with the
-    least id (null: after all others; equal ids: by the hash of the row). Rows are told apart by a key of their own, so that
-    those of null or repeated ids stay if their texts differ. Rows without a word aren't near-duplicates of each other."""
+    """Of each group of near-duplicates (linked by the fingerprints of SimHash or, where these miss them, by their shingles; in
+    either case of 5-word shingles with a similarity of 0.8 or more, compared exactly) the row with the least id (null: after
+    all others; equal ids: by the hash of the row). Rows are told apart by a key of their own, so that those of null or
+    repeated ids stay if their texts differ. Rows without a word aren't near-duplicates of each other."""
     rows = Rows(docs)
     found = similar.similar_groups(rows.table.select(F.col(rows.key).alias("doc_id"), "text"), k=5, least=0.8).select(F.col("doc_id").alias("k"), "component_id")
     given = rows.table.select(F.col(rows.key).alias("k"), F.col("doc_id").isNull().alias("none"), "doc_id", F.col(rows.content).alias("h"))

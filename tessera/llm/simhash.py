@@ -298,10 +298,11 @@ def in_tiles(members: DataFrame, who: str, side: int = TILE) -> DataFrame:
     return dealt.select(tile, *(c for c in members.columns if c != "key"))
 
 
-def links(distinct: DataFrame, t: int) -> DataFrame:
+def links(distinct: DataFrame, t: int, spent: list[DataFrame] | None = None) -> DataFrame:
     """distinct(x): each fingerprint once. Returns (a, b): links within t bits, enough to connect all that any such
     links connect. Partition values that few fingerprints share give every verified pair; a crowded value gives a
-    spanning forest of each pair of its tiles, so that a dense group costs no more rows than tiles hold."""
+    spanning forest of each pair of its tiles, so that a dense group costs no more rows than tiles hold.
+    spent: takes the tables that go when the result has been read."""
     plan = plan_for(distinct, t)
 
     def rows(of):
@@ -322,7 +323,8 @@ def links(distinct: DataFrame, t: int) -> DataFrame:
     found = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= t)).select("a", "b")
     if crowded:
         members = index.union(probes).join(hot, "key", "left_semi").distinct()
-        dealt = in_tiles(settle(members), "y")
+        members = settle(members)
+        dealt = in_tiles(members, "y")
 
         def connect(batches):
             held: list[np.ndarray] = []
@@ -350,7 +352,10 @@ def links(distinct: DataFrame, t: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(plan.restored(batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)) for i in (0, 1)], ["a", "b"])
 
-    return settle(found).mapInArrow(back, "a long, b long")
+    found = settle(found)
+    if spent is not None:
+        spent += [hot, members, found] if crowded else [hot, found]
+    return found.mapInArrow(back, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, t: int = 4, seed: int = 42) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Near-duplicates by similarity: an exact set similarity join over distinct word shingles.
+"""Near-duplicates by similarity: SimHash, and an exact set similarity join over distinct word shingles for what it misses.
+
+First the fingerprints of `simhash.py` link what differs in few bits, by its partitions and thresholds; an exact check of
+the shingles follows. What these links connect isn't looked at again; 64 bits miss most pairs near the threshold, so that
+all others meet by their shingles.
 
 All shingles are ordered, the rarer first (by counts of hash buckets, then by hash). Two sets of a Jaccard similarity of
 `least` or more share one of the first n - ceil(least n) + 1 shingles of each, whatever the number of texts: these are the
@@ -19,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import as_bytes, blocks, brought_together, discard, pack, questions, seen_again, settle, shuffle_partitions, unpack
 from .components import components
 from .simhash import HOT, in_tiles
@@ -238,14 +243,33 @@ def forest(nodes: np.ndarray, roots: np.ndarray, pos: np.ndarray, sets: list[np.
     return a, b
 
 
-def links(texts: DataFrame, sketches: DataFrame, counts: np.ndarray, k: int, least: float, seed: int, spent: list[DataFrame]) -> DataFrame:
-    """texts(node, text) and sketches(node, bits, size), each node once -> (a, b): pairs of a similarity of `least` or more that connect all that any such
-    pairs connect. spent: takes the tables that go when the result has been read."""
+def fingerprint_links(texts: DataFrame, sketches: DataFrame, t: int, k: int, least: float, seed: int) -> DataFrame:
+    """texts(node, text) and sketches(node, x, bits, size), each node once -> (a, b): of the links of fingerprints x within
+    t bits (enough to connect all that any such links connect; texts of a fingerprint: each with the least one) those of a
+    shingle similarity of `least` or more."""
+    spent: list[DataFrame] = []
+    prints = settle(sketches.groupBy("x").agg(F.min("node").alias("lead")))
+    found = simhash.links(prints.select("x").repartition(shuffle_partitions(texts.sparkSession)), t, spent)
+    for side in "ab":
+        found = found.join(prints.select(F.col("x").alias(side), F.col("lead").alias(f"node_{side}")), side)
+    same = sketches.join(prints, "x").where("node <> lead").select("lead", "node")
+    pairs = settle(found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).union(same).distinct())
+    discard(prints, *spent)
+    out = settle(compared(texts, sketches, pairs, k, least, seed))
+    discard(pairs)
+    return out
+
+
+def links(texts: DataFrame, sketches: DataFrame, known: DataFrame, counts: np.ndarray, k: int, least: float, seed: int, spent: list[DataFrame]) -> DataFrame:
+    """texts(node, text) and sketches(node, bits, size), each node once, known(a, b): links found already -> (a, b): known ones
+    and pairs of a similarity of `least` or more that connect all that any such pairs connect. spent: takes the tables that go
+    when the result has been read."""
     met, kept = prefixes(texts, counts, k, least, seed)
-    met = settle(met)
+    met = settle(met.join(components(known), "node", "left").select("key", "node", "n", "pos", "root"))
     discard(kept)
-    keys = met.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("lead")).where("rows > 1")
-    members = settle(met.join(keys, "key"))
+    root = F.coalesce("root", "node")
+    keys = met.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("lead"), F.min(root).alias("low"), F.max(root).alias("high"))
+    members = settle(met.withColumn("root", root).join(keys.where("low <> high").drop("low", "high"), "key"))
     discard(met)
     share = least / (1 + least)
 
@@ -256,11 +280,11 @@ def links(texts: DataFrame, sketches: DataFrame, counts: np.ndarray, k: int, lea
     def side(df, s, *more):
         return df.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", *more)))
 
-    lead = side(members.where("node = lead"), "a")
-    star = side(members.where("node <> lead"), "b").join(lead, "key").where(near("a", "b"))
+    lead = side(members.where("node = lead"), "a", "root")
+    star = side(members.where("node <> lead"), "b", "root").join(lead, "key").where((F.col("root_a") != F.col("root_b")) & near("a", "b"))
     stars = settle(compared(texts, sketches, settle(star.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()), k, least, seed))
-    known = components(stars)
-    rooted = settle(members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    stars = stars.union(known)
+    rooted = settle(members.drop("root").join(components(stars), "node", "left").withColumn("root", F.coalesce("root", "node")))
     discard(members)
     open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     rest = settle(rooted.join(open_, "key", "left_semi"))
@@ -299,9 +323,10 @@ def links(texts: DataFrame, sketches: DataFrame, counts: np.ndarray, k: int, lea
     return found.union(brought_together(dealt.select("tile", "node", "root", "pos", "text"), "tile").mapInArrow(connect, "a long, b long"))
 
 
-def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, seed: int = 42, words: int = 4, t: int = 4) -> DataFrame:
     """docs(doc_id, text, ...): a row (doc_id, component_id) for each document with an id and a word; component_id is the
-    least doc_id that chains of documents of a shingle similarity of `least` or more reach.
+    least doc_id that chains of documents of a shingle similarity of `least` or more reach. words, t: the shingles of the
+    fingerprints that are asked first, and the bits in which they may differ.
 
     Exact, but for collisions of 64-bit hashes. Rows with a null doc_id, null texts and texts without a word take no
     part; repeated rows count once; other columns are ignored."""
@@ -310,7 +335,7 @@ def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, seed: int =
         seen: set[int] = set()
         total = np.zeros(1 << BUCKETS, np.int64)
         for block in blocks(batches, 1_500_000):
-            ids, nodes, kept, bits, sizes = [], [], [], [], []
+            ids, nodes, kept, bits, sizes, new = [], [], [], [], [], []
             for doc_id, text in zip(block["doc_id"], block["text"]):
                 own = shingles(text, k, seed)
                 if len(own):
@@ -320,13 +345,16 @@ def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, seed: int =
                     kept.append(None if node in seen else text)
                     bits.append(None if node in seen else bitmap(own))
                     sizes.append(None if node in seen else len(own))
+                    new.append(node not in seen)
                     if node not in seen:
                         seen.add(node)
                         total[_buckets(own)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(kept, pa.binary()), pa.nulls(len(ids), pa.binary()), pa.array(bits, pa.binary()), pa.array(sizes, pa.int32())], names)
+            prints = np.zeros(len(ids), np.int64)
+            prints[np.array(new, dtype=bool)] = simhash.fingerprints_of([x for x in kept if x is not None], words, seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(kept, pa.binary()), pa.nulls(len(ids), pa.binary()), pa.array(bits, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, mask=~np.array(new, dtype=bool))], names)
         if seen:
             parts = _chunks(total)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.binary()), pa.nulls(len(parts), pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.binary()), pa.nulls(len(parts), pa.int32()), pa.nulls(len(parts), pa.int64())], names)
 
     def once(batches):
         """Of rows in order of the node, the first text of each; other texts become null."""
@@ -339,18 +367,19 @@ def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, seed: int =
                 own = node[there]
                 keep[there] = np.concatenate([[last is None or own[0] != last], own[1:] != own[:-1]])
                 last = own[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pc.if_else(pa.array(keep), text, pa.scalar(None, pa.binary())), *(batch.column(c) for c in ("n", "bits", "size", "place"))], [*names, "place"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pc.if_else(pa.array(keep), text, pa.scalar(None, pa.binary())), *(batch.column(c) for c in ("n", "bits", "size", "x", "place"))], [*names, "place"])
 
-    names, schema = ["doc_id", "node", "text", "n", "bits", "size"], "doc_id long, node long, text binary, n binary, bits binary, size int"
+    names, schema = ["doc_id", "node", "text", "n", "bits", "size", "x"], "doc_id long, node long, text binary, n binary, bits binary, size int, x long"
     read = as_bytes(docs.where(F.col("doc_id").isNotNull())).mapInArrow(run, schema)
     # texts go where their copies go; what has no text (a third of all rows may be one text's copies) goes anywhere
     read = read.withColumn("place", F.when(F.col("text").isNull() & F.col("n").isNull(), F.xxhash64("doc_id")).otherwise(F.col("node")))
     held = settle(brought_together(read, "place").mapInArrow(once, f"{schema}, place long"), by="place")
     counts = frequencies(held.where("n is not null").select(F.col("node").alias("chunk"), "n"))
-    texts, sketches = (held.where("text is not null").select(F.col("place").alias("node"), *c) for c in (["text"], ["bits", "size"]))
+    texts, sketches = (held.where("text is not null").select(F.col("place").alias("node"), *c) for c in (["text"], ["bits", "size", "x"]))
     marked = settle(held.where("doc_id is not null").select("doc_id", "node"))
-    spent = [held]
-    roots = components(links(texts, sketches, counts, k, least, seed, spent))
+    known = fingerprint_links(texts, sketches, t, k, least, seed)
+    spent = [held, known]
+    roots = components(links(texts, sketches, known, counts, k, least, seed, spent))
     named = settle(marked.groupBy("node").agg(F.min("doc_id").alias("id")).join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")))
     discard(*spent)
     least_of = named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")

@@ -364,6 +364,38 @@ def test_short_texts_are_compared_by_shingles(spark):
     assert groups_of(spark, out) == {i: i - i % 2 for i in range(600)}
 
 
+def test_pipeline_near_duplicates_go_through_simhash(spark, monkeypatch):
+    """Pairs within 4 bits come from SimHash alone, if their shingles are alike; those that 64 bits miss come from the join."""
+    import corpus_pipeline
+
+    rng, texts = random.Random(12), []
+    for i in range(40):  # every other pair: one word changed; the others: similarities of 0.80 to 0.85
+        base = [f"w{i}x{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [base, varied(base, 7 if i % 2 else 1, f"t{i}")]
+    for i in range(5):  # a line thirty times, tails of their own: few bits, but few common shingles
+        line = [f"line{i}x{j}" for j in range(20)] * 30
+        texts += [[*line, *(f"{tail}{i}x{j}" for j in range(30))] for tail in "ab"]
+    prints = [brute.fingerprint(" ".join(w)) for w in texts]
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2)]
+    close = {b for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 4}
+    alike = {b for a, b in pairs if jaccard(texts[a], texts[b]) >= 0.8}
+    assert close & alike and close - alike and len(alike - close) > 10
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    asked, linked, prefixes = [], simhash.links, similar.prefixes
+
+    def spied(distinct, t, *more):
+        asked.append(({r["x"] % 2**64 for r in distinct.collect()}, t))
+        return linked(distinct, t, *more)
+
+    def gone():
+        return set(range(len(texts))) - {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+
+    monkeypatch.setattr(simhash, "links", spied)
+    assert gone() == alike and asked == [(set(prints), 4)]
+    monkeypatch.setattr(similar, "prefixes", lambda *args: (prefixes(*args)[0].limit(0), spark.range(0)))
+    assert gone() == alike & close
+
+
 def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark):
     """Stages that filter decide row by row: other texts under the same or no id stay, copies go whatever their id."""
     import corpus_pipeline
