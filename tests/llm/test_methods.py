@@ -282,3 +282,46 @@ def test_pipeline_stages_with_clashing_names_and_empty_tables(spark):
             assert out.columns == wide.columns
             assert all(out.select(*(F.col(f"`{n}`") for n in names)).distinct().first()[i] == f"own {n}" for i, n in enumerate(names))
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_components_in_few_queries(spark, monkeypatch):
+    """What tasks contract by themselves takes two queries, not four: each query costs the driver memory. What tasks hold
+    apart (a few edges at a time, no partitions put together) is connected all the same."""
+    from tessera.llm import components as module
+
+    rng = random.Random(4)
+    chain = [(i, i + 1) for i in range(-60, 60)]
+    crowd = [(5000, rng.randrange(5001, 6000)) for _ in range(800)]
+    edges = [*chain, *crowd, (1 << 62, -(1 << 62)), (7000, 7000), (8002, 8001), (8001, 8002), *((rng.randrange(9000, 9400), rng.randrange(9000, 9400)) for _ in range(220))]
+    rng.shuffle(edges)
+    top = {x: x for e in edges for x in e}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in top}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+
+    def got():
+        found = [tuple(r) for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+        assert len(found) == len(dict(found))
+        return {x: dict(found).get(x, x) for x in linked}
+
+    assert got() == {x: want[x] for x in linked}
+    store = spark._jsparkSession.sharedState().statusStore()
+    table = spark.createDataFrame(edges, "a long, b long")
+    before = store.executionsCount()
+    module.components(table)
+    assert store.executionsCount() - before <= 2
+    monkeypatch.setattr(module, "HELD", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert got() == {x: want[x] for x in linked}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert module.components(spark.createDataFrame([], "a long, b long")).collect() == []
